@@ -138,8 +138,8 @@ def flow_snapshots(positioned: DataFrame, g: CodeGraph) -> DataFrame:
     ends = (
         positioned.where(F.col("position") <= 3).select("root", "node", "position")
         .unionByName(
-            positioned.join(size, (positioned["root"] == size["root"]) & (F.col("position") == F.col("last")))
-            .select(positioned["root"], "node", F.lit(-1).cast("bigint").alias("position"))
+            positioned.join(size, "root").where(F.col("position") == F.col("last"))
+            .select("root", "node", F.lit(-1).cast("bigint").alias("position"))
         )
     )
     picked = ends.join(names, "node").groupBy("root").agg(

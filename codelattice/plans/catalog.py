@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codelattice.plans import graph_queries
+from codelattice.plans import graph_queries, score_queries
 
-MODULES = [graph_queries]
+MODULES = [graph_queries, score_queries]
 
 
 def all_queries() -> dict:

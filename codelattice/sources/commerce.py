@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 
 from codelattice.functions.paths import qualified_name
 from codelattice.model import CodeGraph
+from codelattice.operators import communities
+from codelattice.operators import findings as findings_op
+from codelattice.operators import flows as flows_op
 from codelattice.session import stage
 
+# Part names hold no security words, so scores over them look for these.
+CHECK_WORDS = ("ring", "bolt")
+
 # Quantity of a returned line → what its reference means.
 RESOLVED_CALL, EXTERNAL_CALL, BARE_CALL = 48, 47, 46
 FILE_IMPORT, INHERIT, SYMBOL_IMPORT, DEPEND = 45, 44, 43, 42
@@ -208,6 +214,58 @@ class Workspace:
             .distinct()
         )
 
+    # Derived tables, stored once like the graph itself.
+
+    @cached_property
+    def flow_members(self) -> DataFrame:
+        return stage(flows_op.with_positions(flows_op.trace_flows(self.graph)), "flow_members")
+
+    @cached_property
+    def flows(self) -> DataFrame:
+        return stage(flows_op.score_flows(self.graph, self.flow_members, CHECK_WORDS), "flows")
+
+    @cached_property
+    def file_members(self) -> DataFrame:
+        return communities.file_members(self.graph)
+
+    @cached_property
+    def label_members(self) -> DataFrame:
+        return stage(communities.propagated_members(self.graph, split_above=None), "label_members")
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return findings_op.fold_history(self.normalised, run="run_day")
+
+    @cached_property
+    def normalised(self) -> DataFrame:
+        return findings_op.normalise(self.findings).withColumn(
+            "snippet", F.floor("value").cast("bigint").cast("string")
+        )
+
+    @cached_property
+    def rule_classes(self) -> DataFrame:
+        """One rule class per noun of the part names."""
+        noun = F.split("p_name", " ")[1]
+        return self.table("part").select(noun.alias("id")).distinct().select(
+            "id", F.initcap("id").alias("name"),
+            F.concat(F.lit("CWE-"), (F.length("id") * 10).cast("string")).alias("cwe_id"),
+            F.when(F.length("id") == 3, "CRITICAL").when(F.length("id") == 4, "HIGH")
+            .when(F.length("id") == 5, "MEDIUM").otherwise("LOW").alias("severity"),
+        )
+
+    @cached_property
+    def signatures(self) -> DataFrame:
+        """One taint signature per part name; its adjective decides the role."""
+        first = F.length(F.split("p_name", " ")[0])
+        return self.table("part").groupBy("p_name").agg(F.min("p_partkey").alias("seq")).select(
+            F.concat(F.lit("sig-"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("id"),
+            F.replace("p_name", F.lit(" "), F.lit("_")).alias("qualified_pattern"),
+            F.split("p_name", " ")[1].alias("vuln_class_id"),
+            F.when(first % 3 == 0, "SINK").when(first % 3 == 1, "SOURCE").otherwise("SANITIZER").alias("sig_type"),
+            F.when(first % 2 == 0, "any").otherwise("python").alias("language"),
+            "seq",
+        )
+
 
 _OPEN: dict[tuple[str, str], Workspace] = {}
 
