@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,7 +150,7 @@ def fuse(lists: list[DataFrame], k: int = S.RRF_K, limit: int | None = None) ->
 def hybrid_search(
     g: CodeGraph, query: str, kind: str | None = None, limit: int = S.SEARCH_LIMIT,
     context_files: list[str] | None = None, vectors: DataFrame | None = None,
-    query_vector: Column | None = None,
+    query_vector: Sequence[float] | None = None,
 ) -> DataFrame:
     """Phrase and vector lists fused, then boosted; the kind filter comes after ranking."""
     if not query.strip():
@@ -179,21 +182,27 @@ def hybrid_search(
     )
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
-    )
+def cosine_scores(query: Sequence[float]):
+    """A vectorised scorer: cosine to the query, 0 for other lengths or a zero norm."""
+    q = np.asarray(query, dtype=np.float64)
+    q_norm = float(np.sqrt(q @ q))
 
+    @F.pandas_udf("double")
+    def score(vectors: pd.Series) -> pd.Series:
+        out = np.zeros(len(vectors))
+        fit = np.array([v is not None and len(v) == len(q) for v in vectors], dtype=bool)
+        if fit.any() and q_norm > 0:
+            m = np.stack(vectors[fit].to_numpy()).astype(np.float64)
+            norms = np.sqrt(np.einsum("ij,ij->i", m, m)) * q_norm
+            out[fit] = np.divide(m @ q, norms, out=np.zeros(len(m)), where=norms > 0)
+        return pd.Series(out)
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 when lengths differ or a norm is 0."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) != F.size(b)) | (norms == 0), F.lit(0.0)).otherwise(dot(a, b) / norms)
+    return score
 
 
-def cosine_top(vectors: DataFrame, query_vector: Column, limit: int | None = S.SEARCH_LIMIT) -> DataFrame:
+def cosine_top(vectors: DataFrame, query: Sequence[float], limit: int | None = S.SEARCH_LIMIT) -> DataFrame:
     """(doc_id, score) by cosine to one query vector; a top-k, no full sort."""
-    scored = vectors.select("doc_id", cosine(F.col("vector"), query_vector).alias("score"))
+    scored = vectors.select("doc_id", cosine_scores(query)(F.col("vector")).alias("score"))
     return scored if limit is None else scored.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 

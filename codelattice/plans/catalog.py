@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codelattice.plans import graph_queries, score_queries
+from codelattice.plans import finding_queries, graph_queries, score_queries
 
-MODULES = [graph_queries, score_queries]
+MODULES = [graph_queries, score_queries, finding_queries]
 
 
 def all_queries() -> dict:
