@@ -1,13 +1,126 @@
-"""End-to-end jobs: build, change review, scan and hunt over DataFrames."""
+"""End-to-end jobs: build, update, change review, scan and hunt over DataFrames."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelattice import schema as S
+from codelattice.functions.paths import is_test_file
 from codelattice.model import CodeGraph
+from codelattice.operators import findings as FD
+from codelattice.operators import flows as FL
+from codelattice.operators import relations as R
+from codelattice.operators import resolve as RS
+from codelattice.operators import risk as K
 from codelattice.operators.lookup import _cut
 from codelattice.operators.relations import uncalled_functions
+from codelattice.operators.traversal import dependent_files
+from codelattice.sinks.store import replace_files
+from codelattice.sources import notebooks as NB
+from codelattice.sources.code import contains_edges, extract_python, import_names, nodes_of, raw_edges
+from codelattice.sources.files import files_to_parse
+from codelattice.sources.line_patterns import GROUP, extract_by_lines
+
+
+def graph_of_records(records: DataFrame, languages: DataFrame, files: DataFrame) -> CodeGraph:
+    """Records of any reader to a resolved graph; every resolution step is a join.
+
+    ``languages``: file_path, language; ``files``: all known paths.
+    """
+    typed = records.join(languages, "file_path")
+    nodes = nodes_of(typed, F.col("language"))
+    edges = raw_edges(typed)
+    imports = edges.where(F.col("kind") == "IMPORTS_FROM").join(languages, "file_path")
+    modules = RS.resolve_modules(
+        imports.select("file_path", F.col("target").alias("module"), "language"), files
+    ).select("file_path", "module", "resolved")
+    linked = edges.join(
+        modules.where(F.col("resolved").isNotNull()).withColumnRenamed("module", "target"), ["file_path", "target"], "left"
+    ).select(
+        "kind", "source",
+        F.when(F.col("kind") == "IMPORTS_FROM", F.coalesce("resolved", "target")).otherwise(F.col("target")).alias("target"),
+        "file_path", "line",
+    )
+    # A file-level definition wins over an import, an import over a nested definition.
+    named = RS.resolve_same_file(nodes.where("top_level"), linked)
+    imported = RS.resolve_imported(named, import_names(records), modules)
+    bound = RS.resolve_same_file(nodes, imported)
+    tested = RS.tested_by_edges(nodes, bound, is_test_file)
+    # The later definition of a qualified name is the one kept.
+    rest = [c for c in nodes.columns if c not in ("qualified_name", "top_level")]
+    unique = nodes.groupBy("qualified_name").agg(
+        F.max_by(F.struct(*rest), F.col("line_start")).alias("_r")
+    ).select("qualified_name", "_r.*")
+    everything = bound.unionByName(contains_edges(nodes)).unionByName(tested).distinct()
+    return CodeGraph(unique, everything)
+
+
+def build_from_files(files: DataFrame) -> CodeGraph:
+    """(file_path, text, language) to the code graph.
+
+    Python goes through the syntax tree, notebooks through their cells, other
+    languages through line patterns. Tables named in SQL cells become imports.
+    """
+    export = (F.col("language") == "python") & F.col("text").startswith("# Databricks notebook source\n")
+    plain = files.where((F.col("language") == "python") & ~export)
+    cells = NB.notebook_cells(files.where(F.col("language") == "notebook")).unionByName(
+        NB.exported_cells(files.where(export))
+    )
+    code = NB.joined_code(cells)
+    scripts = NB.script_blocks(files.where(F.col("language") == "vue"))
+    # Each script block keeps its line numbers by leading blank lines.
+    padded = scripts.groupBy("file_path").agg(
+        F.min_by("text", "block").alias("text"), F.min_by("line_offset", "block").alias("n")
+    ).select("file_path", F.concat(F.repeat(F.lit("\n"), F.col("n").cast("int")), "text").alias("text"), F.lit("vue").alias("language"))
+    others = files.where(F.col("language").isin(*[k for k in GROUP if k != "vue"])).select("file_path", "text", "language")
+    records = extract_python(plain.select("file_path", "text").unionByName(code)).unionByName(
+        extract_by_lines(others.unionByName(padded))
+    )
+    languages = files.select(
+        "file_path", F.when(F.col("language") == "notebook", "python").otherwise(F.col("language")).alias("language")
+    )
+    g = graph_of_records(records, languages, files.select("file_path"))
+    return CodeGraph(g.nodes, g.edges.unionByName(NB.table_lineage(cells)))
+
+
+def update_from_files(g: CodeGraph, stored_hashes: DataFrame, files: DataFrame, changed: DataFrame) -> CodeGraph:
+    """Re-read changed files and their dependents whose hash differs; deleted files go.
+
+    ``files`` is the current tree: file_path, text, language, file_hash.
+    """
+    around = dependent_files(g, changed).select("file_path")
+    wanted = changed.select("file_path").unionByName(around).distinct()
+    present = files.join(wanted, "file_path", "left_semi")
+    todo = files_to_parse(present, stored_hashes).select("file_path")
+    deleted = wanted.join(files.select("file_path"), "file_path", "left_anti")
+    fresh = build_from_files(files.join(todo, "file_path", "left_semi"))
+    return replace_files(g, todo.unionByName(deleted), fresh.nodes, fresh.edges)
+
+
+def review_changes(
+    g: CodeGraph, changed_files: DataFrame, ranges: DataFrame | None, flows: DataFrame, members: DataFrame,
+    communities: DataFrame, keywords: tuple[str, ...] = S.SECURITY_KEYWORDS,
+) -> dict[str, DataFrame]:
+    """All tables of a change review from one set of changed nodes."""
+    nodes = K.changed_nodes(g, changed_files, ranges)
+    risks = K.change_risk(g, nodes, FL.flow_counts(members), communities, keywords)
+    gaps = R.test_gaps(g, nodes)
+    hit = FL.affected_flows(flows, members, g, changed_files)
+    return {
+        "changed": risks, "test_gaps": gaps, "affected_flows": hit, "priorities": K.priorities(risks),
+        "summary": K.change_summary(risks, gaps, hit, changed_files),
+    }
+
+
+def scan(raw: DataFrame, stored: DataFrame | None, run_id) -> dict[str, DataFrame]:
+    """Raw findings of one run: deduplicated, normalised and merged into the store."""
+    found = FD.normalise(FD.deduplicate(raw).drop("merged"))
+    if stored is None:
+        fresh = FD.fold_history(found.withColumn("run_id", F.lit(run_id))).drop("runs")
+        return {"findings": found, "store": fresh, "is_new": found.select("fingerprint").distinct()}
+    merged = FD.upsert(stored, found.select("fingerprint", *[c for c in found.columns if c in stored.columns and c != "fingerprint"], "seq"), run_id)
+    return {"findings": found, "store": merged.drop("is_new", "in_run"), "is_new": merged.where("is_new").select("fingerprint")}
 
 
 def hunt_candidates(g: CodeGraph, flows: DataFrame, limit: int | None = 10) -> DataFrame:
@@ -16,3 +129,14 @@ def hunt_candidates(g: CodeGraph, flows: DataFrame, limit: int | None = 10) -> D
     second = uncalled_functions(g, None).select("qualified_name", F.lit(2).alias("priority"))
     merged = first.unionByName(second).groupBy("qualified_name").agg(F.min("priority").alias("priority"))
     return _cut(merged, [F.asc("priority"), F.asc("qualified_name")], limit)
+
+
+def analyse(findings: DataFrame, ask, text_column: str = "answer") -> DataFrame:
+    """Findings with a verdict struct; ``ask`` is a pandas UDF from prompt text to answer text."""
+    from codelattice.functions.findings import parse_verdict
+
+    prompt = F.concat_ws(
+        "\n", F.concat(F.lit("Rule: "), "rule_id"), F.concat(F.lit("Severity: "), "severity"),
+        F.concat(F.lit("Location: "), "file_path", F.lit(":"), F.col("line_start").cast("string")),
+    )
+    return findings.withColumn(text_column, ask(prompt)).withColumn("v", parse_verdict(F.col(text_column)))
