@@ -40,7 +40,7 @@ def reciprocal_rank(ranked: DataFrame, keys: list[str], position: str, is_hit: C
 def token_efficiency(raw: Column, graph: Column) -> tuple[Column, Column]:
     """Ratio of graph to raw tokens and the reduction in percent."""
     ratio = F.when(raw > 0, graph / raw).otherwise(0.0)
-    return rounded(ratio), rounded(F.when(raw > 0, (F.lit(1.0) - graph / raw) * 100).otherwise(0.0), 1)
+    return rounded(ratio), rounded(F.when(raw > 0, (F.lit(1.0) - graph / raw) * 100).otherwise(0.0), 2)
 
 
 def token_totals(texts: DataFrame, keys: list[str], text: str) -> DataFrame:

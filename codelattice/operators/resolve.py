@@ -49,8 +49,9 @@ def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
         ]),
     ))
     base = F.concat(F.when(folder == "", F.lit("")).otherwise(F.concat(folder, F.lit("/"))), F.col("module"))
-    plain = _collapse(base)
-    stem = F.regexp_replace(plain, r"\.[^./]*$", "")
+    # Columns of their own, so the path clean-up runs once per import.
+    rows = rows.withColumn("plain", _collapse(base)).withColumn("stem", F.regexp_replace("plain", r"\.[^./]*$", ""))
+    plain, stem = F.col("plain"), F.col("stem")
     script = F.array(
         plain, *[F.concat(stem, F.lit(s)) for s in SCRIPT_SUFFIXES],
         *[F.concat(plain, F.lit("/index" + s)) for s in SCRIPT_SUFFIXES],
@@ -67,7 +68,7 @@ def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
         .join(files.select(F.col("file_path").alias("path")).distinct(), "path")
         .groupBy("file_path", "module", "language").agg(F.min_by("path", "rank").alias("resolved"))
     )
-    return rows.join(found, ["file_path", "module", "language"], "left")
+    return rows.drop("plain", "stem").join(found, ["file_path", "module", "language"], "left")
 
 
 def _collapse(path):
@@ -110,7 +111,9 @@ def resolve_aliases(imports: DataFrame, aliases: DataFrame, files: DataFrame) ->
     rest = F.col("module").substr(F.length(head) + 1, F.length("module") - F.length(head) - F.length(tail))
     hit = owner.join(aliases, "config_dir").where(fits)
     place = F.when(F.coalesce("base_dir", F.lit("")) == "", F.lit("")).otherwise(F.concat("base_dir", F.lit("/")))
-    plain = _collapse(F.concat(place, F.when(wild, F.replace(F.col("target"), F.lit("*"), rest)).otherwise(F.col("target"))))
+    filled = F.when(wild, F.replace(F.col("target"), F.lit("*"), rest)).otherwise(F.col("target"))
+    hit = hit.withColumn("plain", _collapse(F.concat(place, filled)))
+    plain = F.col("plain")
     options = F.array(
         plain, *[F.concat(plain, F.lit(s)) for s in SCRIPT_SUFFIXES],
         *[F.concat(plain, F.lit("/index" + s)) for s in SCRIPT_SUFFIXES],

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codelattice.plans import finding_queries, graph_queries, score_queries
+from codelattice.plans import finding_queries, graph_queries, score_queries, source_queries
 
-MODULES = [graph_queries, score_queries, finding_queries]
+MODULES = [graph_queries, score_queries, finding_queries, source_queries]
 
 
 def all_queries() -> dict:

@@ -16,6 +16,7 @@ from codelattice.operators import risk as K
 from codelattice.operators.lookup import _cut
 from codelattice.operators.relations import uncalled_functions
 from codelattice.operators.traversal import dependent_files
+from codelattice.session import stage
 from codelattice.sinks.store import replace_files
 from codelattice.sources import notebooks as NB
 from codelattice.sources.code import contains_edges, extract_python, import_names, nodes_of, raw_edges
@@ -28,9 +29,11 @@ def graph_of_records(records: DataFrame, languages: DataFrame, files: DataFrame)
 
     ``languages``: file_path, language; ``files``: all known paths.
     """
+    # The readers run once: every later step reads the stored records.
+    records = stage(records, "records", ("rec",))
     typed = records.join(languages, "file_path")
     nodes = nodes_of(typed, F.col("language"))
-    edges = raw_edges(typed)
+    edges = raw_edges(records)
     imports = edges.where(F.col("kind") == "IMPORTS_FROM").join(languages, "file_path")
     modules = RS.resolve_modules(
         imports.select("file_path", F.col("target").alias("module"), "language"), files
@@ -62,21 +65,22 @@ def build_from_files(files: DataFrame) -> CodeGraph:
     Python goes through the syntax tree, notebooks through their cells, other
     languages through line patterns. Tables named in SQL cells become imports.
     """
+    # At most one row per supported language; absent readers stay out of the plan.
+    present = {r["language"] for r in files.select("language").distinct().collect()}
     export = (F.col("language") == "python") & F.col("text").startswith("# Databricks notebook source\n")
-    plain = files.where((F.col("language") == "python") & ~export)
-    cells = NB.notebook_cells(files.where(F.col("language") == "notebook")).unionByName(
-        NB.exported_cells(files.where(export))
-    )
-    code = NB.joined_code(cells)
-    scripts = NB.script_blocks(files.where(F.col("language") == "vue"))
-    # Each script block keeps its line numbers by leading blank lines.
-    padded = scripts.groupBy("file_path").agg(
-        F.min_by("text", "block").alias("text"), F.min_by("line_offset", "block").alias("n")
-    ).select("file_path", F.concat(F.repeat(F.lit("\n"), F.col("n").cast("int")), "text").alias("text"), F.lit("vue").alias("language"))
-    others = files.where(F.col("language").isin(*[k for k in GROUP if k != "vue"])).select("file_path", "text", "language")
-    records = extract_python(plain.select("file_path", "text").unionByName(code)).unionByName(
-        extract_by_lines(others.unionByName(padded))
-    )
+    cells = NB.exported_cells(files.where(export))
+    if "notebook" in present:
+        cells = cells.unionByName(NB.notebook_cells(files.where(F.col("language") == "notebook")))
+    plain = files.where((F.col("language") == "python") & ~export).select("file_path", "text")
+    records = extract_python(plain.unionByName(NB.joined_code(cells)))
+    scripts = present & set(GROUP)
+    if scripts:
+        others = files.where(F.col("language").isin(*scripts) & (F.col("language") != "vue")).select(
+            "file_path", "text", "language"
+        )
+        if "vue" in scripts:
+            others = others.unionByName(NB.component_code(files.where(F.col("language") == "vue")))
+        records = records.unionByName(extract_by_lines(others))
     languages = files.select(
         "file_path", F.when(F.col("language") == "notebook", "python").otherwise(F.col("language")).alias("language")
     )

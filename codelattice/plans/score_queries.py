@@ -381,7 +381,7 @@ def token_totals(w: Workspace) -> DataFrame:
 
 @register("token_efficiency", """
 WITH t AS (SELECT source, sum(length(text) // 4)::DOUBLE AS raw, sum(greatest(n_chars // 40, 1))::DOUBLE AS g FROM documents GROUP BY source)
-SELECT source, round(g / raw + 1e-9::DOUBLE, 4) AS ratio, round((1.0::DOUBLE - g / raw) * 100 + 1e-9::DOUBLE, 1) AS reduction FROM t""")
+SELECT source, round(g / raw + 1e-9::DOUBLE, 4) AS ratio, round((1.0::DOUBLE - g / raw) * 100 + 1e-9::DOUBLE, 2) AS reduction FROM t""")
 def token_efficiency(w: Workspace) -> DataFrame:
     t = w.table("documents").groupBy("source").agg(
         F.sum(token_estimate(F.col("text"))).alias("raw"),

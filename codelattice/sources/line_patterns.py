@@ -142,4 +142,15 @@ def extract_by_lines(files: DataFrame) -> DataFrame:
     call_rows = shaped(
         called, rec=F.lit("edge"), kind=F.lit("CALLS"), source=F.concat("file_path", F.lit("::"), owner), target=F.col("callee"),
     )
-    return file_rows.unionByName(def_rows).unionByName(import_rows).unionByName(call_rows)
+    # ``import D, { a, b as c } from "m"`` binds D, a and c to m.
+    binding = r"""^\s*import\s+(?:type\s+)?(.+?)\s+from\s+["']"""
+    bound = (
+        marked.where((F.col("imp") != "") & (first(binding) != "")).select(
+            "file_path", "line", "imp",
+            F.explode(F.split(F.regexp_replace(first(binding), r"[{}]", ","), ",")).alias("item"),
+        )
+        .select("file_path", "line", "imp", F.regexp_extract(F.trim("item"), r"(\w+)$", 1).alias("name"))
+        .where(F.col("name") != "")
+    )
+    name_rows = shaped(bound, rec=F.lit("name"), kind=F.lit("IMPORT"), name=F.col("name"), target=F.trim("imp"))
+    return file_rows.unionByName(def_rows).unionByName(import_rows).unionByName(call_rows).unionByName(name_rows)

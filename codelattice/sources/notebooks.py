@@ -114,3 +114,16 @@ def script_blocks(files: DataFrame) -> DataFrame:
         "file_path", "block", F.when(typed.isin("ts", "typescript"), "typescript").otherwise("javascript").alias("language"),
         (newlines(lead) + newlines(opening)).alias("line_offset"), inner.alias("text"),
     )
+
+
+def component_code(files: DataFrame) -> DataFrame:
+    """Script text of single-file components, line numbers kept by leading blank lines."""
+    first = script_blocks(files).groupBy("file_path").agg(
+        F.array_sort(F.collect_list(F.struct("line_offset", "text"))).alias("blocks")
+    )
+    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    joined = F.aggregate(
+        "blocks", F.lit(""),
+        lambda acc, b: F.concat(acc, F.repeat(F.lit("\n"), (b["line_offset"] - lines(acc)).cast("int")), b["text"]),
+    )
+    return first.select("file_path", joined.alias("text"), F.lit("vue").alias("language"))
