@@ -1,8 +1,9 @@
 """Bounded graph traversal as level-synchronous joins.
 
-One job per level: the frontier meets the edges, results are reduced per key
-before and after the shuffle, visited names are removed by an anti-join and
-the level is cut with a reliable checkpoint.
+One job per level: the frontier meets the edges (bucketed on their source, so
+they are shuffled once for all levels), results are reduced per key before and
+after the shuffle, visited names are removed by an anti-join and the level is
+written to the shared folder.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from codelattice import schema as S
 from codelattice.model import CodeGraph
 from codelattice.operators.lookup import top_per_key
-from codelattice.session import cut
+from codelattice.session import Levels, cut, drop_table, stage_bucketed
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -35,26 +36,29 @@ def reach(seeds: DataFrame, edges: DataFrame, max_depth: int, stop_above: int |
     With ``stop_above`` the walk ends once seen plus new names exceed it; the
     last found level is kept.
     """
-    frontier = cut(seeds.select("qualified_name").distinct().withColumn("depth", F.lit(0)))
-    levels, seen = [frontier], frontier.count() if stop_above is not None else 0
+    spark = seeds.sparkSession
+    links, table = edges.select("source", "target"), None
+    if max_depth > 2:
+        links, table = stage_bucketed(links.distinct(), "links", "source")
+    levels = Levels(spark, "reach")
+    frontier = levels.add(seeds.select("qualified_name").distinct().withColumn("depth", F.lit(0)))
+    seen = levels.last_rows
     for depth in range(1, max_depth + 1):
         step = (
             frontier.select(F.col("qualified_name").alias("source"))
-            .join(edges, "source")
+            .join(links, "source")
             .select(F.col("target").alias("qualified_name"))
             .distinct()
-            .join(_union(levels).select("qualified_name"), "qualified_name", "left_anti")
+            .join(levels.all().select("qualified_name"), "qualified_name", "left_anti")
             .withColumn("depth", F.lit(depth))
         )
-        frontier = cut(step)
-        if frontier.isEmpty():
+        frontier = levels.add(step)
+        seen += levels.last_rows
+        if levels.last_rows == 0 or (stop_above is not None and seen > stop_above):
             break
-        levels.append(frontier)
-        if stop_above is not None:
-            seen += frontier.count()
-            if seen > stop_above:
-                break
-    return _union(levels)
+    if table:
+        drop_table(spark, table)
+    return levels.all()
 
 
 def impact_radius(
@@ -111,29 +115,31 @@ def trace(roots: DataFrame, calls: DataFrame, max_depth: int = S.FLOW_MAX_DEPTH)
     of the first discovery; within a depth its order is the discovery order.
     ``roots`` has ``root``; ``calls`` has ``source``, ``target``, ``line``.
     """
-    steps = calls.groupBy("source", "target").agg(F.min("line").alias("line"))
-    steps = cut(steps)
-    frontier = cut(
+    spark = calls.sparkSession
+    steps, table = stage_bucketed(
+        calls.groupBy("source", "target").agg(F.min("line").alias("line")), "steps", "source"
+    )
+    levels = Levels(spark, "trace")
+    frontier = levels.add(
         roots.select("root").distinct().select(
             "root", F.col("root").alias("node"), F.lit(0).alias("depth"),
             F.expr("cast(array() as array<struct<line:int,target:string>>)").alias("trail"),
         )
     )
-    levels = [frontier]
     for depth in range(1, max_depth + 1):
         found = (
             frontier.join(steps, frontier["node"] == steps["source"])
             .select("root", F.col("target").alias("node"),
                     F.concat("trail", F.array(F.struct("line", "target"))).alias("trail"))
-            .join(_union(levels).select("root", "node"), ["root", "node"], "left_anti")
             .groupBy("root", "node").agg(F.min("trail").alias("trail"))
+            .join(levels.all().select("root", "node"), ["root", "node"], "left_anti")
             .select("root", "node", F.lit(depth).alias("depth"), "trail")
         )
-        frontier = cut(found)
-        if frontier.isEmpty():
+        frontier = levels.add(found)
+        if levels.last_rows == 0:
             break
-        levels.append(frontier)
-    return _union(levels)
+    drop_table(spark, table)
+    return levels.all()
 
 
 def file_links(g: CodeGraph) -> DataFrame:

@@ -48,7 +48,8 @@ def graph_of_records(records: DataFrame, languages: DataFrame, files: DataFrame)
     # A file-level definition wins over an import, an import over a nested definition.
     named = RS.resolve_same_file(nodes.where("top_level"), linked)
     imported = RS.resolve_imported(named, import_names(records), modules)
-    bound = RS.resolve_same_file(nodes, imported)
+    # Component files stop after the file-level step.
+    bound = RS.resolve_same_file(nodes.where(F.col("language") != "vue"), imported)
     tested = RS.tested_by_edges(nodes, bound, is_test_file)
     # The later definition of a qualified name is the one kept.
     rest = [c for c in nodes.columns if c not in ("qualified_name", "top_level")]

@@ -57,7 +57,9 @@ def python_files(w: Workspace) -> DataFrame:
         "def helper_", k, "(x):\n    ", F.when(k > 0, _c("helper_", k - 1, "(x)")).otherwise("pass"), "\n    return Box", k, "().run(x, 1)\n\n",
         "@app.route('/", k, "')\ndef test_part_", k, "():\n    helper_", k, "(", size, ")\n",
     )
-    return w.table("part").select(_c("gen/p", k, ".py").alias("file_path"), text.alias("text"), F.lit("python").alias("language"))
+    # Keys are spread before the texts exist, so many tasks share the reading.
+    parts = w.table("part").select("p_partkey", "p_size").repartition("p_partkey")
+    return parts.select(_c("gen/p", k, ".py").alias("file_path"), text.alias("text"), F.lit("python").alias("language"))
 
 
 PY = """

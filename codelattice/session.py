@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # A plan-time estimate beyond this is never broadcast on purpose.
 BROADCAST_ROW_BOUND = 1_000_000
@@ -56,6 +57,55 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """A staged table bucketed and sorted on a key, for many joins on that key.
+
+    Joins read it without another shuffle or sort. Returns the table and its
+    catalogue name, to be dropped with ``drop_table`` once the loop is over
+    (the files stay in the shared folder).
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"codelattice_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/codelattice-stage/{table}"
+    (
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+        .option("path", path).format("parquet").saveAsTable(table)
+    )
+    return spark.table(table), table
+
+
+def drop_table(spark: SparkSession, table: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+class Levels:
+    """The growing result of a level loop as one staged table.
+
+    Each level is written once; sizes are known to the planner, so a small
+    frontier is broadcast by Spark itself and a large one is shuffled.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/codelattice-stage/{uuid.uuid4().hex}/{name}"
+        self.paths: list[str] = []
+        self.schema = None
+        self.last_rows = 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/level_{len(self.paths)}"
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+        self.last_rows = seen.get["rows"]
+        self.schema = df.schema
+        self.paths.append(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a derived table to the shared folder and read it back.
 
