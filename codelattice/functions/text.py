@@ -72,3 +72,16 @@ def doc_section(text: Column, name: str) -> Column:
     """Body of ``<section name="...">``; empty when absent."""
     quoted = "".join(c if c.isalnum() or c in " _" else "\\" + c for c in name)
     return F.trim(F.regexp_extract(text, rf'(?is)<section name="{quoted}">(.*?)</section>', 1))
+
+
+def source_window(text: Column, start: int, end: int, context: int = 5) -> Column:
+    """Array of (line, code, highlight) around a line range, clamped to the text."""
+    lines = F.split(text, "\r\n|\r|\n")
+    first = max(start - context, 1)
+    shown = F.slice(lines, F.lit(first), F.lit(end + context - first + 1))
+    return F.transform(
+        shown,
+        lambda code, i: F.struct(
+            (i + first).alias("line"), code.alias("code"), (i + first).between(start, end).alias("highlight")
+        ),
+    )

@@ -311,3 +311,8 @@ def modularity(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return share.agg(
         F.sum(F.col("inner") / total - F.pow(F.col("deg") / (total * 2), F.lit(2.0))).alias("modularity")
     )
+
+
+def refresh_communities(g: CodeGraph, members: DataFrame, changed_files: DataFrame, detect=file_members) -> DataFrame:
+    """Detect again only when a changed file holds a member; else keep the old ones."""
+    return detect(g) if touches_communities(g, members, changed_files) else members

@@ -278,3 +278,12 @@ def parse_hunt_answers(answers: DataFrame, text: str = "answer", entry: str = "e
         f("cvss").try_cast("double").alias("cvss_score"), clean(f("cvss_vector")).alias("cvss_vector"),
         F.coalesce(f("function"), F.col("entry")).alias("function"),
     )
+
+
+def run_table(links: DataFrame, history: DataFrame, run: str = "run_id") -> DataFrame:
+    """One record per run: findings by severity and the change counters."""
+    found = links.join(history.select("fingerprint", "severity"), "fingerprint").groupBy(run).agg(
+        F.count("*").alias("findings"),
+        *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")],
+    )
+    return found.join(run_counters(compare_runs(links, run), run), run)

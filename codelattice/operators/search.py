@@ -244,3 +244,13 @@ def refresh_embeddings(stored: DataFrame, texts: DataFrame, provider: str = "let
     fresh = embed(todo.select("doc_id", "text"), provider, encode)
     kept = stored.join(todo.select("doc_id"), "doc_id", "left_anti")
     return kept.unionByName(fresh)
+
+
+def cross_repo_search(graphs: dict[str, CodeGraph], query: str, kind: str | None = None,
+                      limit: int = S.SEARCH_LIMIT) -> DataFrame:
+    """Hybrid search in each repository, merged by score."""
+    merged = None
+    for repo in sorted(graphs):
+        part = hybrid_search(graphs[repo], query, kind, limit).withColumn("repo", F.lit(repo))
+        merged = part if merged is None else merged.unionByName(part)
+    return merged.orderBy(F.desc("score"), "repo", "qualified_name").limit(limit)

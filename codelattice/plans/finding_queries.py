@@ -453,3 +453,45 @@ b AS (SELECT f.doc_id, n.kind, n.file_path, f.score * CASE WHEN n.kind = 'Functi
 SELECT doc_id AS qualified_name, kind, file_path, round(s + 1e-9::DOUBLE, 6) AS score FROM b WHERE kind = 'Function' ORDER BY s DESC, doc_id LIMIT 20"""))
 def hybrid_search(w: Workspace) -> DataFrame:
     return SE.hybrid_search(w.graph, "old_bolt", kind="Function")
+
+
+@register("run_table", over(FINDINGS, HISTORY, RUNS, sql="""
+WITH s AS (SELECT l.run_day, count(*) AS findings, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
+ count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low FROM links l JOIN hist USING (fingerprint) GROUP BY 1),
+c AS (SELECT run_day, count(*) FILTER (change = 'new') AS "new", count(*) FILTER (change = 'recurring') AS recurring, count(*) FILTER (change = 'fixed') AS fixed FROM cmp GROUP BY 1)
+SELECT * FROM s JOIN c USING (run_day)"""))
+def run_table(w: Workspace) -> DataFrame:
+    return FD.run_table(FD.run_links(w.normalised, "run_day"), w.history, "run_day")
+
+
+@register("stemmed_phrase_search")
+def stemmed_phrase_search(w: Workspace) -> DataFrame:
+    """The phrase index with stemmed terms (no SQL form)."""
+    docs = w.table("documents").select("doc_id", "text")
+    return SE.phrase_search(docs, "in the", None, stem=True)
+
+
+@register("cross_repo_search", over(GRAPH, r"""
+nd AS (SELECT qualified_name AS doc_id, kind, split_part(file_path, '/', 2) AS repo, concat_ws(' ', name, qualified_name, file_path,
+  CASE WHEN kind IN ('Function', 'Test') THEN 'def ' || name || '(' || coalesce(params, '') || ')' || CASE WHEN coalesce(return_type, '') <> '' THEN ' -> ' || return_type ELSE '' END WHEN kind = 'Class' THEN 'class ' || name ELSE name END) AS text FROM nodes),
+tok AS MATERIALIZED (SELECT doc_id, repo, kind, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS words FROM nd),
+st AS (SELECT repo, count(*)::DOUBLE AS n, avg(len(words)) AS al FROM tok GROUP BY repo),
+flat AS MATERIALIZED (SELECT doc_id, repo, kind, len(words) AS doc_len, unnest(words) AS term, unnest(range(len(words))) AS pos FROM tok),
+hits AS MATERIALIZED (SELECT a.doc_id, a.repo, a.kind, a.doc_len, count(*) AS tf FROM flat a JOIN flat b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'red' AND b.term = 'ring' GROUP BY 1, 2, 3, 4),
+hn AS (SELECT repo, count(*) AS c FROM hits GROUP BY repo),
+scored AS (SELECT h.*, ln(1.0::DOUBLE + (n - c + 0.5::DOUBLE) / (c + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / al))) AS score FROM hits h JOIN st USING (repo) JOIN hn USING (repo)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, doc_id) AS rn FROM scored)
+""", sql="""
+WITH b AS (SELECT repo, doc_id, round(1.0::DOUBLE / (60 + rn) * CASE WHEN kind = 'Function' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END + 1e-9::DOUBLE, 6) AS score,
+  1.0::DOUBLE / (60 + rn) * CASE WHEN kind = 'Function' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS s FROM ranked WHERE rn <= 60),
+t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY repo ORDER BY s DESC, doc_id) <= 20)
+SELECT repo, doc_id AS qualified_name, score FROM t ORDER BY score DESC, repo, doc_id LIMIT 20"""))
+def cross_repo_search(w: Workspace) -> DataFrame:
+    """One repository per top folder of the commerce graph."""
+    from codelattice.model import CodeGraph
+
+    g = w.graph
+    folder = F.split("file_path", "/")[1]
+    names = [r[0] for r in g.nodes.select(folder).distinct().collect()]
+    graphs = {n: CodeGraph(g.nodes.where(folder == n), g.edges) for n in names}
+    return SE.cross_repo_search(graphs, "red_ring").select("repo", "qualified_name", "score")

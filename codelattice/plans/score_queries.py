@@ -406,3 +406,30 @@ SELECT count(*) AS expected, count(*) FILTER (EXISTS (SELECT 1 FROM flows WHERE
 def flow_recall(w: Workspace) -> DataFrame:
     expected = w.table("part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("expected")).distinct()
     return EV.flow_recall(w.flows, expected)
+
+
+# --- further forms -----------------------------------------------------------
+
+
+@register("impact_radius_stop_on_size", graph("""
+WITH bw AS MATERIALIZED (SELECT source, target FROM edges UNION SELECT target, source FROM edges),
+r(q, d) AS (SELECT qualified_name, 0 FROM nodes WHERE file_path IN (SELECT file_path FROM changed_files) UNION SELECT bw.target, r.d + 1 FROM r JOIN bw ON bw.source = r.q WHERE r.d < 6),
+near AS MATERIALIZED (SELECT q, min(d) AS depth FROM r GROUP BY q),
+cum AS (SELECT depth, sum(count(*)) OVER (ORDER BY depth) AS seen FROM near GROUP BY depth),
+kept AS (SELECT near.* FROM near WHERE depth = 0 OR (SELECT seen FROM cum WHERE cum.depth = near.depth - 1) <= 1000),
+cut AS (SELECT * FROM kept WHERE depth = 0 UNION ALL (SELECT * FROM kept WHERE depth > 0 ORDER BY depth, q LIMIT 1000))
+SELECT n.qualified_name, c.depth FROM cut c JOIN nodes n ON n.qualified_name = c.q"""))
+def impact_radius_stop_on_size(w: Workspace) -> DataFrame:
+    return T.impact_radius(w.graph, w.changed_files, 6, 1000, stop_on_size=True).select("qualified_name", "depth")
+
+
+@register("communities_refresh", graph("SELECT community_id, qualified_name FROM file_members"))
+def communities_refresh(w: Workspace) -> DataFrame:
+    return C.refresh_communities(w.graph, w.file_members, w.changed_files)
+
+
+@register("hub_edges", graph("""
+WITH h AS (SELECT target AS q FROM edges WHERE kind = 'CALLS' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT kind, source, target, file_path, line FROM edges WHERE source = (SELECT q FROM h) OR target = (SELECT q FROM h)"""))
+def hub_edges(w: Workspace) -> DataFrame:
+    return L.edges_of_node(w.graph, SM.hub_functions(w.graph, 1).first()["qualified_name"]).select(*S.EDGE_KEY)

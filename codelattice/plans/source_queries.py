@@ -476,3 +476,12 @@ def rename_apply(w: Workspace) -> DataFrame:
     same = F.size(F.filter(F.zip_with(now, old, lambda a, b: a == b), lambda x: x))
     renamed = F.contains(F.element_at(now, 10), F.lit("_v2(x)"))
     return done.select("file_path", F.when(renamed, same).otherwise(-1).alias("lines_kept"))
+
+
+@register("source_windows", r"""
+WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS code, unnest(range(1, len(regexp_split_to_array(text, '\r\n|\r|\n')) + 1)) AS line FROM documents)
+SELECT doc_id, CAST(line AS INTEGER) AS line, code, line BETWEEN 3 AND 4 AS highlight FROM l WHERE line BETWEEN 1 AND 6""")
+def source_windows(w: Workspace) -> DataFrame:
+    from codelattice.functions.text import source_window
+
+    return w.table("documents").select("doc_id", F.explode(source_window(F.col("text"), 3, 4, 2)).alias("x")).select("doc_id", "x.*")
