@@ -7,6 +7,7 @@ import os
 import re
 import subprocess
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,14 +150,12 @@ def evaluation_configs(texts: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def yaml_to_json(texts: DataFrame) -> DataFrame:
-    """YAML texts as JSON texts; needs a YAML reader on the executors."""
-    import pandas as pd
+def _yaml_batch(column: pd.Series) -> pd.Series:
+    import yaml
 
-    @F.pandas_udf("string")
-    def convert(column: pd.Series) -> pd.Series:
-        import yaml
+    return column.map(lambda t: json.dumps(yaml.safe_load(t), default=str))
 
-        return column.map(lambda t: json.dumps(yaml.safe_load(t), default=str))
 
-    return texts.withColumn("text", convert("text"))
+def yaml_to_json(texts: DataFrame) -> DataFrame:
+    """YAML texts as JSON texts; needs a YAML reader on the executors."""
+    return texts.withColumn("text", F.pandas_udf(_yaml_batch, "string")("text"))
