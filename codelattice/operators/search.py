@@ -16,6 +16,7 @@ from codelattice.functions.paths import signature
 from codelattice.functions.text import words_of
 from codelattice.model import CodeGraph
 from codelattice.operators.lookup import keyword_match
+from codelattice.operators.ordering import rank_rows
 
 K1, B = 1.2, 0.75
 
@@ -131,16 +132,21 @@ def kind_boosts(query: str) -> dict[str, float]:
 def fuse(lists: list[DataFrame], k: int = S.RRF_K, limit: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (doc_id, score).
 
-    Each list is cut to its top rows first when a limit is given, so ranks are
-    numbered over a bounded list.
+    A limit cuts each list to its top rows, which are then numbered in one
+    small window; whole lists are numbered by the many-task ranking.
     """
     parts = []
+    order = [F.desc("score"), F.asc("doc_id")]
     for ranked in lists:
         top = ranked.select("doc_id", "score")
         if limit is not None:
-            top = top.orderBy(F.desc("score"), "doc_id").limit(limit)
-        place = F.row_number().over(Window.orderBy(F.desc("score"), F.asc("doc_id")))
-        parts.append(top.select("doc_id", (F.lit(1.0) / (F.lit(k) + place)).alias("part")))
+            top = top.orderBy(*order).limit(limit)
+            placed = top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+        else:
+            placed = rank_rows(top.withColumn("list", F.lit(0)), ["list"], order, "place").withColumn(
+                "place", F.col("place") + 1
+            )
+        parts.append(placed.select("doc_id", (F.lit(1.0) / (F.lit(k) + F.col("place"))).alias("part")))
     merged = parts[0]
     for more in parts[1:]:
         merged = merged.unionByName(more)

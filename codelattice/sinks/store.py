@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codelattice import schema as S
 from codelattice.model import CodeGraph
@@ -53,12 +56,21 @@ def write_graph(g: CodeGraph, path: str, buckets: int = 64) -> None:
     """Parquet below ``path``, partitioned by file bucket so files can be replaced alone."""
     for name, df in (("nodes", g.nodes), ("edges", g.edges)):
         with_bucket(df, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
-    save_metadata(g.spark, path, {"buckets": str(buckets)})
+    save_metadata(g.spark, path, {
+        "buckets": str(buckets), "nodes": with_bucket(g.nodes, buckets).schema.json(),
+        "edges": with_bucket(g.edges, buckets).schema.json(),
+    })
 
 
 def read_graph(spark: SparkSession, path: str) -> CodeGraph:
-    read = lambda name: spark.read.parquet(f"{path}/{name}").drop("bucket")
-    return CodeGraph(read("nodes"), read("edges"))
+    known = load_metadata(spark, path)
+    return CodeGraph(*[_stored(spark, path, name, known).drop("bucket") for name in ("nodes", "edges")])
+
+
+def _stored(spark: SparkSession, path: str, name: str, known: dict[str, str]) -> DataFrame:
+    """A stored table under its recorded schema, so an emptied graph still opens."""
+    schema = T.StructType.fromJson(json.loads(known[name]))
+    return spark.read.schema(schema).parquet(f"{path}/{name}")
 
 
 def replace_files_at(spark: SparkSession, path: str, files: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
@@ -67,11 +79,14 @@ def replace_files_at(spark: SparkSession, path: str, files: DataFrame, nodes: Da
     The merged buckets are cut first, as they are read from the place they are
     written to; the overwrite then touches just those partitions.
     """
-    buckets = int(load_metadata(spark, path)["buckets"])
-    gone = with_bucket(files.select("file_path").distinct(), buckets)
+    known = load_metadata(spark, path)
+    buckets = int(known["buckets"])
+    # The inputs may themselves be read from this graph, so they are cut first.
+    gone = cut(with_bucket(files.select("file_path").distinct(), buckets))
     touched = gone.select("bucket").distinct()
-    for name, fresh in (("nodes", nodes), ("edges", edges)):
-        stored = spark.read.parquet(f"{path}/{name}").join(F.broadcast(touched), "bucket", "left_semi")
+    inputs = (("nodes", cut(nodes)), ("edges", cut(edges)))
+    for name, fresh in inputs:
+        stored = _stored(spark, path, name, known).join(touched, "bucket", "left_semi")
         merged = stored.join(gone.select("file_path"), "file_path", "left_anti").unionByName(
             with_bucket(fresh, buckets), allowMissingColumns=True
         )

@@ -37,7 +37,7 @@ def apply_events(spark: SparkSession, graph_path: str, events: DataFrame) -> Non
         return
     live = last.where((F.col("event") != "deleted") & F.col("text").isNotNull())
     fresh = build_from_files(live.select("file_path", "text", "language"))
-    replace_files_at(spark, graph_path, last.select("file_path"), cut(fresh.nodes), cut(fresh.edges))
+    replace_files_at(spark, graph_path, last.select("file_path"), fresh.nodes, fresh.edges)
 
 
 def watch(events: DataFrame, graph_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

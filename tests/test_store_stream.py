@@ -1,6 +1,7 @@
 """Stored graphs and the streaming forms."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def stream_of(spark, tmp_path, batches, schema):
 def collect(df, tmp_path, name):
     q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination()
-    return q.sparkSession.table(name).collect()
+    return df.sparkSession.table(name).collect()
 
 
 def test_session_stream_equals_batch(spark, tmp_path):
@@ -91,7 +92,13 @@ def test_previews(spark, tmp_path):
     rows = [[{"refactor_id": "a", "ts": "2024-01-01T00:00:00Z", "action": "preview"}],
             [{"refactor_id": "a", "ts": "2024-01-01T00:00:01Z", "action": "apply"}, {"refactor_id": "b", "ts": "2024-01-01T00:00:01Z", "action": "apply"}]]
     df = previews.track_previews(stream_of(spark, tmp_path, rows, "refactor_id string, ts timestamp, action string"))
-    assert sorted((r[0], r[1]) for r in collect(df, tmp_path, "previews")) == [("a", "applied"), ("a", "pending"), ("b", "unknown")]
+    # A processing-time timeout keeps a query running, so it is stopped by hand.
+    q = df.writeStream.format("memory").queryName("previews").option("checkpointLocation", str(tmp_path / "previews")).outputMode("append").start()
+    deadline = time.time() + 40
+    while time.time() < deadline and spark.table("previews").count() < 3 and q.isActive:
+        time.sleep(0.5)
+    q.stop()
+    assert sorted((r[0], r[1]) for r in spark.table("previews").collect()) == [("a", "applied"), ("a", "pending"), ("b", "unknown")]
 
 
 def test_verdict_stream(spark, tmp_path):
