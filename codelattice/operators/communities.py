@@ -11,7 +11,7 @@ from codelattice.functions.paths import folder_label
 from codelattice.functions.text import slug, split_identifier
 from codelattice.model import CodeGraph
 from codelattice.operators.lookup import _cut, top_per_key
-from codelattice.session import cut
+from codelattice.session import cut, drop_table, stage, stage_bucketed
 
 
 def file_members(g: CodeGraph, min_size: int = 2) -> DataFrame:
@@ -50,22 +50,25 @@ def propagate_labels(pairs: DataFrame, rounds: int = 10) -> DataFrame:
         pairs.select(F.col("b").alias("node"), F.col("a").alias("via"), "w")
     )
     own = links.groupBy("node").agg(F.max("w").alias("w")).select("node", F.col("node").alias("via"), "w")
-    links = cut(links.unionByName(own))
-    labels = cut(own.select("node", F.col("node").alias("label")))
+    spark = pairs.sparkSession
+    # The votes are joined once per round, always on the voting neighbour.
+    votes_from, table = stage_bucketed(links.unionByName(own), "votes", "via")
+    labels = stage(own.select("node", F.col("node").alias("label")), "labels")
     for _ in range(rounds):
         votes = (
-            links.join(labels.select(F.col("node").alias("via"), "label"), "via")
+            votes_from.join(labels.select(F.col("node").alias("via"), "label"), "via")
             .groupBy("node", "label").agg(F.sum(F.round(F.col("w") * 10).cast("bigint")).alias("votes"))
         )
         chosen = votes.groupBy("node").agg(
             F.min_by("label", F.struct(-F.col("votes"), F.col("label"))).alias("label")
         )
-        fresh = cut(chosen)
+        fresh = stage(chosen, "labels")
         moved = fresh.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("old") != F.col("label"))
         stable = moved.isEmpty()
         labels = fresh
         if stable:
             break
+    drop_table(spark, table)
     return labels
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelattice.functions.findings import severity_order
 from codelattice.functions.paths import rule_language_of
 from codelattice.model import CodeGraph
+from codelattice.operators.lookup import top_per_key
 from codelattice.operators.traversal import trace
 
 
@@ -83,8 +84,8 @@ def detect_signals(
 ) -> DataFrame:
     """Rule classes whose SINK patterns occur in names reachable from each entry.
 
-    One row per (entry, class) with the matched sink names and the known
-    sources and sanitizers of the class in the entry's language.
+    One row per (entry, class, matched sink name), with the language the entry
+    was matched under; nothing is gathered per entry.
     """
     calls = g.edges_of("CALLS").select("source", "target", "line")
     roots = entries.select(F.col("qualified_name").alias("root"), rule_language_of(F.col("file_path")).alias("lang"))
@@ -95,19 +96,14 @@ def detect_signals(
     matched = contains_join(names, "node", sinks, "qualified_pattern")
     found = (
         reached.join(matched, "node").join(roots, "root")
-        .where(F.col("lang").isNull() | F.col("language").isin("any") | (F.col("language") == F.col("lang")))
-        .groupBy("root", "lang", "vuln_class_id")
-        .agg(F.array_sort(F.collect_set(short_name(F.col("node")))).alias("matched_sinks"))
+        .where(F.col("lang").isNull() | (F.col("language") == "any") | (F.col("language") == F.col("lang")))
+        .select("root", "lang", "vuln_class_id", short_name(F.col("node")).alias("matched_sink")).distinct()
     )
-    lists = _pattern_lists(signatures)
-    return (
-        found.join(classes.select(F.col("id").alias("vuln_class_id"), "name", "cwe_id", "severity"), "vuln_class_id")
-        .join(lists, "vuln_class_id", "left")
-        .select(
-            F.col("root").alias("entry"), "vuln_class_id", "name", "cwe_id", "severity", "matched_sinks",
-            _for_language("sources").alias("known_sources"), _for_language("sanitizers").alias("known_sanitizers"),
-            severity_order(F.upper("severity")).alias("severity_order"),
-        )
+    return found.join(
+        classes.select(F.col("id").alias("vuln_class_id"), "name", "cwe_id", "severity"), "vuln_class_id"
+    ).select(
+        F.col("root").alias("entry"), "lang", "vuln_class_id", "name", "cwe_id", "severity", "matched_sink",
+        severity_order(F.upper("severity")).alias("severity_order"),
     )
 
 
@@ -128,17 +124,23 @@ def _for_language(column: str) -> Column:
     return F.coalesce(F.transform(fits, lambda s: s["p"]), F.array().cast("array<string>"))
 
 
-def signal_prompt(signals: DataFrame) -> DataFrame:
-    """Short text per signal: five sinks, six sources, four sanitizers."""
+def signal_prompt(signals: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Short text per (entry, class): five sinks, six sources, four sanitizers."""
+    keys = ["entry", "lang", "vuln_class_id", "name", "cwe_id", "severity"]
+    top = top_per_key(signals, ["entry", "vuln_class_id"], [F.asc("matched_sink")], 5)
+    shown = top.groupBy(*keys).agg(F.array_sort(F.collect_list("matched_sink")).alias("sinks"))
+    known = shown.join(_pattern_lists(signatures), "vuln_class_id", "left").withColumns(
+        {"known_sources": _for_language("sources"), "known_sanitizers": _for_language("sanitizers")}
+    )
     part = lambda c, n, none: F.when(
         F.size(c) > 0, F.array_join(F.slice(F.col(c), 1, n), ", ")
     ).otherwise(none)
     cwe = F.when(F.coalesce("cwe_id", F.lit("")) != "", F.concat(F.lit(" ("), F.col("cwe_id"), F.lit(")"))).otherwise("")
-    return signals.select(
+    return known.select(
         "entry", "vuln_class_id",
         F.concat(
             F.col("name"), cwe, F.lit(" ["), F.col("severity"), F.lit("] sinks: "),
-            part("matched_sinks", 5, "-"), F.lit("; sources: "), part("known_sources", 6, "-"),
+            part("sinks", 5, "-"), F.lit("; sources: "), part("known_sources", 6, "-"),
             F.lit("; sanitizers: "), part("known_sanitizers", 4, "none known"),
         ).alias("prompt"),
     )

@@ -172,30 +172,29 @@ def call_path(g: CodeGraph, start: str, goal: str, max_depth: int = 8) -> DataFr
     The start text is matched as a substring of callers; later steps follow
     exact names. No row means no path.
     """
-    calls = g.edges_of("CALLS").select("source", "target").distinct()
+    spark = g.spark
+    calls, table = stage_bucketed(g.edges_of("CALLS").select("source", "target").distinct(), "calls", "source")
+    levels = Levels(spark, "path")
     first = calls.where((F.col("source") == start) | F.lower("source").contains(start.lower()))
-    frontier = cut(
-        first.groupBy("target").agg(F.lit(start).alias("_s")).where(F.col("target") != start)
+    frontier = levels.add(
+        first.select("target").distinct().where(F.col("target") != start)
         .select(F.col("target").alias("node"), F.array(F.lit(start), F.col("target")).alias("path"))
     )
-    levels = [frontier]
-    for _ in range(max_depth):
+    for hop in range(1, max_depth + 1):
         hits = frontier.where(F.col("node").contains(goal))
-        best = hits.orderBy("path").limit(1)
-        if not hits.isEmpty():
-            return best.select("path", (F.size("path") - 1).alias("hops"))
-        if frontier.isEmpty() or len(levels) == max_depth:
+        if levels.last_rows == 0 or hop == max_depth or not hits.isEmpty():
             break
         step = (
             frontier.join(calls, frontier["node"] == calls["source"])
             .select(F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
             .where(F.col("node") != start)
-            .join(_union(levels).select("node"), "node", "left_anti")
             .groupBy("node").agg(F.min("path").alias("path"))
+            .join(levels.all().select("node"), "node", "left_anti")
         )
-        frontier = cut(step)
-        levels.append(frontier)
-    return frontier.limit(0).select("path", (F.size("path") - 1).alias("hops"))
+        frontier = levels.add(step)
+    drop_table(spark, table)
+    best = frontier.where(F.col("node").contains(goal)).orderBy("path").limit(1)
+    return best.select("path", (F.size("path") - 1).alias("hops"))
 
 
 def neighborhood(g: CodeGraph, root: str, depth: int = 1, fan: int = 100) -> DataFrame:

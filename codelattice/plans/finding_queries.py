@@ -276,8 +276,9 @@ sigs AS MATERIALIZED (SELECT 'sig-' || replace(p_name, ' ', '-') AS id, replace(
 uncalled AS MATERIALIZED (SELECT qualified_name, file_path FROM nodes n WHERE kind IN ('Function', 'Method') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'CALLS' AND e.target = n.qualified_name)),
 near3(root, node, d) AS (SELECT qualified_name, qualified_name, 0 FROM uncalled UNION SELECT r.root, e.target, r.d + 1 FROM near3 r JOIN edges e ON e.kind = 'CALLS' AND e.source = r.node WHERE r.d < 3),
 reached AS MATERIALIZED (SELECT DISTINCT root, node FROM near3 WHERE node <> root),
-signals AS MATERIALIZED (SELECT r.root AS entry, s.vuln_class_id, array_to_string(list_sort(list(DISTINCT split_part(r.node, '::', -1))), ',') AS matched_sinks
-  FROM reached r JOIN sigs s ON s.sig_type = 'SINK' AND contains(lower(r.node), lower(s.qualified_pattern)) GROUP BY 1, 2)
+sinks AS MATERIALIZED (SELECT DISTINCT r.root AS entry, s.vuln_class_id, split_part(r.node, '::', -1) AS matched_sink
+  FROM reached r JOIN sigs s ON s.sig_type = 'SINK' AND contains(lower(r.node), lower(s.qualified_pattern))),
+signals AS MATERIALIZED (SELECT entry, vuln_class_id, array_to_string(list_sort(list(matched_sink)), ',') AS matched_sinks FROM sinks GROUP BY 1, 2)
 """
 
 
@@ -315,10 +316,10 @@ def sink_match(w: Workspace) -> DataFrame:
     return RU.contains_join(names, "name", w.signatures.select("qualified_pattern"), "qualified_pattern")
 
 
-@register("signal_match", rules("SELECT s.entry, s.vuln_class_id, c.severity, c.cwe_id, s.matched_sinks FROM signals s JOIN classes c ON c.id = s.vuln_class_id"))
+@register("signal_match", rules("SELECT s.entry, s.vuln_class_id, c.severity, c.cwe_id, s.matched_sink FROM sinks s JOIN classes c ON c.id = s.vuln_class_id"))
 def signal_match(w: Workspace) -> DataFrame:
     found_ = RU.detect_signals(w.graph, R.uncalled_functions(w.graph, None), w.signatures, w.rule_classes)
-    return found_.select("entry", "vuln_class_id", "severity", "cwe_id", F.array_join("matched_sinks", ",").alias("matched_sinks"))
+    return found_.select("entry", "vuln_class_id", "severity", "cwe_id", "matched_sink")
 
 
 @register("signal_prompts", rules("""
@@ -327,7 +328,8 @@ SELECT s.entry, s.vuln_class_id, c.name || ' (' || c.cwe_id || ') [' || c.severi
  || '; sources: ' || CASE WHEN coalesce(len(so), 0) > 0 THEN array_to_string(so[1:6], ', ') ELSE '-' END || '; sanitizers: ' || CASE WHEN coalesce(len(sa), 0) > 0 THEN array_to_string(sa[1:4], ', ') ELSE 'none known' END AS prompt
 FROM signals s JOIN classes c ON c.id = s.vuln_class_id LEFT JOIN lists l ON l.vuln_class_id = s.vuln_class_id"""))
 def signal_prompts(w: Workspace) -> DataFrame:
-    return RU.signal_prompt(RU.detect_signals(w.graph, R.uncalled_functions(w.graph, None), w.signatures, w.rule_classes))
+    found_ = RU.detect_signals(w.graph, R.uncalled_functions(w.graph, None), w.signatures, w.rule_classes)
+    return RU.signal_prompt(found_, w.signatures)
 
 
 @register("taint_paths", rules("""

@@ -327,9 +327,9 @@ def node_communities(w: Workspace) -> DataFrame:
     return ST.assign_communities(w.graph.nodes, w.file_members).select("qualified_name", "community_id")
 
 
-@register("stored_flow_paths", flow("SELECT root, string_agg(node, ' > ' ORDER BY position) AS path FROM positioned GROUP BY root"))
+@register("stored_flow_paths", flow("SELECT root, position // 10000 AS chunk, string_agg(node, ' > ' ORDER BY position) AS path FROM positioned GROUP BY 1, 2"))
 def stored_flow_paths(w: Workspace) -> DataFrame:
-    return ST.flow_paths(w.flow_members).select("root", F.array_join("path", " > ").alias("path"))
+    return ST.flow_paths(w.flow_members).select("root", "chunk", F.array_join("path", " > ").alias("path"))
 
 
 def report(sql: str) -> str:

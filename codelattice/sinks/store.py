@@ -145,8 +145,16 @@ def assign_communities(nodes: DataFrame, members: DataFrame) -> DataFrame:
     return nodes.drop("community_id").join(one, "qualified_name", "left")
 
 
+PATH_CHUNK = 10_000
+
+
 def flow_paths(positioned: DataFrame) -> DataFrame:
-    """Stored path column of flows: node names in discovery order."""
-    return positioned.groupBy("root").agg(
+    """Path column of flows: node names in discovery order.
+
+    A path longer than a chunk goes on in further rows, so no row and no task
+    holds more than one chunk of a flow.
+    """
+    chunk = F.floor(F.col("position") / PATH_CHUNK).cast("bigint")
+    return positioned.groupBy("root", chunk.alias("chunk")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "node"))), lambda x: x["node"]).alias("path")
     )
