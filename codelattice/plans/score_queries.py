@@ -356,8 +356,10 @@ act AS (SELECT DISTINCT split_part(file_path, '/', 2) AS repo, file_path FROM (
   UNION ALL SELECT file_path FROM changed_files)),
 c AS (SELECT coalesce(p.repo, a.repo) AS repo, count(p.file_path) AS predicted, count(a.file_path) AS actual, count(*) FILTER (p.file_path IS NOT NULL AND a.file_path IS NOT NULL) AS hit
  FROM pred p FULL JOIN act a ON a.file_path = p.file_path GROUP BY 1)
-SELECT repo, predicted, actual, hit, round(hit / predicted::DOUBLE + 1e-9::DOUBLE, 4) AS precision, round(hit / actual::DOUBLE + 1e-9::DOUBLE, 4) AS recall,
- round(2.0::DOUBLE * (hit / predicted::DOUBLE) * (hit / actual::DOUBLE) / (hit / predicted::DOUBLE + hit / actual::DOUBLE) + 1e-9::DOUBLE, 4) AS f1 FROM c"""))
+-- An empty side gives 0 for its ratio, and F1 is 0 when both ratios are.
+SELECT repo, predicted, actual, hit, round(p + 1e-9::DOUBLE, 4) AS precision, round(r + 1e-9::DOUBLE, 4) AS recall,
+ round(CASE WHEN p + r > 0 THEN 2.0::DOUBLE * p * r / (p + r) ELSE 0.0::DOUBLE END + 1e-9::DOUBLE, 4) AS f1
+FROM (SELECT *, CASE WHEN predicted > 0 THEN hit / predicted::DOUBLE ELSE 0.0::DOUBLE END AS p, CASE WHEN actual > 0 THEN hit / actual::DOUBLE ELSE 0.0::DOUBLE END AS r FROM c)"""))
 def impact_accuracy(w: Workspace) -> DataFrame:
     repo = F.split("file_path", "/")[1].alias("repo")
     predicted = T.impact_radius(w.graph, w.changed_files, max_nodes=None).select("file_path").distinct().select(repo, "file_path")
