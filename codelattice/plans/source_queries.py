@@ -58,7 +58,8 @@ def python_files(w: Workspace) -> DataFrame:
         "@app.route('/", k, "')\ndef test_part_", k, "():\n    helper_", k, "(", size, ")\n",
     )
     # Keys are spread before the texts exist, so many tasks share the reading.
-    parts = w.table("part").select("p_partkey", "p_size").repartition("p_partkey")
+    tasks = w.spark.sparkContext.defaultParallelism
+    parts = w.table("part").select("p_partkey", "p_size").repartition(tasks, "p_partkey")
     return parts.select(_c("gen/p", k, ".py").alias("file_path"), text.alias("text"), F.lit("python").alias("language"))
 
 
