@@ -17,6 +17,7 @@ from codelattice.functions.text import words_of
 from codelattice.model import CodeGraph
 from codelattice.operators.lookup import keyword_match
 from codelattice.operators.ordering import rank_rows
+from codelattice.session import stage
 
 K1, B = 1.2, 0.75
 
@@ -81,10 +82,16 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 
 
 def bm25(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Okapi BM25 of phrase hits; document counts and lengths are scalar subqueries."""
-    stats = tokens(docs)
-    n = stats.agg(F.count("*").cast("double")).scalar()
-    avg_len = stats.agg(F.avg("doc_len")).scalar()
+    """Okapi BM25 of phrase hits.
+
+    The hits are found once; the corpus count and mean length come from one
+    pass, as one scalar subquery.
+    """
+    hits = stage(hits, "hits")
+    corpus = tokens(docs).agg(
+        F.struct(F.count("*").cast("double").alias("n"), F.avg("doc_len").alias("avg_len")).alias("stats")
+    ).scalar()
+    n, avg_len = corpus["n"], corpus["avg_len"]
     df = hits.agg(F.count("*").cast("double")).scalar()
     idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
     tf = F.col("tf").cast("double")

@@ -51,6 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def stage_root(spark: SparkSession) -> str:
+    """Where this application's staged tables live."""
+    return f"{shared_dir(spark)}/codelattice-stage/{spark.sparkContext.applicationId}"
+
+
+def drop_stage(spark: SparkSession) -> None:
+    """Delete this application's staged tables; results read from them end with it."""
+    sc = spark.sparkContext
+    root = sc._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    root.getFileSystem(sc._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint (survives executor loss)."""
     shared_dir(df.sparkSession)
@@ -67,7 +79,7 @@ def stage_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"codelattice_{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/codelattice-stage/{table}"
+    path = f"{stage_root(spark)}/{table}"
     (
         df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
         .option("path", path).format("parquet").saveAsTable(table)
@@ -88,7 +100,7 @@ class Levels:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/codelattice-stage/{uuid.uuid4().hex}/{name}"
+        self.root = f"{stage_root(spark)}/{uuid.uuid4().hex}/{name}"
         self.paths: list[str] = []
         self.schema = None
         self.last_rows = 0
@@ -113,7 +125,7 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     partition pruning and file sizes for later joins.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codelattice-stage/{uuid.uuid4().hex}/{name}"
+    path = f"{stage_root(spark)}/{uuid.uuid4().hex}/{name}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
