@@ -4,11 +4,28 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codelattice.llm import packing
+from codelattice.llm import huffman_ids, packing, sentencepiece_codec
 from codelattice.llm.common import read_table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as pieces, and its text again: digests of both."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepiece_codec.encode(docs, model)
+    return sentencepiece_codec.decode(coded, model, carry=("n_tokens", "score", "ids")).select(
+        "doc_id", "n_tokens", "score", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text"), 256).alias("decoded_sha256")
+    )
+
+
+def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = huffman_ids.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), 2, huffman_ids.new_path(spark))
+    return huffman_ids.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
@@ -16,6 +33,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op9_huffman_ids": op9_huffman_ids,
     "op10_packing": op10_packing,
 }
 
