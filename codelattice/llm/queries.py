@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import huffman_ids, packing, sentencepiece_codec
+from codelattice.llm import huffman_ids, packing, rule_cascade, sentencepiece_codec
 from codelattice.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_cascade.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     path = huffman_ids.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), 2, huffman_ids.new_path(spark))
@@ -34,6 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op8_rule_cascade": op8_rule_cascade,
     "op9_huffman_ids": op9_huffman_ids,
     "op10_packing": op10_packing,
 }
