@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import huffman_ids, packing, rule_cascade, sentencepiece_codec
+from codelattice.llm import huffman_ids, packing, pairwise_quality, rule_cascade, sentencepiece_codec, simhash_vptree, toxicity
 from codelattice.llm.common import read_table
 
 
@@ -20,6 +20,19 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise_quality.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_vptree.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash_vptree.hex_of("fp").alias("fingerprint"), "component_id")
+
+
 def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_cascade.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -38,6 +51,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_toxicity": op2_toxicity,
+    "op4_pairwise_quality": op4_pairwise_quality,
+    "op5_simhash_vptree": op5_simhash_vptree,
     "op8_rule_cascade": op8_rule_cascade,
     "op9_huffman_ids": op9_huffman_ids,
     "op10_packing": op10_packing,
