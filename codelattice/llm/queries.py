@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import huffman_ids, packing, pairwise_quality, rule_cascade, sentencepiece_codec, simhash_vptree, toxicity
+from codelattice.llm import huffman_ids, interpolated_lm, packing, pairwise_quality, rule_cascade, sentencepiece_codec, simhash_vptree, toxicity
 from codelattice.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
+    "op3_interpolated_lm": op3_interpolated_lm,
     "op4_pairwise_quality": op4_pairwise_quality,
     "op5_simhash_vptree": op5_simhash_vptree,
     "op8_rule_cascade": op8_rule_cascade,
