@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import huffman_ids, interpolated_lm, packing, pairwise_quality, rule_cascade, sentencepiece_codec, simhash_vptree, toxicity
+from codelattice.llm import huffman_ids, interpolated_lm, packing, pairwise_quality, pivot_index, rule_cascade, sentencepiece_codec, simhash_vptree, suffix_merge, toxicity
 from codelattice.llm.common import read_table
 
 
@@ -37,6 +37,15 @@ def op5_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_vptree.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op6_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_merge.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_cascade.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,6 +68,8 @@ QUERIES = {
     "op3_interpolated_lm": op3_interpolated_lm,
     "op4_pairwise_quality": op4_pairwise_quality,
     "op5_simhash_vptree": op5_simhash_vptree,
+    "op6_suffix_merge": op6_suffix_merge,
+    "op7_pivot_index": op7_pivot_index,
     "op8_rule_cascade": op8_rule_cascade,
     "op9_huffman_ids": op9_huffman_ids,
     "op10_packing": op10_packing,
