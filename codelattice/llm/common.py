@@ -77,3 +77,16 @@ def words_of(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+def keep_rows(docs: DataFrame, text: str, keep) -> DataFrame:
+    """Rows of a table, all columns unchanged, for which ``keep`` (a slice's texts to a mask) holds."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            only = batch.select([text])
+            mask = np.concatenate([keep(part.column(text)) for part in text_slices([only], text)])
+            yield batch.filter(pa.array(mask))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import batch_of, text_slices
+from codelattice.llm.common import batch_of, keep_rows, text_slices
 from codelattice.llm.text_features import TextCounts
 
 MIN_WORDS, REPEAT_PERCENT = 20, 30
@@ -100,6 +100,19 @@ def plan(measured: list[tuple[str, float, list[bool]]]) -> list[str]:
     return order + [r for r in RULES if r not in order]
 
 
+def verdict(c: TextCounts, order: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words in repeated windows, base test failed, kept) of a slice; a rule sees only what is still kept."""
+    repeats = c.repeats()
+    failed = (c.n_words < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * c.n_words)
+    kept = ~failed
+    for name in order:
+        rows = np.flatnonzero(kept)
+        if not len(rows):
+            break
+        kept[rows[RULES[name](c.at(rows))]] = False
+    return repeats, failed, kept
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", order: list[str] | None = None) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every whole text."""
     order = order or plan(measure(docs, text, key))
@@ -108,17 +121,15 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", order: list[
 
     def run(batches):
         for batch in text_slices(batches, text):
-            texts = batch.column(text)
-            c = TextCounts(texts)
-            repeats = c.repeats()
-            failed = (c.n_words < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * c.n_words)
-            kept = ~failed
-            for name in order:
-                rows = np.flatnonzero(kept)
-                if not len(rows):
-                    break
-                kept[rows[RULES[name](c.at(rows))]] = False
+            c = TextCounts(batch.column(text))
+            repeats, failed, kept = verdict(c, order)
             yield batch_of(schema, **{key: batch.column(key)}, n_words=c.n_words, word_chars=c.word_chars, n_symbols=c.symbols(), n_dup_lines=c.lines()[1], n_repeat_words=repeats, base_failed=failed, kept=kept)
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     return rows.mapInArrow(run, f"{key} long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean")
+
+
+def reject(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass the base test and all rules, all columns unchanged."""
+    order = plan(measure(docs, text, key))
+    return keep_rows(docs, text, lambda texts: verdict(TextCounts(texts), order)[2])

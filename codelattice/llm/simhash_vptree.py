@@ -231,6 +231,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
     return prints.join(named, "fp").select(key, "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group, that of its smallest key, all columns unchanged.
+
+    Rows of one key are one document; rows with a null key are kept.
+    """
+    found = near_duplicates(docs, key, text)
+    first = found.where(F.col(key) == F.col("component_id")).select(F.col("component_id").alias("kept_key")).distinct()
+    named = docs.where(F.col(key).isNotNull())
+    kept = named.join(first, F.col(key) == F.col("kept_key"), "left_semi").dropDuplicates([key])
+    return kept.unionByName(docs.where(F.col(key).isNull()))
+
+
 def hex_of(column: str):
     """16 lower-case hex digits of a long."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import batch_of, bounded_sample, fold, staged, text_slices, words_of
+from codelattice.llm.common import batch_of, bounded_sample, fold, keep_rows, staged, text_slices, words_of
 from codelattice.llm.pairwise_quality import logistic
 
 #: Labelled rows the lexicon and the calibration are fitted on; entries of the lexicon.
@@ -285,3 +285,10 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     out = rows.mapInArrow(run, f"{key} long, score double, clauses long")
     return out.select(key, (F.coalesce(fold(key, modulus), F.lit(-1)) == remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "clauses")
+
+
+def reject(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all columns unchanged."""
+    learned, weights = learn(docs, labels, modulus, remainder, sample, key, text)
+    lexicon = Lexicon(learned)
+    return keep_rows(docs, text, lambda texts: logistic(calibration_rows(match(texts, lexicon)) @ weights) < threshold)
