@@ -104,20 +104,19 @@ def _described(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"{key} long, digest binary, grams array<long>, places array<int>, lows array<int>, highs array<int>")
 
 
-def _with_digest(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, digest, bytes, carried columns) of every text."""
-    kept = docs.select(key, text, *carry)
-    extra = [f for f in kept.schema.fields if f.name in carry]
+def _with_digest(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, digest, bytes, carried) of every text; ``carried`` passes through."""
+    carried = docs.schema["carried"].dataType.simpleString()
 
     def run(batches):
         for batch in text_slices(batches, text, SLICE):
             raws = [(t.as_buffer() or b"") for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array([xxhash.xxh128_digest(r) for r in raws], pa.binary()), pa.array([bytes(r) for r in raws], pa.binary()), *(batch.column(f.name) for f in extra)],
-                names=[key, "digest", "bytes", *(f.name for f in extra)],
+                [batch.column(key), pa.array([xxhash.xxh128_digest(r) for r in raws], pa.binary()), pa.array([bytes(r) for r in raws], pa.binary()), batch.column("carried")],
+                names=[key, "digest", "bytes", "carried"],
             )
 
-    return kept.mapInArrow(run, ", ".join([f"`{key}` long, digest binary, bytes binary", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)]))
+    return docs.mapInArrow(run, f"`{key}` long, digest binary, bytes binary, carried {carried}")
 
 
 # ---------------------------------------------------------------- runs and merging
@@ -393,13 +392,15 @@ def union_of(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot_group: int = HOT_GROUP, whole_characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, spans, kept, carried columns) of every text: removed runs and remaining bytes.
+    """(key, n_bytes, n_removed, n_spans, spans, kept, carried) of every text: removed runs and remaining bytes.
 
     With ``whole_characters`` a run gives up bytes at its ends that belong to a character it does not cover.
+    ``carried`` is a struct of the columns named by ``carry``.
     """
     spark = docs.sparkSession
-    carried = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text), *carry)
-    docs = carried.select(key, text)
+    carried = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    carrying = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text), carried.alias("carried"))
+    docs = carrying.select(key, text)
     described = _described(docs, key, text, length)
     single = staged(described.groupBy("digest").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("grams", "places", "lows", "highs"))), "distinct_texts")
     each = single.select("digest", "rep", F.explode(F.arrays_zip("grams", "places", "lows", "highs")).alias("x"))
@@ -407,16 +408,15 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     repeated = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = each.join(repeated, "gram")
     wanted = shared.groupBy("digest", "rep").agg(F.collect_list(F.struct("gram", "place", "low", "high", (F.col("n") > hot_group).alias("hot"))).alias("anchors"))
-    texts = _with_digest(docs, key, text)
+    texts = _with_digest(docs.withColumn("carried", F.lit(0)), key, text)
     chosen = texts.join(wanted.withColumnRenamed("digest", "own"), (F.col("digest") == F.col("own")) & F.col(key).eqNullSafe(F.col("rep"))).select("digest", "bytes", "anchors")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     covered = staged(_merged(_runs(chosen, buckets, length), length), "covered")
     spans = covered.groupBy("digest").agg(F.collect_list(F.struct("start", "stop")).alias("covered"))
     copied = single.where("copies > 1").select("digest", F.lit(True).alias("copied"))
     marks = spans.join(copied, "digest", "full").withColumnRenamed("digest", "own")
-    joined = _with_digest(carried, key, text, carry).join(marks, F.col("digest") == F.col("own"), "left")
-    joined = joined.select(key, "bytes", F.coalesce("copied", F.lit(False)).alias("copied"), "covered", *carry)
-    extra = [f for f in joined.schema.fields if f.name in carry]
+    joined = _with_digest(carrying, key, text).join(marks, F.col("digest") == F.col("own"), "left")
+    joined = joined.select(key, "bytes", F.coalesce("copied", F.lit(False)).alias("copied"), "covered", "carried")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     schema = pa.schema([(key, pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", span_type), ("kept", pa.binary())])
 
@@ -445,18 +445,19 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
                 for name, value in (("n_bytes", len(raw)), ("n_removed", len(raw) - len(kept)), ("n_spans", len(runs)), ("spans", runs), ("kept", kept)):
                     out[name].append(value)
             done = batch_of(schema, **{key: batch.column(key)}, **out)
-            yield pa.RecordBatch.from_arrays([*done.columns, *(batch.column(f.name) for f in extra)], names=[*schema.names, *(f.name for f in extra)])
+            yield pa.RecordBatch.from_arrays([*done.columns, batch.column("carried")], names=[*schema.names, "carried"])
 
     kind = f"`{key}` long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, stop: long>>, kept binary"
-    return joined.mapInArrow(remove, ", ".join([kind, *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)]))
+    return joined.mapInArrow(remove, f"{kind}, carried {joined.schema['carried'].dataType.simpleString()}")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
     """``docs`` with repeated passages cut out of the text, in whole characters; the length column follows, others stay."""
     carry = tuple(c for c in docs.columns if c not in (key, text, chars))
     found = deduplicate(docs, key, text, whole_characters=True, carry=carry)
-    kept = found.withColumn(text, F.col("kept").cast("string")).withColumn(chars, F.length(text).cast("long"))
-    return kept.select(*docs.columns)
+    kept = F.col("kept").cast("string")
+    columns = {key: F.col(key), text: kept, chars: F.length(kept).cast("long")}
+    return found.select(*(columns.get(c, F.col("carried")[c]).alias(c) for c in docs.columns))
 
 
 def brute_force(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
