@@ -34,21 +34,26 @@ nodes AS MATERIALIZED (
   SELECT 'File', file_path, file_path, file_path, 1, CAST(max(line_start) + 59 AS INTEGER), 'python',
          NULL, NULL, NULL, false, false FROM sym GROUP BY file_path),
 refs AS (
-  SELECT s.file_path, CAST(s.line_start + l.l_linenumber AS INTEGER) AS line, l.l_quantity AS q,
+  SELECT s.file_path, CAST(s.line_start + l.l_linenumber AS INTEGER) AS line, CAST(l.l_quantity AS INTEGER) AS q,
+         coalesce(l.l_returnflag = 'R' AND l.l_quantity >= 42, false) AS coded,
          s.qualified_name AS src, s.is_test AS src_test, d.qualified_name AS dst, d.name AS dst_name,
          d.file_path AS dst_file, p.s_name
   FROM lineitem l CROSS JOIN np
   JOIN sym s ON s.k = l.l_orderkey % np.n
   JOIN sym d ON d.k = l.l_partkey
-  LEFT JOIN supplier p ON p.s_suppkey = l.l_suppkey
-  WHERE l.l_returnflag = 'R' AND l.l_quantity BETWEEN 42 AND 50),
+  LEFT JOIN supplier p ON p.s_suppkey = l.l_suppkey),
+kinded AS (
+  SELECT *, CASE WHEN coded THEN CASE WHEN q IN (45, 43) THEN 'IMPORTS_FROM' WHEN q = 44 THEN 'INHERITS'
+              WHEN q = 42 THEN 'DEPENDS_ON' ELSE 'CALLS' END
+            ELSE CASE q % 4 WHEN 0 THEN 'DEPENDS_ON' WHEN 1 THEN 'REFERENCES' WHEN 2 THEN 'IMPLEMENTS' ELSE 'IMPORTS_FROM' END
+            END AS kind FROM refs),
 typed AS (
-  SELECT CASE WHEN q IN (45, 43) THEN 'IMPORTS_FROM' WHEN q = 44 THEN 'INHERITS'
-              WHEN q = 42 THEN 'DEPENDS_ON' ELSE 'CALLS' END AS kind,
-         CASE WHEN q IN (45, 43) THEN file_path ELSE src END AS source,
-         CASE WHEN q = 47 THEN s_name WHEN q IN (46, 44) THEN dst_name WHEN q = 45 THEN dst_file ELSE dst END AS target,
-         file_path, line, q >= 48 AND src_test AS tested
-  FROM refs),
+  SELECT kind,
+         CASE WHEN kind = 'IMPORTS_FROM' THEN file_path ELSE src END AS source,
+         CASE WHEN coded AND q = 47 THEN s_name WHEN kind = 'IMPLEMENTS' OR (coded AND q IN (46, 44)) THEN dst_name
+              WHEN coded AND q = 45 THEN dst_file ELSE dst END AS target,
+         file_path, line, coded AND q >= 48 AND src_test AS tested
+  FROM kinded),
 edges AS MATERIALIZED (
   SELECT kind, source, target, file_path, line FROM typed WHERE source <> target
   UNION
@@ -61,7 +66,7 @@ changed_files AS MATERIALIZED (
 changed_ranges AS MATERIALIZED (
   SELECT DISTINCT file_path, CAST(line_start + l_linenumber * 7 AS INTEGER) AS start,
          CAST(line_start + l_linenumber * 7 + l_quantity % 20 AS INTEGER) AS stop
-  FROM lineitem JOIN sym ON k = l_partkey WHERE l_returnflag = 'A'),
+  FROM lineitem JOIN sym ON k = l_partkey),
 file_members AS MATERIALIZED (
   SELECT file_path AS community_id, qualified_name FROM nodes
   WHERE file_path IN (SELECT file_path FROM nodes GROUP BY 1 HAVING count(*) >= 2))

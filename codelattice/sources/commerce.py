@@ -21,9 +21,11 @@ from codelattice.session import stage
 # Part names hold no security words, so scores over them look for these.
 CHECK_WORDS = ("ring", "bolt")
 
-# Quantity of a returned line → what its reference means.
+# Every line item is a reference. Quantity of a returned line → what it means;
+# smaller returned lines and all others spread over the remaining kinds, so calls stay sparse.
 RESOLVED_CALL, EXTERNAL_CALL, BARE_CALL = 48, 47, 46
 FILE_IMPORT, INHERIT, SYMBOL_IMPORT, DEPEND = 45, 44, 43, 42
+OTHER_KINDS = ("DEPENDS_ON", "REFERENCES", "IMPLEMENTS", "IMPORTS_FROM")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,11 +96,11 @@ def references(spark: SparkSession, sf_dir: str, symbols: DataFrame) -> DataFram
     parts = table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).scalar()
     lines = (
         table(spark, sf_dir, "lineitem")
-        .where((F.col("l_returnflag") == "R") & F.col("l_quantity").between(DEPEND, 50))
         .select(
             (F.col("l_orderkey") % parts).alias("src_key"),
             F.col("l_partkey").alias("dst_key"),
-            "l_suppkey", "l_linenumber", "l_quantity",
+            "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"),
+            F.coalesce((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= DEPEND), F.lit(False)).alias("coded"),
         )
     )
     src = symbols.select(
@@ -115,15 +117,20 @@ def references(spark: SparkSession, sf_dir: str, symbols: DataFrame) -> DataFram
         lines.join(src, "src_key").join(dst, "dst_key").join(suppliers, "l_suppkey", "left")
         .withColumn("line", (F.col("src_line") + F.col("l_linenumber")).cast("int"))
     )
-    q = F.col("l_quantity")
-    refs = joined.select(
+    q = F.col("q")
+    kind = F.when(
+        F.col("coded"),
         F.when(q.isin(FILE_IMPORT, SYMBOL_IMPORT), "IMPORTS_FROM").when(q == INHERIT, "INHERITS")
-        .when(q == DEPEND, "DEPENDS_ON").otherwise("CALLS").alias("kind"),
-        F.when(q.isin(FILE_IMPORT, SYMBOL_IMPORT), F.col("file_path")).otherwise(F.col("src")).alias("source"),
-        F.when(q == EXTERNAL_CALL, F.col("s_name")).when(q.isin(BARE_CALL, INHERIT), F.col("dst_name"))
-        .when(q == FILE_IMPORT, F.col("dst_file")).otherwise(F.col("dst")).alias("target"),
+        .when(q == DEPEND, "DEPENDS_ON").otherwise("CALLS"),
+    ).otherwise(F.element_at(F.array(*map(F.lit, OTHER_KINDS)), q % len(OTHER_KINDS) + 1))
+    named = F.col("coded") & q.isin(BARE_CALL, INHERIT) | (kind == "IMPLEMENTS")
+    refs = joined.select(
+        kind.alias("kind"),
+        F.when(kind == "IMPORTS_FROM", F.col("file_path")).otherwise(F.col("src")).alias("source"),
+        F.when(F.col("coded") & (q == EXTERNAL_CALL), F.col("s_name")).when(named, F.col("dst_name"))
+        .when(F.col("coded") & (q == FILE_IMPORT), F.col("dst_file")).otherwise(F.col("dst")).alias("target"),
         "file_path", "line",
-        F.when((q >= RESOLVED_CALL) & F.col("src_test"), F.array(F.lit(False), F.lit(True)))
+        F.when(F.col("coded") & (q >= RESOLVED_CALL) & F.col("src_test"), F.array(F.lit(False), F.lit(True)))
         .otherwise(F.array(F.lit(False))).alias("_copies"),
     ).where(F.col("source") != F.col("target"))
     # A resolved call out of a test also yields TESTED_BY, production → test.
@@ -197,10 +204,9 @@ class Workspace:
 
     @cached_property
     def changed_ranges(self) -> DataFrame:
-        """Changed line ranges: one per accepted line item of a part."""
+        """Changed line ranges: one per line item of a part."""
         lines = (
             self.table("lineitem")
-            .where(F.col("l_returnflag") == "A")
             .select(F.col("l_partkey").alias("part_key"), "l_linenumber", "l_quantity")
         )
         placed = symbol_nodes(self.spark, self.sf_dir).select("part_key", "file_path", "line_start")
