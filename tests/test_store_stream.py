@@ -1,8 +1,9 @@
 """Stored graphs and the streaming forms."""
 
 import json
-import time
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from codelattice.api import GraphTools
@@ -68,6 +69,7 @@ def stream_of(spark, tmp_path, batches, schema):
     folder.mkdir()
     for i, rows in enumerate(batches):
         (folder / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files arrive in this order
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
 
 
@@ -77,28 +79,41 @@ def collect(df, tmp_path, name):
     return df.sparkSession.table(name).collect()
 
 
-def test_session_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("order", ["as made", "turned round", "mixed"])
+def test_session_stream_equals_batch(spark, tmp_path, order):
+    """Calls may arrive in any order within the lateness; what is later than that is dropped."""
     from codelattice.operators.sessions import session_intents
 
     tools = ["refactor", "detect_changes", "query_graph", "list_flows", "other"]
     rows = [{"session_id": i % 3, "ts": f"2024-01-01T00:{i:02d}:00Z", "call_id": i, "tool": tools[(i * 7) % 5]} for i in range(45)]
     schema = "session_id bigint, ts timestamp, call_id bigint, tool string"
-    got = collect(sessions.stream_intents(stream_of(spark, tmp_path, [rows[:20], rows[20:]], schema)), tmp_path, "intents")
-    batch = session_intents(spark.read.schema(schema).json(str(tmp_path / "in"))).collect()
-    assert {(r["session_id"], r["call_id"], r["intent"]) for r in got} == {(r["session_id"], r["call_id"], r["intent"]) for r in batch}
-
-
-def test_previews(spark, tmp_path):
-    rows = [[{"refactor_id": "a", "ts": "2024-01-01T00:00:00Z", "action": "preview"}],
-            [{"refactor_id": "a", "ts": "2024-01-01T00:00:01Z", "action": "apply"}, {"refactor_id": "b", "ts": "2024-01-01T00:00:01Z", "action": "apply"}]]
-    df = previews.track_previews(stream_of(spark, tmp_path, rows, "refactor_id string, ts timestamp, action string"))
-    # A processing-time timeout keeps a query running, so it is stopped by hand.
-    q = df.writeStream.format("memory").queryName("previews").option("checkpointLocation", str(tmp_path / "previews")).outputMode("append").start()
-    deadline = time.time() + 40
-    while time.time() < deadline and spark.table("previews").count() < 3 and q.isActive:
-        time.sleep(0.5)
-    q.stop()
-    assert sorted((r[0], r[1]) for r in spark.table("previews").collect()) == [("a", "applied"), ("a", "pending"), ("b", "unknown")]
+    batch = session_intents(spark.createDataFrame(rows).selectExpr("session_id", "cast(ts as timestamp) ts", "call_id", "tool")).collect()
+    parts = {"as made": [rows[:20], rows[20:]], "turned round": [rows[20:], rows[:20]], "mixed": [rows[::2], rows[1::2]]}[order]
+    # The closing calls move the watermark past all others, which are answered; the last file is too late.
+    closing = [[{"session_id": 9, "ts": f"2024-01-01T{9 + i:02d}:00:00Z", "call_id": 900 + i, "tool": "other"}] for i in range(2)]
+    late = [{"session_id": 0, "ts": "2024-01-01T00:00:30Z", "call_id": 990, "tool": "other"}]
+    stream = stream_of(spark, tmp_path, [*parts, *closing, late], schema)
+    got = collect(sessions.stream_intents(stream, "2 hours"), tmp_path, f"intents_{order.replace(' ', '_')}")
+    assert sorted((r["session_id"], r["call_id"], r["intent"]) for r in got if r["session_id"] != 9) == sorted((r["session_id"], r["call_id"], r["intent"]) for r in batch)
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    call = lambda s, ts, i: {"session_id": s, "ts": ts, "call_id": i, "tool": "refactor"}
+    parts = [[call("a", "2024-01-01T00:00:00Z", 1)], [call("z", "2024-01-03T00:00:00Z", 2)], [call("z", "2024-01-05T00:00:00Z", 3)], [call("a", "2024-01-05T01:00:00Z", 4)], [call("z", "2024-01-06T00:00:00Z", 5)]]
+    schema = "session_id string, ts timestamp, call_id bigint, tool string"
+    got = collect(sessions.stream_intents(stream_of(spark, tmp_path, parts, schema)), tmp_path, "idle")
+    assert {(r["session_id"], r["call_id"], r["calls"]) for r in got if r["session_id"] == "a"} == {("a", 1, 1), ("a", 4, 1)}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_previews(spark, tmp_path, turned):
+    act = lambda i, ts, a: {"refactor_id": i, "ts": f"2024-01-01T{ts}Z", "action": a}
+    parts = [[act("a", "00:00:00", "preview"), act("c", "00:00:00", "preview")], [act("a", "00:00:01", "apply"), act("b", "00:00:01", "apply"), act("c", "00:20:00", "apply")]]
+    closing = [act("d", "05:00:00", "preview")]
+    schema = "refactor_id string, ts timestamp, action string"
+    df = previews.track_previews(stream_of(spark, tmp_path, [*(parts[::-1] if turned else parts), closing], schema), lateness="1 hour")
+    got = collect(df, tmp_path, f"previews_{turned}")
+    assert sorted((r[0], r[1]) for r in got) == [("a", "applied"), ("a", "pending"), ("b", "unknown"), ("c", "expired"), ("c", "pending"), ("c", "unknown")]
 
 
 def test_verdict_stream(spark, tmp_path):
