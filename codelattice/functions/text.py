@@ -54,8 +54,8 @@ def contains_text(col: Column, text: str, wildcards: bool = False) -> Column:
 
 
 def words_of(col: Column) -> Column:
-    """Lower-cased letter runs in order (whole text)."""
-    return F.filter(F.split(F.lower(col), r"[^\p{L}]+"), lambda w: w != "")
+    """Lower-cased runs of letters and digits in order (whole text)."""
+    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def line_slice(text: Column, start: Column, end: Column) -> Column:

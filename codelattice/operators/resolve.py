@@ -72,11 +72,15 @@ def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _collapse(path):
-    """Drop ``./`` and fold ``name/..`` pairs (eight nested steps cover real imports)."""
-    out = F.regexp_replace(path, r"(^|/)\./", "$1")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\.(?:/|$))[^/]+/\.\.(?:/|$)", "$1")
-    return F.regexp_replace(F.regexp_replace(out, r"(^|/)\./", "$1"), "/$", "")
+    """Drop ``.`` parts and fold every ``name/..`` pair, however deep."""
+    last = lambda done: F.try_element_at(done, F.lit(-1))
+
+    def step(done, part):
+        folds = (part == "..") & F.coalesce(~last(done).isin("", ".."), F.lit(False))
+        return F.when(part == ".", done).when(folds, F.slice(done, 1, F.size(done) - 1)).otherwise(F.array_append(done, part))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.regexp_replace(F.array_join(parts, "/"), "/$", "")
 
 
 def resolve_aliases(imports: DataFrame, aliases: DataFrame, files: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def postings(docs: DataFrame, stem: bool = False) -> DataFrame:
 
 
 def _query_terms(query: str, stem: bool = False) -> list[str]:
-    words = [w for w in re.split(r"[^\w]+|[\d_]+", query.lower()) if w]
+    words = [w for w in re.split(r"[\W_]+", query.lower()) if w]
     if stem:
         from codelattice.functions.stemming import porter_stem
 

@@ -15,7 +15,7 @@ INTENT_TOOLS = {
     "refactoring": ("refactor", "find_dead_code", "suggest_refactorings"),
     "exploring": ("list_communities", "get_architecture_overview", "list_flows", "list_graph_stats"),
 }
-RECENT_CALLS, HISTORY_CALLS, MAX_HINTS, MAX_NODES = 10, 100, 3, 1000
+RECENT_CALLS, HISTORY_CALLS, MAX_HINTS = 10, 100, 3
 
 
 def argmax_intent(counts: dict[str, Column]) -> Column:

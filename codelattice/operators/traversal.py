@@ -29,12 +29,10 @@ def both_ways(edges: DataFrame) -> DataFrame:
     )
 
 
-def reach(seeds: DataFrame, edges: DataFrame, max_depth: int, stop_above: int | None = None) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """Names within ``max_depth`` hops of the seeds with their least depth.
 
     ``seeds`` has ``qualified_name``; ``edges`` has ``source`` and ``target``.
-    With ``stop_above`` the walk ends once seen plus new names exceed it; the
-    last found level is kept.
     """
     spark = seeds.sparkSession
     links, table = edges.select("source", "target"), None
@@ -42,7 +40,6 @@ def reach(seeds: DataFrame, edges: DataFrame, max_depth: int, stop_above: int |
         links, table = stage_bucketed(links.distinct(), "links", "source")
     levels = Levels(spark, "reach")
     frontier = levels.add(seeds.select("qualified_name").distinct().withColumn("depth", F.lit(0)))
-    seen = levels.last_rows
     for depth in range(1, max_depth + 1):
         step = (
             frontier.select(F.col("qualified_name").alias("source"))
@@ -53,8 +50,7 @@ def reach(seeds: DataFrame, edges: DataFrame, max_depth: int, stop_above: int |
             .withColumn("depth", F.lit(depth))
         )
         frontier = levels.add(step)
-        seen += levels.last_rows
-        if levels.last_rows == 0 or (stop_above is not None and seen > stop_above):
+        if levels.last_rows == 0:
             break
     if table:
         drop_table(spark, table)
@@ -65,26 +61,30 @@ def impact_radius(
     g: CodeGraph,
     changed_files: DataFrame,
     max_depth: int = S.IMPACT_MAX_DEPTH,
-    max_nodes: int | None = S.IMPACT_MAX_NODES,
-    stop_on_size: bool = False,
+    max_nodes: int | None = None,
 ) -> DataFrame:
     """Nodes around changed files over all edge kinds in both directions.
 
     Rows: the changed nodes (depth 0) and the impacted ones. Names that are no
-    nodes are walked through but not returned. The cap keeps the nearest names.
+    nodes are walked through but not returned. With ``max_nodes`` only the
+    nearest impacted nodes of the complete walk are shown, beside how many
+    there are (``total_impacted``) and whether some are not shown (``truncated``).
     """
     seeds = g.nodes.join(changed_files.select("file_path").distinct(), "file_path", "left_semi")
-    cap = max_nodes if stop_on_size else None
-    found = reach(seeds, both_ways(g.edges), max_depth, cap)
-    if max_nodes is not None:
-        near = found.where(F.col("depth") > 0).orderBy("depth", "qualified_name").limit(max_nodes)
-        found = found.where(F.col("depth") == 0).unionByName(near)
-    return found.join(
+    found = reach(seeds, both_ways(g.edges), max_depth).join(
         g.nodes.select("qualified_name", "kind", "file_path"), "qualified_name"
     ).select(
         "qualified_name", "kind", "file_path", "depth",
         F.when(F.col("depth") == 0, "changed").otherwise("impacted").alias("role"),
     )
+    if max_nodes is None:
+        return found
+    impacted = found.where(F.col("depth") > 0)
+    total = impacted.agg(F.count("*")).scalar()
+    near = impacted.orderBy("depth", "qualified_name").limit(max_nodes)
+    return found.where(F.col("depth") == 0).unionByName(near).select(
+        "*", total.alias("total_impacted"), (total > max_nodes).alias("truncated")
+    )
 
 
 def impact_radius_recursive(g: CodeGraph, changed_files: DataFrame, max_depth: int = 2) -> DataFrame:
@@ -157,11 +157,10 @@ def file_links(g: CodeGraph) -> DataFrame:
 def dependent_files(g: CodeGraph, files: DataFrame, max_hops: int = 2, cap: int | None = None) -> DataFrame:
     """Files within ``max_hops`` reverse dependencies of the given files.
 
-    ``cap`` (500 in the interactive tool) stops after the hop that exceeds it
-    and keeps the first paths of the result.
+    ``cap`` shows only the first paths of the complete result.
     """
     seeds = files.select(F.col("file_path").alias("qualified_name"))
-    found = reach(seeds, file_links(g), max_hops, None if cap is None else cap)
+    found = reach(seeds, file_links(g), max_hops)
     out = found.where(F.col("depth") > 0).select(F.col("qualified_name").alias("file_path"), F.col("depth").alias("hops"))
     return out if cap is None else out.orderBy("hops", "file_path").limit(cap)
 
@@ -197,8 +196,8 @@ def call_path(g: CodeGraph, start: str, goal: str, max_depth: int = 8) -> DataFr
     return best.select("path", (F.size("path") - 1).alias("hops"))
 
 
-def neighborhood(g: CodeGraph, root: str, depth: int = 1, fan: int = 100) -> DataFrame:
-    """Edges around a node, at most ``fan`` per frontier node and direction."""
+def neighborhood(g: CodeGraph, root: str, depth: int = 1, fan: int | None = None) -> DataFrame:
+    """Edges around a node; with ``fan`` at most so many per frontier node and direction."""
     exact = g.nodes.where(F.col("qualified_name") == root)
     loose = g.nodes.where(F.lower("qualified_name") == root.lower()).orderBy("qualified_name").limit(1)
     start = exact if not exact.isEmpty() else loose
@@ -208,11 +207,9 @@ def neighborhood(g: CodeGraph, root: str, depth: int = 1, fan: int = 100) -> Dat
         out = g.edges.join(frontier.withColumnRenamed("qualified_name", "source"), "source", "left_semi")
         into = g.edges.join(frontier.withColumnRenamed("qualified_name", "target"), "target", "left_semi")
         order = [F.col(c) for c in S.EDGE_KEY]
-        level = cut(
-            top_per_key(out, ["source"], order, fan).select(*S.EDGE_KEY)
-            .unionByName(top_per_key(into, ["target"], order, fan).select(*S.EDGE_KEY))
-            .distinct()
-        )
+        if fan is not None:
+            out, into = top_per_key(out, ["source"], order, fan), top_per_key(into, ["target"], order, fan)
+        level = cut(out.select(*S.EDGE_KEY).unionByName(into.select(*S.EDGE_KEY)).distinct())
         kept.append(level)
         ends = level.select(F.col("source").alias("qualified_name")).unionByName(
             level.select(F.col("target").alias("qualified_name"))

@@ -355,7 +355,7 @@ def missing_checks(w: Workspace) -> DataFrame:
 # --- search ------------------------------------------------------------------
 
 TOKENS = r"""
-tok AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS words FROM documents),
+tok AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM documents),
 st AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, avg(len(words)) AS al FROM tok),
 flat AS MATERIALIZED (SELECT doc_id, len(words) AS doc_len, unnest(words) AS term, unnest(range(len(words))) AS pos FROM tok)
 """
@@ -446,7 +446,7 @@ def embedding_refresh(w: Workspace) -> DataFrame:
 @register("hybrid_search", over(GRAPH, r"""
 nd AS (SELECT qualified_name AS doc_id, kind, file_path, concat_ws(' ', name, qualified_name, file_path,
   CASE WHEN kind IN ('Function', 'Test') THEN 'def ' || name || '(' || coalesce(params, '') || ')' || CASE WHEN coalesce(return_type, '') <> '' THEN ' -> ' || return_type ELSE '' END WHEN kind = 'Class' THEN 'class ' || name ELSE name END) AS text FROM nodes),
-tok AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS words FROM nd),
+tok AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM nd),
 st AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, avg(len(words)) AS al FROM tok),
 flat AS MATERIALIZED (SELECT doc_id, len(words) AS doc_len, unnest(words) AS term, unnest(range(len(words))) AS pos FROM tok)
 """, BM25.format("old", "bolt"), sql="""
@@ -476,7 +476,7 @@ def stemmed_phrase_search(w: Workspace) -> DataFrame:
 @register("cross_repo_search", over(GRAPH, r"""
 nd AS (SELECT qualified_name AS doc_id, kind, split_part(file_path, '/', 2) AS repo, concat_ws(' ', name, qualified_name, file_path,
   CASE WHEN kind IN ('Function', 'Test') THEN 'def ' || name || '(' || coalesce(params, '') || ')' || CASE WHEN coalesce(return_type, '') <> '' THEN ' -> ' || return_type ELSE '' END WHEN kind = 'Class' THEN 'class ' || name ELSE name END) AS text FROM nodes),
-tok AS MATERIALIZED (SELECT doc_id, repo, kind, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS words FROM nd),
+tok AS MATERIALIZED (SELECT doc_id, repo, kind, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM nd),
 st AS (SELECT repo, count(*)::DOUBLE AS n, avg(len(words)) AS al FROM tok GROUP BY repo),
 flat AS MATERIALIZED (SELECT doc_id, repo, kind, len(words) AS doc_len, unnest(words) AS term, unnest(range(len(words))) AS pos FROM tok),
 hits AS MATERIALIZED (SELECT a.doc_id, a.repo, a.kind, a.doc_len, count(*) AS tf FROM flat a JOIN flat b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'red' AND b.term = 'ring' GROUP BY 1, 2, 3, 4),

@@ -408,14 +408,23 @@ r(q, d) AS (SELECT qualified_name, 0 FROM seeds UNION SELECT b.target, r.d + 1 F
 near AS MATERIALIZED (SELECT q, min(d) AS depth FROM r GROUP BY q)"""
 
 
-@register("impact_radius", graph(f"""WITH {REACH2},
-cut AS (SELECT * FROM near WHERE depth = 0 UNION ALL (SELECT * FROM near WHERE depth > 0 ORDER BY depth, q LIMIT 500))
+@register("impact_radius", graph(f"""WITH {REACH2}
 SELECT n.qualified_name, n.kind, n.file_path, c.depth, CASE WHEN c.depth = 0 THEN 'changed' ELSE 'impacted' END AS role
-FROM cut c JOIN nodes n ON n.qualified_name = c.q"""))
+FROM near c JOIN nodes n ON n.qualified_name = c.q"""))
 def impact_radius(w: Workspace) -> DataFrame:
     return T.impact_radius(w.graph, w.changed_files)
 
 
+@register("impact_radius_shown", graph(f"""WITH {REACH2},
+rows AS MATERIALIZED (SELECT n.qualified_name, n.kind, n.file_path, c.depth, CASE WHEN c.depth = 0 THEN 'changed' ELSE 'impacted' END AS role
+  FROM near c JOIN nodes n ON n.qualified_name = c.q),
+total AS (SELECT count(*) AS total_impacted FROM rows WHERE depth > 0),
+shown AS (SELECT * FROM rows WHERE depth = 0 UNION ALL (SELECT * FROM rows WHERE depth > 0 ORDER BY depth, qualified_name LIMIT 500))
+SELECT shown.*, total_impacted, total_impacted > 500 AS truncated FROM shown CROSS JOIN total"""))
+def impact_radius_shown(w: Workspace) -> DataFrame:
+    return T.impact_radius(w.graph, w.changed_files, max_nodes=500)
+
+
 @register("impact_radius_full", graph(f"""WITH {REACH2}
 SELECT n.qualified_name, n.kind, n.file_path, c.depth, CASE WHEN c.depth = 0 THEN 'changed' ELSE 'impacted' END AS role
 FROM near c JOIN nodes n ON n.qualified_name = c.q"""))
@@ -480,11 +489,9 @@ HUB = "(SELECT target FROM edges WHERE kind = 'CALLS' AND target IN (SELECT qual
 @register("neighborhood", graph(f"""WITH
 hub AS MATERIALIZED (SELECT {HUB} AS q),
 first AS MATERIALIZED (SELECT * FROM edges WHERE source = (SELECT q FROM hub) OR target = (SELECT q FROM hub)),
-f2 AS (SELECT qualified_name AS q FROM nodes WHERE qualified_name IN (SELECT source FROM first UNION SELECT target FROM first) AND qualified_name <> (SELECT q FROM hub)),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY kind, source, target, file_path, line) AS ro, row_number() OVER (PARTITION BY target ORDER BY kind, source, target, file_path, line) AS ri FROM edges)
+f2 AS (SELECT qualified_name AS q FROM nodes WHERE qualified_name IN (SELECT source FROM first UNION SELECT target FROM first) AND qualified_name <> (SELECT q FROM hub))
 SELECT kind, source, target, file_path, line FROM first
-UNION SELECT kind, source, target, file_path, line FROM ranked WHERE (source IN (SELECT q FROM f2) AND ro <= 100) OR (target IN (SELECT q FROM f2) AND ri <= 100)"""))
+UNION SELECT kind, source, target, file_path, line FROM edges WHERE source IN (SELECT q FROM f2) OR target IN (SELECT q FROM f2)"""))
 def neighborhood(w: Workspace) -> DataFrame:
     g = w.graph
     known = g.nodes.select("qualified_name")

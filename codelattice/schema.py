@@ -162,11 +162,9 @@ DEDUP_SEVERITY_RANK = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
 REPORT_SEVERITY_ORDER = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 SARIF_LEVELS = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note"}
 
-IMPACT_MAX_NODES = 500
 IMPACT_MAX_DEPTH = 2
 FLOW_MAX_DEPTH = 15
 SEARCH_LIMIT = 20
-DEPENDENT_CAP = 500
 RRF_K = 60
 
 SQL_TABLE_PATTERN = (

@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# A plan-time estimate beyond this is never broadcast on purpose.
-BROADCAST_ROW_BOUND = 1_000_000
-
 
 def local_session(app: str = "codelattice", cores: str | int = "*") -> SparkSession:
     """A single-machine session for tests and the bench."""
@@ -44,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if active is not None:
         return active.rsplit("/", 1)[0]
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="codelattice-")
     sc.setCheckpointDir(folder)

@@ -27,11 +27,10 @@ _GIT_SECONDS = 30
 def usable(files: DataFrame, ignore: tuple[str, ...] = IGNORE_GLOBS) -> DataFrame:
     """Rows (file_path, content) that are text of a known language and not ignored."""
     pattern = "|".join(glob_to_regex(g) for g in ignore)
-    head = F.substring("content", 1, 8192)
     return (
         files.withColumn("language", language_of(F.col("file_path")))
         .where(F.col("language").isNotNull() & ~F.col("file_path").rlike(pattern))
-        .where(~F.contains(F.decode(head, "ISO-8859-1"), F.lit("\x00")))
+        .where(~F.contains(F.decode("content", "ISO-8859-1"), F.lit("\x00")))
     )
 
 

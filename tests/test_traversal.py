@@ -89,11 +89,15 @@ def test_empty_and_missing(spark):
     assert T.neighborhood(g, "NOWHERE").count() == 0
 
 
-def test_stop_on_size_keeps_last_level(spark):
+def test_shown_nodes_are_the_nearest_of_all(spark):
     g, names, edges = random_graph(spark, 7, n=60, m=150)
     files = g.nodes.select("file_path").where("file_path = 'f0.py'")
-    small = T.impact_radius(g, files, 6, 15, stop_on_size=True)
-    assert small.where("depth > 0").count() <= 15
+    whole = T.impact_radius(g, files, 6)
+    every = sorted((r["depth"], r["qualified_name"]) for r in whole.where("depth > 0").collect())
+    shown = T.impact_radius(g, files, 6, 15).collect()
+    assert sorted((r["depth"], r["qualified_name"]) for r in shown if r["depth"]) == every[:15]
+    assert all(r["total_impacted"] == len(every) and r["truncated"] == (len(every) > 15) for r in shown)
+    assert "truncated" not in whole.columns
 
 
 def test_hub_holds_a_third_of_the_edges(spark):
@@ -108,6 +112,7 @@ def test_hub_holds_a_third_of_the_edges(spark):
     near = T.impact_radius(g, g.nodes.where("file_path = 'm0.py'").select("file_path"), 1, None)
     assert near.where("role = 'impacted'").count() == 299
     assert T.neighborhood(g, names[0], 1, fan=100).count() == 100
+    assert T.neighborhood(g, names[0], 1).count() == g.edges.where(F.col("source").isin(names[0]) | F.col("target").isin(names[0])).count()
 
 
 def test_label_propagation_separates_cliques(spark):
