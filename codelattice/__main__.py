@@ -35,7 +35,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     tools = GraphTools.open(spark, first)
     if given.command == "export":
-        mode, nodes, edges = tools.export(rest[1] if len(rest) > 1 else "auto")
+        mode, nodes, edges = tools.export(rest[1] if len(rest) > 1 else "full")
         nodes.write.mode("overwrite").json(f"{rest[0]}/{mode}/nodes")
         edges.write.mode("overwrite").json(f"{rest[0]}/{mode}/edges")
         return

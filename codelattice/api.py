@@ -182,5 +182,5 @@ class GraphTools:
     def rename_preview(self, old: str, new: str) -> DataFrame:
         return RF.rename_preview(self.graph, old, new)
 
-    def export(self, mode: str = "auto") -> tuple[str, DataFrame, DataFrame]:
+    def export(self, mode: str = "full") -> tuple[str, DataFrame, DataFrame]:
         return export_graph(self.graph, self.members, mode)

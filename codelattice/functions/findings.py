@@ -92,7 +92,7 @@ def parse_verdict(text: Column) -> Column:
     return F.struct(
         F.when(known, verdict).otherwise("NEEDS_REVIEW").alias("verdict"),
         F.when(known & (severity != ""), severity).otherwise("MEDIUM").alias("severity"),
-        F.when(known, F.coalesce(_field(text, "REASONING"), F.substring(F.trim(text), 1, 500)))
+        F.when(known, F.coalesce(_field(text, "REASONING"), F.trim(text)))
         .otherwise("LLM analysis could not produce a verdict.")
         .alias("reasoning"),
         F.when(known, _field(text, "DESCRIPTION")).otherwise(nothing).alias("description"),

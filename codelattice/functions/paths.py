@@ -88,7 +88,7 @@ def signature(kind: Column, name: Column, params: Column, return_type: Column) -
         .when(kind == "Class", F.concat(F.lit("class "), name))
         .otherwise(name)
     )
-    return F.substring(text, 1, 512)
+    return text
 
 
 def glob_to_regex(pattern: str) -> str:

@@ -8,9 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def sanitize_name(col: Column, max_len: int = 256) -> Column:
-    """Drop control characters other than tab and newline, then cut."""
-    return F.substring(F.regexp_replace(col, r"[\x00-\x08\x0B-\x1F]", ""), 1, max_len)
+def sanitize_name(col: Column, max_len: int | None = None) -> Column:
+    """Drop control characters other than tab and newline; cut only for a display that asks for it."""
+    whole = F.regexp_replace(col, r"[\x00-\x08\x0B-\x1F]", "")
+    return whole if max_len is None else F.substring(whole, 1, max_len)
 
 
 def slug(col: Column, max_len: int = 30, default: str = "") -> Column:

@@ -279,12 +279,11 @@ def dependency_counts(g: CodeGraph, members: DataFrame, k: int | None = 15) -> D
     return top_per_key(counts, ["community_id", "direction"], [F.desc("edge_count"), F.asc("other")], k)
 
 
-def community_flows(flows: DataFrame, flow_members: DataFrame, members: DataFrame, k: int = 10, pool: int = 200) -> DataFrame:
-    """Per community the most critical flows through it, out of the top ``pool``."""
-    top = _cut(flows, [F.desc("criticality"), F.asc("entry_point")], pool)
+def community_flows(flows: DataFrame, flow_members: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
+    """Per community the most critical of all flows through it."""
     through = (
         flow_members.select(F.col("root").alias("entry_point"), F.col("node").alias("qualified_name"))
-        .join(top.select("entry_point", "criticality"), "entry_point")
+        .join(flows.select("entry_point", "criticality"), "entry_point")
         .join(members, "qualified_name").select("community_id", "entry_point", "criticality").distinct()
     )
     return top_per_key(through, ["community_id"], [F.desc("criticality"), F.asc("entry_point")], k)

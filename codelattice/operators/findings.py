@@ -273,7 +273,7 @@ def parse_hunt_answers(answers: DataFrame, text: str = "answer", entry: str = "e
         title.alias("title"), F.upper(F.coalesce(f("severity"), F.lit("MEDIUM"))).alias("severity"),
         path.alias("file_path"),
         F.when(line == "", 0).otherwise(line.try_cast("int")).alias("line_start"),
-        F.substring(F.trim(F.when(description != "", description).otherwise(reasoning)), 1, 500).alias("message"),
+        F.trim(F.when(description != "", description).otherwise(reasoning)).alias("message"),
         reasoning.alias("reasoning"), description.alias("description"), clean(f("poc")).alias("poc"),
         f("cvss").try_cast("double").alias("cvss_score"), clean(f("cvss_vector")).alias("cvss_vector"),
         F.coalesce(f("function"), F.col("entry")).alias("function"),

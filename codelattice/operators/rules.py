@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from codelattice.functions.findings import severity_order
 from codelattice.functions.paths import rule_language_of
 from codelattice.model import CodeGraph
-from codelattice.operators.lookup import top_per_key
 from codelattice.operators.traversal import trace
 
 
@@ -124,24 +123,23 @@ def _for_language(column: str) -> Column:
     return F.coalesce(F.transform(fits, lambda s: s["p"]), F.array().cast("array<string>"))
 
 
-def signal_prompt(signals: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Short text per (entry, class): five sinks, six sources, four sanitizers."""
+def signal_prompt(signals: DataFrame, signatures: DataFrame, shown_patterns: int | None = None) -> DataFrame:
+    """Text per (entry, class) with its sinks, sources and sanitizers, at most ``shown_patterns`` of each if given."""
     keys = ["entry", "lang", "vuln_class_id", "name", "cwe_id", "severity"]
-    top = top_per_key(signals, ["entry", "vuln_class_id"], [F.asc("matched_sink")], 5)
-    shown = top.groupBy(*keys).agg(F.array_sort(F.collect_list("matched_sink")).alias("sinks"))
+    shown = signals.groupBy(*keys).agg(F.array_sort(F.collect_list("matched_sink")).alias("sinks"))
     known = shown.join(_pattern_lists(signatures), "vuln_class_id", "left").withColumns(
         {"known_sources": _for_language("sources"), "known_sanitizers": _for_language("sanitizers")}
     )
-    part = lambda c, n, none: F.when(
-        F.size(c) > 0, F.array_join(F.slice(F.col(c), 1, n), ", ")
+    part = lambda c, none: F.when(
+        F.size(c) > 0, F.array_join(F.col(c) if shown_patterns is None else F.slice(F.col(c), 1, shown_patterns), ", ")
     ).otherwise(none)
     cwe = F.when(F.coalesce("cwe_id", F.lit("")) != "", F.concat(F.lit(" ("), F.col("cwe_id"), F.lit(")"))).otherwise("")
     return known.select(
         "entry", "vuln_class_id",
         F.concat(
             F.col("name"), cwe, F.lit(" ["), F.col("severity"), F.lit("] sinks: "),
-            part("sinks", 5, "-"), F.lit("; sources: "), part("known_sources", 6, "-"),
-            F.lit("; sanitizers: "), part("known_sanitizers", 4, "none known"),
+            part("sinks", "-"), F.lit("; sources: "), part("known_sources", "-"),
+            F.lit("; sanitizers: "), part("known_sanitizers", "none known"),
         ).alias("prompt"),
     )
 

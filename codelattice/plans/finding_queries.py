@@ -324,8 +324,8 @@ def signal_match(w: Workspace) -> DataFrame:
 
 @register("signal_prompts", rules("""
 WITH lists AS (SELECT vuln_class_id, list_sort(list(DISTINCT qualified_pattern) FILTER (sig_type = 'SOURCE')) AS so, list_sort(list(DISTINCT qualified_pattern) FILTER (sig_type = 'SANITIZER')) AS sa FROM sigs GROUP BY 1)
-SELECT s.entry, s.vuln_class_id, c.name || ' (' || c.cwe_id || ') [' || c.severity || '] sinks: ' || array_to_string(string_split(s.matched_sinks, ',')[1:5], ', ')
- || '; sources: ' || CASE WHEN coalesce(len(so), 0) > 0 THEN array_to_string(so[1:6], ', ') ELSE '-' END || '; sanitizers: ' || CASE WHEN coalesce(len(sa), 0) > 0 THEN array_to_string(sa[1:4], ', ') ELSE 'none known' END AS prompt
+SELECT s.entry, s.vuln_class_id, c.name || ' (' || c.cwe_id || ') [' || c.severity || '] sinks: ' || array_to_string(string_split(s.matched_sinks, ','), ', ')
+ || '; sources: ' || CASE WHEN coalesce(len(so), 0) > 0 THEN array_to_string(so, ', ') ELSE '-' END || '; sanitizers: ' || CASE WHEN coalesce(len(sa), 0) > 0 THEN array_to_string(sa, ', ') ELSE 'none known' END AS prompt
 FROM signals s JOIN classes c ON c.id = s.vuln_class_id LEFT JOIN lists l ON l.vuln_class_id = s.vuln_class_id"""))
 def signal_prompts(w: Workspace) -> DataFrame:
     found_ = RU.detect_signals(w.graph, R.uncalled_functions(w.graph, None), w.signatures, w.rule_classes)

@@ -177,8 +177,8 @@ def node_predicates(w: Workspace) -> DataFrame:
 
 
 @register("node_signatures", graph("""
-SELECT qualified_name, substr(CASE WHEN kind IN ('Function', 'Test') THEN 'def ' || name || '(' || coalesce(params, '') || ')' || CASE WHEN coalesce(return_type, '') <> '' THEN ' -> ' || return_type ELSE '' END
-  WHEN kind = 'Class' THEN 'class ' || name ELSE name END, 1, 512) AS signature FROM nodes"""))
+SELECT qualified_name, CASE WHEN kind IN ('Function', 'Test') THEN 'def ' || name || '(' || coalesce(params, '') || ')' || CASE WHEN coalesce(return_type, '') <> '' THEN ' -> ' || return_type ELSE '' END
+  WHEN kind = 'Class' THEN 'class ' || name ELSE name END AS signature FROM nodes"""))
 def node_signatures(w: Workspace) -> DataFrame:
     c = F.col
     return w.graph.nodes.select("qualified_name", P.signature(c("kind"), c("name"), c("params"), c("return_type")).alias("signature"))

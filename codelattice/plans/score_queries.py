@@ -287,7 +287,7 @@ def community_dependencies(w: Workspace) -> DataFrame:
 
 
 @register("community_flows", flow("""
-WITH top AS (SELECT entry_point, criticality FROM flows ORDER BY criticality DESC, entry_point LIMIT 200),
+WITH top AS (SELECT entry_point, criticality FROM flows),
 t AS (SELECT DISTINCT f.community_id, top.entry_point, top.criticality FROM top JOIN members m ON m.root = top.entry_point JOIN file_members f ON f.qualified_name = m.node)
 SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY criticality DESC, entry_point) <= 10"""))
 def community_flows(w: Workspace) -> DataFrame:

@@ -33,8 +33,8 @@ def scanner_findings(reports: DataFrame) -> DataFrame:
         F.coalesce("r.path", F.lit("")).alias("file_path"), start.alias("line_start"),
         F.coalesce("r.end.line", start).alias("line_end"), _first_of(F.col("r.extra.metadata.cwe")).alias("cwe"),
         F.col("r.extra.severity").alias("severity"),
-        F.substring(F.coalesce("r.extra.message", F.lit("")), 1, 500).alias("message"),
-        F.substring(F.trim(F.coalesce("r.extra.lines", F.lit(""))), 1, 300).alias("snippet"),
+        F.coalesce("r.extra.message", F.lit("")).alias("message"),
+        F.trim(F.coalesce("r.extra.lines", F.lit(""))).alias("snippet"),
     )
 
 
@@ -112,8 +112,8 @@ def registry_rules(documents: DataFrame) -> dict[str, DataFrame]:
     shaped = kept.select(
         "seq", F.concat(F.lit("semgrep-"), F.trim("id")).alias("id"), cwe.alias("cwe_id"),
         F.regexp_extract(F.coalesce("metadata.owasp", F.lit("")), r"(A\d{2})", 1).alias("owasp_cat"),
-        F.substring(F.when(cwe != "", F.concat(title, F.lit(" ("), cwe, F.lit(")"))).otherwise(title), 1, 120).alias("name"),
-        F.substring(F.coalesce("message", F.lit("")), 1, 500).alias("description"),
+        F.when(cwe != "", F.concat(title, F.lit(" ("), cwe, F.lit(")"))).otherwise(title).alias("name"),
+        F.coalesce("message", F.lit("")).alias("description"),
         F.when(cwe.isin(*CRITICAL_CWES), "CRITICAL").otherwise(
             normalise_severity(F.coalesce("severity", F.lit("WARNING")))).alias("severity"),
         F.coalesce(F.get("languages", F.lit(0)), F.lit("any")).alias("language"),
