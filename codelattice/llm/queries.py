@@ -14,10 +14,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as pieces, and its text again: digests of both."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepiece_codec.encode(docs, model)
-    return sentencepiece_codec.decode(coded, model, carry=("n_tokens", "score", "ids")).select(
-        "doc_id", "n_tokens", "score", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text"), 256).alias("decoded_sha256")
-    )
+    coded = sentencepiece_codec.encode(docs, model, decoded=True)
+    return coded.select("doc_id", "n_tokens", "score", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

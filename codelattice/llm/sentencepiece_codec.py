@@ -35,7 +35,7 @@ UNKNOWN_PENALTY = 10.0
 class PieceModel:
     """Pieces, scores, automaton and byte pieces of one model file; solved words are kept up to a bound."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 200_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
@@ -151,30 +151,36 @@ def piece_model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, score, ids as bytes of little-endian uint32) of every whole text."""
-    schema = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("ids", pa.binary())])
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, n_tokens, score, ids as bytes of little-endian uint32) of every whole text.
+
+    With ``decoded`` a column of that name holds the text that the ids decode to.
+    """
+    fields = [(key, pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("ids", pa.binary())]
+    schema = pa.schema(fields + [("decoded", pa.string())] * decoded)
 
     def run(batches):
         one = piece_model(model)
-        for batch in text_slices(batches, text, 12 << 20):
+        for batch in text_slices(batches, text, 4 << 20):
             ids, sizes, scores = one.encode(batch.column(text))
-            raw, ends = ids.tobytes(), np.cumsum(sizes)
-            yield batch_of(schema, **{key: batch.column(key)}, n_tokens=sizes, score=scores, ids=[raw[4 * (b - n) : 4 * b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
+            raw, cuts = ids.tobytes(), [0, *np.cumsum(sizes).tolist()]
+            back = {"decoded": [one.decode(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]} if decoded else {}
+            yield batch_of(schema, **{key: batch.column(key)}, n_tokens=sizes, score=scores, ids=[raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)], **back)
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
-    return rows.mapInArrow(run, f"{key} long, n_tokens long, score double, ids binary")
+    return rows.mapInArrow(run, f"{key} long, n_tokens long, score double, ids binary" + ", decoded string" * decoded)
 
 
-def decode(rows: DataFrame, model: str, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, carried columns, text) of encoded rows; the carried columns pass through unchanged."""
-    kept = rows.select(F.col(key).cast("long").alias(key), *dict.fromkeys(["ids", *carry]))
-    out = [f for f in kept.schema.fields if f.name == key or f.name in carry]
+def decode(rows: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
+    """(key, text) of encoded rows."""
+    schema = pa.schema([(key, pa.int64()), ("text", pa.string())])
 
     def run(batches):
         one = piece_model(model)
         for batch in batches:
-            texts = [one.decode(np.frombuffer(i or b"", np.uint32)) for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), pa.array(texts, pa.string())], names=[*(f.name for f in out), "text"])
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                texts = [one.decode(np.frombuffer(i or b"", np.uint32)) for i in part.column("ids").to_pylist()]
+                yield batch_of(schema, **{key: part.column(key)}, text=texts)
 
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", text string")
+    return rows.select(F.col(key).cast("long").alias(key), "ids").mapInArrow(run, f"{key} long, text string")
