@@ -82,6 +82,12 @@ def build_from_files(files: DataFrame) -> CodeGraph:
         if "vue" in scripts:
             others = others.unionByName(NB.component_code(files.where(F.col("language") == "vue")))
         records = records.unionByName(extract_by_lines(others))
+    # Every file has its node, also those that no reader takes.
+    unread = files.where(~F.col("language").isin("python", *scripts)).select(
+        F.lit("node").alias("rec"), F.lit("File").alias("kind"), F.col("file_path").alias("name"), "file_path",
+        F.lit(1).alias("line_start"), F.size(F.split("text", "\r\n|\r|\n")).alias("line_end"),
+    )
+    records = records.unionByName(unread, allowMissingColumns=True)
     languages = files.select(
         "file_path", F.when(F.col("language") == "notebook", "python").otherwise(F.col("language")).alias("language")
     )

@@ -1,6 +1,7 @@
 """Definitions, imports and calls by line patterns, for languages without a syntax tree.
 
-All steps are built-in expressions over exploded lines. Brace depth is a
+All steps are built-in expressions over exploded lines. Comments are taken out and
+strings emptied first. Block depth (braces, or block words in Lua and Ruby) is a
 running sum per file, so a block ends where its depth is reached again.
 """
 
@@ -40,18 +41,43 @@ PATTERNS: dict[str, tuple[str, tuple[str, ...], str]] = {
         (rf"^\s*{_WORD}\s*(?:<-|=)\s*function\s*\(",),
         r"""^\s*(?:library|require|source)\(\s*["']?([\w./]+)""",
     ),
+    "perl": (
+        r"^\s*package\s+([\w:]+)",
+        (rf"^\s*sub\s+{_WORD}",),
+        r"^\s*(?:use|require)\s+([A-Za-z][\w:]*)",
+    ),
+    "lua": (
+        r"^\s*(?:local\s+)?([A-Z]\w*)\s*=\s*(?:class|setmetatable)\b",
+        (r"^\s*(?:local\s+)?function\s+(?:[\w.]+[.:])?(\w+)\s*\(", r"^\s*(?:local\s+)?(?:[\w.]+\.)?(\w+)\s*=\s*function\s*\("),
+        r"""\brequire\s*\(?\s*["']([^"']+)["']""",
+    ),
+    "ruby": (
+        r"^\s*(?:class|module)\s+([A-Z]\w*)",
+        (r"^\s*def\s+(?:self\.)?(\w+)",),
+        r"""^\s*require(?:_relative)?\s*\(?\s*["']([^"']+)["']""",
+    ),
+}
+
+# What is taken out of a line (comments) besides strings, which the first group keeps.
+_QUOTED = r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`"""
+# A single quote also marks lifetimes and characters: only what is a character counts.
+_CHARACTERS = r""""(?:\\.|[^"\\])*"|'(?:\\.[^']*|[^'\\])'|`[^`]*`"""
+_SLASHES = r"//.*$|/\*.*?\*/"
+COMMENTS = {
+    "script": (_QUOTED, _SLASHES), "c_like": (_CHARACTERS, _SLASHES), "go": (_CHARACTERS, _SLASHES), "rust": (_CHARACTERS, _SLASHES),
+    "r": (_QUOTED, r"#.*$"), "perl": (_QUOTED, r"(?<!\$)#.*$"), "ruby": (_QUOTED, r"#(?!\{).*$"), "lua": (_QUOTED, r"--.*$"),
 }
 
 GROUP = {
     "javascript": "script", "typescript": "script", "tsx": "script", "vue": "script",
     "java": "c_like", "csharp": "c_like", "kotlin": "c_like", "swift": "c_like", "php": "c_like",
     "scala": "c_like", "dart": "c_like", "c": "c_like", "cpp": "c_like", "solidity": "c_like",
-    "go": "go", "rust": "rust", "r": "r",
+    "go": "go", "rust": "rust", "r": "r", "perl": "perl", "lua": "lua", "ruby": "ruby",
 }
 
 _NOT_CALLS = (
     "if", "for", "while", "switch", "catch", "return", "function", "func", "fn", "fun", "def",
-    "new", "sizeof", "typeof", "else", "match", "when", "super", "constructor",
+    "new", "sizeof", "typeof", "else", "match", "when", "super", "constructor", "elsif", "elseif", "unless", "sub", "and", "or", "not",
 )
 _NOT_NAMES = ("if", "for", "while", "switch", "catch", "return", "else", "new", "throw", "match", "when")
 
@@ -63,6 +89,47 @@ def _by_group(group: Column, pick) -> Column:
     return out
 
 
+def _count(code: Column, pattern: str) -> Column:
+    return F.size(F.regexp_extract_all(code, F.lit(pattern), 0))
+
+
+def _opens(group: Column, code: Column) -> Column:
+    """Blocks that a line opens."""
+    lua = _count(code, r"\b(?:function|do|then)\b") - _count(code, r"\belseif\b")
+    ruby = _count(code, r"^\s*(?:class|module|def|if|unless|case|while|until|for|begin)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$")
+    return F.when(group == "lua", lua).when(group == "ruby", ruby).otherwise(F.length(code) - F.length(F.replace(code, F.lit("{"), F.lit(""))))
+
+
+def _closes(group: Column, code: Column) -> Column:
+    words = _count(code, r"\bend\b")
+    return F.when(group.isin("lua", "ruby"), words).otherwise(F.length(code) - F.length(F.replace(code, F.lit("}"), F.lit(""))))
+
+
+def _without_comments(lines: DataFrame) -> DataFrame:
+    """``text``: a line without comments; ``code``: the same with empty strings in place of strings."""
+    group = F.col("group")
+    plain = F.col("raw")
+    for name, (quoted, comment) in COMMENTS.items():
+        plain = F.when(group == name, F.regexp_replace("raw", rf"({quoted})|{comment}", "$1")).otherwise(plain)
+    plain = F.regexp_replace(plain, r"^\s*#(?!include).*$", "")
+    blank = plain
+    for name, (quoted, _) in COMMENTS.items():
+        blank = F.when(group == name, F.regexp_replace(plain, quoted, '""')).otherwise(blank)
+    slashed = group.isin("script", "c_like", "go", "rust")
+    # A block comment over several lines: open from its start to its end.
+    step = F.when(slashed & F.col("code").contains("/*"), 1).when(slashed & F.col("code").contains("*/"), -1).otherwise(0)
+    before = Window.partitionBy("file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    staged_lines = lines.select("file_path", "group", "line", plain.alias("text"), blank.alias("code"))
+    marked = staged_lines.withColumn("_open", F.coalesce(F.sum(step).over(before), F.lit(0)) > 0)
+
+    def outside(column: str) -> Column:
+        after = F.regexp_replace(column, r"^.*?\*/", "")
+        rest = F.when(F.col("_open"), F.when(F.col(column).contains("*/"), after).otherwise("")).otherwise(F.col(column))
+        return F.when(slashed, F.regexp_replace(rest, r"/\*.*$", "")).otherwise(rest)
+
+    return marked.select("file_path", "group", "line", outside("text").alias("text"), outside("code").alias("code"))
+
+
 def extract_by_lines(files: DataFrame) -> DataFrame:
     """Records in the shape of the Python reader for (file_path, text, language)."""
     flat: list[Column] = []
@@ -72,24 +139,24 @@ def extract_by_lines(files: DataFrame) -> DataFrame:
     lines = (
         files.withColumn("group", group).where(F.col("group").isNotNull())
         .select("file_path", "group", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "raw"))
-        .select("file_path", "group", (F.col("pos") + 1).alias("line"), F.regexp_replace("raw", r"(//|^\s*#(?!include)).*$", "").alias("code"))
+        .select("file_path", "group", (F.col("pos") + 1).alias("line"), "raw")
     )
-    ups = F.length("code") - F.length(F.replace("code", F.lit("{"), F.lit("")))
-    downs = F.length("code") - F.length(F.replace("code", F.lit("}"), F.lit("")))
+    lines = _without_comments(lines)
+    ups, downs = _opens(F.col("group"), F.col("code")), _closes(F.col("group"), F.col("code"))
     running = Window.partitionBy("file_path").orderBy("line")
-    first = lambda pattern: F.regexp_extract("code", pattern, 1)
+    first = lambda pattern, column="code": F.regexp_extract(column, pattern, 1)
 
     def function_name(spec) -> Column:
         hits = [F.nullif(first(p), F.lit("")) for p in spec[1]]
         return F.coalesce(*hits, F.lit(""))
 
     marked = lines.select(
-        "file_path", "line", "code",
+        "file_path", "line", "text", "code",
         F.sum(ups - downs).over(running).alias("depth"),
         (ups - downs).alias("_net"), ups.alias("_ups"),
         _by_group(F.col("group"), lambda s: first(s[0])).alias("cls"),
         _by_group(F.col("group"), function_name).alias("fn"),
-        _by_group(F.col("group"), lambda s: first(s[2])).alias("imp"),
+        _by_group(F.col("group"), lambda s: first(s[2], "text")).alias("imp"),
     ).withColumn("before", F.col("depth") - F.col("_net"))
     defs = marked.where((F.col("cls") != "") | ((F.col("fn") != "") & ~F.col("fn").isin(*_NOT_NAMES))).select(
         "file_path", "line", "before", F.when(F.col("cls") != "", "Class").otherwise("Function").alias("kind"),
@@ -98,7 +165,8 @@ def extract_by_lines(files: DataFrame) -> DataFrame:
     )
     # The block of a definition closes at the first later line back at its depth.
     closes = marked.where(F.col("_net") < 0).select("file_path", F.col("line").alias("close"), "depth")
-    level = Window.partitionBy("file_path", "level").orderBy("at", "is_close").rowsBetween(1, Window.unboundedFollowing)
+    # From the last line on, so that the nearest close is a running minimum.
+    level = Window.partitionBy("file_path", "level").orderBy(F.desc("at"), F.desc("is_close")).rowsBetween(Window.unboundedPreceding, -1)
     events = defs.select("file_path", F.col("before").alias("level"), F.col("line").alias("at"), F.lit(0).alias("is_close")).unionByName(
         closes.select("file_path", F.col("depth").alias("level"), F.col("close").alias("at"), F.lit(1).alias("is_close"))
     )
@@ -145,9 +213,9 @@ def extract_by_lines(files: DataFrame) -> DataFrame:
     # ``import D, { a, b as c } from "m"`` binds D, a and c to m.
     binding = r"""^\s*import\s+(?:type\s+)?(.+?)\s+from\s+["']"""
     bound = (
-        marked.where((F.col("imp") != "") & (first(binding) != "")).select(
+        marked.where((F.col("imp") != "") & (first(binding, "text") != "")).select(
             "file_path", "line", "imp",
-            F.explode(F.split(F.regexp_replace(first(binding), r"[{}]", ","), ",")).alias("item"),
+            F.explode(F.split(F.regexp_replace(first(binding, "text"), r"[{}]", ","), ",")).alias("item"),
         )
         .select("file_path", "line", "imp", F.regexp_extract(F.trim("item"), r"(\w+)$", 1).alias("name"))
         .where(F.col("name") != "")

@@ -191,3 +191,32 @@ def test_yaml_documents(spark):
     assert parts["classes"].first()["severity"] == "MEDIUM"
     sig = parts["signatures"].first()
     assert (sig["id"], sig["sig_type"], sig["vuln_class_id"]) == ("r1-sink-run", "SINK", "r1")
+
+
+def lines_of(spark, name, text, language):
+    from codelattice.plans import pipelines
+
+    g = pipelines.build_from_files(spark.createDataFrame([(name, text, language)], "file_path string, text string, language string"))
+    return {r["qualified_name"] for r in g.nodes.collect()}, {(r["source"], r["target"]) for r in g.edges.where("kind = 'CALLS'").collect()}
+
+
+def test_strings_and_comments_hold_no_calls(spark):
+    text = "function a() {\n  fetch('http://x/y').then(load()); // gone(1)\n  /* dead(1) */ live('call fake( }');\n  /* one {\n  two(2)\n  */ last();\n}\nfunction b() {\n  c();\n}\n"
+    nodes, calls = lines_of(spark, "s.js", text, "javascript")
+    assert {"s.js::a", "s.js::b"} <= nodes
+    called = {(s, t.rsplit("::", 1)[-1]) for s, t in calls}
+    assert called == {("s.js::a", n) for n in ("fetch", "then", "load", "live", "last")} | {("s.js::b", "c")}
+
+
+def test_block_words(spark):
+    nodes, calls = lines_of(spark, "m.lua", "local M = {}\nfunction M.area(x)\n  if x then\n    grow(x) -- shrink(x)\n  end\nend\nlocal function other()\n  stop()\nend\n", "lua")
+    assert {"m.lua", "m.lua::area", "m.lua::other"} <= nodes and {("m.lua::area", "grow"), ("m.lua::other", "stop")} <= calls
+    nodes, calls = lines_of(spark, "m.rb", "class Shape\n  def area(x)\n    grow(x) if x\n  end\n  def other\n    [1].each do |y|\n      stop(y)\n    end\n  end\nend\n", "ruby")
+    assert {"m.rb", "m.rb::Shape", "m.rb::Shape.area", "m.rb::Shape.other"} <= nodes and {("m.rb::Shape.area", "grow"), ("m.rb::Shape.other", "stop")} <= calls
+    nodes, calls = lines_of(spark, "m.pl", "package Shape;\nsub area {\n  grow(1); # shrink(1)\n}\n", "perl")
+    assert {"m.pl", "m.pl::Shape", "m.pl::Shape.area"} <= nodes and ("m.pl::Shape.area", "grow") in calls
+
+
+def test_every_file_has_a_node(spark):
+    nodes, _ = lines_of(spark, "x.sh", "echo hi\n", "bash")
+    assert nodes == {"x.sh"}
