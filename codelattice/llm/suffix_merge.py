@@ -309,7 +309,7 @@ def _runs(texts: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def _merged(runs: DataFrame, length: int) -> DataFrame:
-    """(digest, start, stop): bytes of a text that repeated strings around one anchor cover."""
+    """(digest, starts, stops): bytes of a text that repeated strings cover, one row per text and bucket."""
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         strings, prefixes, columns = [], [], []
         for row in pdf.itertuples():
@@ -330,7 +330,8 @@ def _merged(runs: DataFrame, length: int) -> DataFrame:
         total = np.concatenate([c[2] for c in columns]).astype(np.int64)
         occurrence = (np.cumsum(total) - total)[flat]
         shared = np.array(shared, np.int64)
-        out_digest, out_start, out_stop = [], [], []
+        out_text, out_start, out_stop = [], [], []
+        numbers: dict[bytes, int] = {}
         # Anchors that share no gram never meet: solve stretches of the order that do, so the work is by group.
         cut = np.flatnonzero(np.concatenate([[True], shared[1:] < GRAM]))
         for a, b in _groups(cut, len(flat)):
@@ -348,15 +349,22 @@ def _merged(runs: DataFrame, length: int) -> DataFrame:
             for i in np.flatnonzero(found.any(1)):
                 r = rows[i]
                 ls = np.flatnonzero(found[i])
-                pieces = np.split(ls, np.flatnonzero(np.diff(ls) > 1) + 1)
-                for o in range(occurrence[r], occurrence[r] + counts[r]):
-                    for piece in pieces:
-                        out_digest.append(digests[16 * o : 16 * o + 16])
-                        out_start.append(int(places[o]) - int(piece[-1]))
-                        out_stop.append(int(places[o]) - int(piece[0]) + length)
-        return pd.DataFrame({"digest": pd.Series(out_digest, dtype=object), "start": pd.Series(out_start, dtype="int32"), "stop": pd.Series(out_stop, dtype="int32")})
-
-    return runs.groupBy("bucket").applyInPandas(merge, "digest binary, start int, stop int")
+                breaks = np.flatnonzero(np.diff(ls) > 1)
+                lowest, highest = ls[np.append(0, breaks + 1)], ls[np.append(breaks, len(ls) - 1)]
+                own = slice(occurrence[r], occurrence[r] + counts[r])
+                texts = [numbers.setdefault(digests[16 * o : 16 * o + 16], len(numbers)) for o in range(own.start, own.stop)]
+                out_text.append(np.repeat(np.array(texts, np.int64), len(lowest)))
+                out_start.append((places[own][:, None] - highest[None, :]).reshape(-1))
+                out_stop.append((places[own][:, None] - lowest[None, :] + length).reshape(-1))
+        if not out_text:
+            return pd.DataFrame({"digest": pd.Series([], dtype=object), "starts": pd.Series([], dtype=object), "stops": pd.Series([], dtype=object)})
+        text, start, stop = (np.concatenate(x).astype(np.int64) for x in (out_text, out_start, out_stop))
+        rank = np.argsort(text, kind="stable")
+        cuts = np.searchsorted(text[rank], np.arange(len(numbers) + 1))
+        spans = [union_of(start[rank[i:j]], stop[rank[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pd.DataFrame({"digest": list(numbers), "starts": [x[0].tolist() for x in spans], "stops": [x[1].tolist() for x in spans]})
+
+    return runs.groupBy("bucket").applyInPandas(merge, "digest binary, starts array<int>, stops array<int>")
 
 
 def _groups(cut: np.ndarray, n: int, most: int = 4_096):
@@ -405,14 +413,15 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     single = staged(described.groupBy("digest").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("grams", "places", "lows", "highs"))), "distinct_texts")
     each = single.select("digest", "rep", F.explode(F.arrays_zip("grams", "places", "lows", "highs")).alias("x"))
     each = each.select("digest", "rep", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"), F.col("x.lows").alias("low"), F.col("x.highs").alias("high"))
-    repeated = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Stored, so that the join shuffles both sides and a gram of very many anchors can be split.
+    repeated = staged(each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated_grams")
     shared = each.join(repeated, "gram")
     wanted = shared.groupBy("digest", "rep").agg(F.collect_list(F.struct("gram", "place", "low", "high", (F.col("n") > hot_group).alias("hot"))).alias("anchors"))
     texts = _with_digest(docs.withColumn("carried", F.lit(0)), key, text)
     chosen = texts.join(wanted.withColumnRenamed("digest", "own"), (F.col("digest") == F.col("own")) & F.col(key).eqNullSafe(F.col("rep"))).select("digest", "bytes", "anchors")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     covered = staged(_merged(_runs(chosen, buckets, length), length), "covered")
-    spans = covered.groupBy("digest").agg(F.collect_list(F.struct("start", "stop")).alias("covered"))
+    spans = covered.groupBy("digest").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "stops"))).alias("covered"))
     copied = single.where("copies > 1").select("digest", F.lit(True).alias("copied"))
     marks = spans.join(copied, "digest", "full").withColumnRenamed("digest", "own")
     joined = _with_digest(carrying, key, text).join(marks, F.col("digest") == F.col("own"), "left")
@@ -429,7 +438,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
                     starts, stops = np.array([0]), np.array([len(raw)])
                 else:
                     own = batch.column("covered")[i].as_py() or []
-                    starts, stops = union_of(np.array([x["start"] for x in own], np.int64), np.array([x["stop"] for x in own], np.int64))
+                    starts, stops = union_of(np.array([x["starts"] for x in own], np.int64), np.array([x["stops"] for x in own], np.int64))
                 runs, parts, at = [], [], 0
                 for start, stop in zip(starts.tolist(), stops.tolist(), strict=True):
                     while whole_characters and start < stop and raw[start] & 0xC0 == 0x80:
