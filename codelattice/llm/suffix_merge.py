@@ -308,8 +308,11 @@ def _runs(texts: DataFrame, buckets: int, length: int) -> DataFrame:
     return texts.mapInArrow(typed, RUN_FIELDS)
 
 
-def _merged(runs: DataFrame, length: int) -> DataFrame:
-    """(digest, starts, stops): bytes of a text that repeated strings cover, one row per text and bucket."""
+def _merged(runs: DataFrame, length: int, tail: int = 0) -> DataFrame:
+    """(digest, starts, stops): bytes of a text that repeated strings cover, one row per text and bucket.
+
+    Spans are joined where they still touch without their last ``tail`` bytes.
+    """
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         strings, prefixes, columns = [], [], []
         for row in pdf.itertuples():
@@ -361,7 +364,7 @@ def _merged(runs: DataFrame, length: int) -> DataFrame:
         text, start, stop = (np.concatenate(x).astype(np.int64) for x in (out_text, out_start, out_stop))
         rank = np.argsort(text, kind="stable")
         cuts = np.searchsorted(text[rank], np.arange(len(numbers) + 1))
-        spans = [union_of(start[rank[i:j]], stop[rank[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        spans = [union_of(start[rank[i:j]], stop[rank[i:j]], tail) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         return pd.DataFrame({"digest": list(numbers), "starts": [x[0].tolist() for x in spans], "stops": [x[1].tolist() for x in spans]})
 
     return runs.groupBy("bucket").applyInPandas(merge, "digest binary, starts array<int>, stops array<int>")
@@ -389,21 +392,36 @@ def _groups(cut: np.ndarray, n: int, most: int = 4_096):
         yield a, b
 
 
-def union_of(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of overlapping or touching spans."""
+def union_of(starts: np.ndarray, stops: np.ndarray, tail: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of overlapping or touching spans; with a ``tail`` they touch without their last bytes."""
     if not len(starts):
         return starts, stops
     order = np.argsort(starts, kind="stable")
     starts, reach = starts[order], np.maximum.accumulate(stops[order])
-    first = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1] - tail]))
     return starts[first], reach[np.append(first[1:], len(starts)) - 1]
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot_group: int = HOT_GROUP, whole_characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def whole_words(raw: bytes, start: int, stop: int) -> int:
+    """Words of a stretch of a text, without those that go on beyond its ends."""
+    def inside(at: int) -> bool:
+        return 0 < at < len(raw) and all(c >= 128 or chr(c).isalnum() for c in raw[at - 1 : at + 1])
+
+    return len(raw[start:stop].split()) - inside(start) - inside(stop)
+
+
+def long_enough(raw: bytes, starts: np.ndarray, stops: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that have the words or ``LENGTH`` bytes, joined where they touch."""
+    keep = np.array([b - a >= LENGTH or whole_words(raw, a, b) >= least_words for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], bool)
+    return union_of(starts[keep], stops[keep])
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot_group: int = HOT_GROUP, whole_characters: bool = False, carry: tuple[str, ...] = (), least_words: int = 0) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, spans, kept, carried) of every text: removed runs and remaining bytes.
 
     With ``whole_characters`` a run gives up bytes at its ends that belong to a character it does not cover.
-    ``carried`` is a struct of the columns named by ``carry``.
+    ``carried`` is a struct of the columns named by ``carry``. With ``least_words`` only runs of so many
+    whole words, or of ``LENGTH`` bytes, are removed.
     """
     spark = docs.sparkSession
     carried = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
@@ -419,8 +437,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     wanted = shared.groupBy("digest", "rep").agg(F.collect_list(F.struct("gram", "place", "low", "high", (F.col("n") > hot_group).alias("hot"))).alias("anchors"))
     texts = _with_digest(docs.withColumn("carried", F.lit(0)), key, text)
     chosen = texts.join(wanted.withColumnRenamed("digest", "own"), (F.col("digest") == F.col("own")) & F.col(key).eqNullSafe(F.col("rep"))).select("digest", "bytes", "anchors")
+    tail = length - 1 if least_words else 0
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    covered = staged(_merged(_runs(chosen, buckets, length), length), "covered")
+    covered = staged(_merged(_runs(chosen, buckets, length), length, tail), "covered")
     spans = covered.groupBy("digest").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "stops"))).alias("covered"))
     copied = single.where("copies > 1").select("digest", F.lit(True).alias("copied"))
     marks = spans.join(copied, "digest", "full").withColumnRenamed("digest", "own")
@@ -438,7 +457,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
                     starts, stops = np.array([0]), np.array([len(raw)])
                 else:
                     own = batch.column("covered")[i].as_py() or []
-                    starts, stops = union_of(np.array([x["starts"] for x in own], np.int64), np.array([x["stops"] for x in own], np.int64))
+                    starts, stops = union_of(np.array([x["starts"] for x in own], np.int64), np.array([x["stops"] for x in own], np.int64), tail)
+                if least_words:
+                    starts, stops = long_enough(raw, starts, stops, least_words)
                 runs, parts, at = [], [], 0
                 for start, stop in zip(starts.tolist(), stops.tolist(), strict=True):
                     while whole_characters and start < stop and raw[start] & 0xC0 == 0x80:
@@ -460,10 +481,13 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     return joined.mapInArrow(remove, f"{kind}, carried {joined.schema['carried'].dataType.simpleString()}")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """``docs`` with repeated passages cut out of the text, in whole characters; the length column follows, others stay."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars", length: int = LENGTH, least_words: int = 0) -> DataFrame:
+    """``docs`` with repeated passages cut out of the text, in whole characters; the length column follows, others stay.
+
+    ``length`` and ``least_words`` say what counts as a passage, as in ``deduplicate``.
+    """
     carry = tuple(c for c in docs.columns if c not in (key, text, chars))
-    found = deduplicate(docs, key, text, whole_characters=True, carry=carry)
+    found = deduplicate(docs, key, text, length, whole_characters=True, carry=carry, least_words=least_words)
     kept = F.col("kept").cast("string")
     columns = {key: F.col(key), text: kept, chars: F.length(kept).cast("long")}
     return found.select(*(columns.get(c, F.col("carried")[c]).alias(c) for c in docs.columns))

@@ -14,6 +14,10 @@ from codelattice.llm import packing, rule_cascade, simhash_vptree, suffix_merge,
 from codelattice.llm.common import read_table, staged
 
 
+#: Words of the shortest passage whose repeats are cut. It has a byte and a space for each word at least.
+PASSAGE_WORDS = 51
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar accepts; labels of the table train it."""
     return toxicity.reject(docs, read_table(spark, sf_dir, "labels"))
@@ -30,8 +34,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 400 bytes or more that occur again (whole characters only)."""
-    return suffix_merge.remove_repeats(docs)
+    """All documents, without passages of over 50 words, or of 400 bytes or more, that occur again (whole characters only)."""
+    return suffix_merge.remove_repeats(docs, length=2 * PASSAGE_WORDS - 1, least_words=PASSAGE_WORDS)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

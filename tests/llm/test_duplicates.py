@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from codelattice.llm import components, pivot_index, simhash_vptree, suffix_merge
 from helpers import odd_rows, prose, table, words
 
@@ -152,6 +153,22 @@ def test_whole_characters_and_columns(spark):
     assert suffix_merge.deduplicate(table(spark, [])).count() == 0
 
 
+def test_stage_cuts_passages_of_51_words(spark):
+    random.seed(12)
+    fresh = lambda n: " ".join(f"{random.getrandbits(20):x}" for _ in range(n))
+    passage, short, one_letter = fresh(51), fresh(50), " ".join(random.choice("abcdefgh") for _ in range(51))
+    left, right = fresh(30), fresh(30)
+    assert 250 < len(passage) < 400 and len(one_letter) == 101
+    parts = {1: passage, 2: passage + ".", 3: short, 4: short, 5: one_letter, 6: one_letter, 7: left + " " + right, 8: left, 9: right}
+    around = {k: (fresh(40), fresh(40)) for k in parts}
+    docs = table(spark, [(k, f"{a} {parts[k]} {b}") for k, (a, b) in around.items()]).selectExpr("*", "7L as n_chars")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    for k, (a, b) in around.items():
+        cut = k in (1, 2, 5, 6)
+        assert got[k].startswith(a) and got[k].endswith(b) and (parts[k] in got[k]) != cut, k
+        assert not cut or len(got[k]) <= len(a) + len(b) + 3
+
+
 # ---------------------------------------------------------------- pivot index
 
 def vectors():
