@@ -1,15 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words are read as classes: insult (words and word beginnings learned from labelled texts, each
-with a log-odds weight, besides a seed list), threat, target, negation, reported speech, other.
+with a log-odds weight), seed insult, threat, target, negation, reported speech, other.
 Four small transducers rewrite the class stream and are composed into one table:
 
-- negation: an insult or threat up to three words after a negation is weakened,
-- reported speech: one after a verb of saying in the clause is weakened,
-- target: one in a clause that names a person before it is strengthened,
+- negation: an insult or threat up to three words after a negation is cancelled,
+- reported speech: one after a verb of saying in the clause is cancelled,
+- target: a seed insult counts only with a target in its clause; a learned insult counts by itself,
+  as labels speak for it, and more after a target,
 - threat: a threat word counts only with a target after it.
 
-A clause ends at ``. , ; : ! ?``; its score is the weight of its path. A document's score is the
+A clause ends at ``. , ; : ! ?`` (a verb of saying goes on over ``, :``); its score is the weight of
+its path, and it is a match only if something is left of it. A document's score is the
 logistic of a calibration over its matched clauses (how many, the sum, the strongest), fitted on
 the same bounded sample of labelled rows.
 
@@ -39,7 +41,8 @@ SAMPLE, LEXICON = 20_000, 4_000
 LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO, LEAST_SURPRISE = 3, 0.005, 20.0, 28.0
 PREFIXES = range(4, 8)
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, SEED = KINDS = range(7)
+HITS = (INSULT, THREAT, SEED)
 SEEDS = {
     INSULT: "idiot moron stupid loser scum pathetic worthless disgusting trash idiota imbécile dummkopf abschaum",
     THREAT: "kill hurt destroy punch stab töten verletzen matar tuer frapper",
@@ -49,34 +52,35 @@ SEEDS = {
 }
 SEED_CLASSES = {word: kind for kind, words in SEEDS.items() for word in words.split()}
 EDGES = re.compile(r"^[^\w]+|[^\w]+$")
-CLAUSE_END = tuple(".,;:!?")
+CLAUSE_END, REPORT_END = tuple(".,;:!?"), tuple(".;!?")
 
 # ------------------------------------------------------------ transducers
 
 
 def _negation() -> tuple[int, dict]:
-    """States count the words for which a negation still holds; weakened matches are marked."""
+    """States count the words for which a negation still holds; insults and threats under it are dropped."""
     arcs = {}
-    for left, kind in itertools.product(range(4), range(6)):
-        hit = kind in (INSULT, THREAT)
-        arcs[left, kind] = (3 if kind == NEGATION else max(left - 1, 0), kind, math.log(0.4) if hit and left else 0.0)
+    for left, kind in itertools.product(range(4), KINDS):
+        arcs[left, kind] = (3 if kind == NEGATION else max(left - 1, 0), OTHER if kind in HITS and left else kind, 0.0)
     return 0, arcs
 
 
 def _report() -> tuple[int, dict]:
-    arcs = {(s, k): (1 if k == REPORT else s, k, math.log(0.6) if s and k in (INSULT, THREAT) else 0.0) for s in (0, 1) for k in range(6)}
+    arcs = {(s, k): (1 if k == REPORT else s, OTHER if s and k in HITS else k, 0.0) for s in (0, 1) for k in KINDS}
     return 0, arcs
 
 
 def _target() -> tuple[int, dict]:
-    arcs = {(s, k): (1 if k == TARGET else s, k, math.log(1.5) if s and k == INSULT else 0.0) for s in (0, 1) for k in range(6)}
+    """After a target insults gain weight and seed insults count; before one a seed insult waits for it (state 2)."""
+    arcs = {(s, k): (1 if k == TARGET else s, k, math.log(1.5) if s == 1 and k == INSULT else 0.0) for s in range(3) for k in KINDS}
+    arcs |= {(0, SEED): (2, OTHER, 0.0), (1, SEED): (1, INSULT, math.log(1.5)), (2, SEED): (2, OTHER, 0.0), (2, TARGET): (1, INSULT, 0.0)}
     return 0, arcs
 
 
 def _threat() -> tuple[int, dict]:
     """A threat word waits; the next target makes it count, as a match of its own class."""
     arcs = {}
-    for s, k in itertools.product((0, 1), range(6)):
+    for s, k in itertools.product((0, 1), KINDS):
         if s and k == TARGET:
             arcs[s, k] = (0, THREAT, 0.0)
         else:
@@ -90,7 +94,7 @@ def compose(machines: list[tuple[int, dict]]) -> tuple[dict, dict]:
     numbers, arcs, open_states = {start: 0}, {}, [start]
     while open_states:
         state = open_states.pop()
-        for kind in range(6):
+        for kind in KINDS:
             out, weight, following = kind, 0.0, []
             for part, (_, own) in zip(state, machines, strict=True):
                 after, out, gain = own[part, out]
@@ -105,8 +109,8 @@ def compose(machines: list[tuple[int, dict]]) -> tuple[dict, dict]:
 
 
 GRAMMAR = compose([_negation(), _report(), _target(), _threat()])[1]
-#: What one fulfilled threat weighs beside learned insults.
-THREAT_WEIGHT = 3.0
+#: What one fulfilled threat and one seed insult with its target weigh beside learned insults.
+THREAT_WEIGHT, SEED_WEIGHT = 3.0, 2.0
 
 
 def clause_score(kinds: list[int], weights: list[float]) -> float:
@@ -115,7 +119,7 @@ def clause_score(kinds: list[int], weights: list[float]) -> float:
     for kind, weight in zip(kinds, weights, strict=True):
         state, out, gain = GRAMMAR[state, kind]
         if out == INSULT:
-            total += weight * math.exp(gain)
+            total += (SEED_WEIGHT if kind == TARGET else weight) * math.exp(gain)
         elif out == THREAT:
             total += THREAT_WEIGHT * math.exp(gain)
     return total
@@ -139,7 +143,9 @@ class Lexicon:
             if (weight := self.prefixes.get(bare[:size])) is not None and len(bare) >= size:
                 return INSULT, weight, ends
         kind = SEED_CLASSES.get(bare, OTHER)
-        return kind, 2.0 if kind == INSULT else 0.0, ends
+        if kind == INSULT:
+            return SEED, SEED_WEIGHT, ends
+        return kind, 0.0, word.endswith(REPORT_END) if kind == REPORT else ends
 
 
 def match(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
@@ -156,7 +162,7 @@ def match(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     weights = np.array([k[1] for k in known])[index]
     ends = np.array([k[2] for k in known], bool)[index]
     ends[np.cumsum(counts)[counts > 0] - 1] = True
-    hit = np.flatnonzero((kinds == INSULT) | (kinds == THREAT))
+    hit = np.flatnonzero(np.isin(kinds, HITS))
     stops = np.flatnonzero(ends)
     owner = np.searchsorted(np.cumsum(counts), np.arange(len(index))[hit], side="right")
     clause = np.searchsorted(stops, hit)

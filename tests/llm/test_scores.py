@@ -76,6 +76,28 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(table(spark, []), labelled(spark, [])).count() == 0
 
 
+def test_toxicity_needs_an_accepted_clause(spark):
+    clean = [
+        "he is not an idiot", "du bist kein idiot und das weiss jeder", "they are never stupid or pathetic", "she said you are an idiot", 'he wrote: "you are worthless scum"',
+        "a stupid mistake in the trash can", "what a pathetic little film", "i will not kill you", "the report said they will hurt him", "this could kill a plant",
+        "nobody said anything. the weather is fine",
+    ]
+    toxic = ["you are an idiot", "what an idiot you are", "i will kill you", "he said it is late. you are stupid", "not today, you moron"]
+    texts = clean + toxic + [" ".join(clean)]
+    got = {r["doc_id"]: r for r in toxicity.score(table(spark, list(enumerate(texts))), labelled(spark, [])).collect()}
+    for i, text in enumerate(texts):
+        bad = text in toxic
+        assert (got[i]["predicted"], got[i]["clauses"]) == (int(bad), int(bad)), text
+
+
+def test_learned_words_are_cancelled_too():
+    lexicon = toxicity.Lexicon({"grumbold": 4.0})
+    found = toxicity.match(pa.array(["a grumbold here", "not a grumbold", "he said grumbold", "not a grumbold. a grumbold"]), lexicon)
+    assert found[:, 0].tolist() == [1, 0, 0, 1] and found[:, 1].tolist() == [4, 0, 0, 4]
+    rows = toxicity.calibration_rows(found[1:3])
+    assert (rows[:, 1:] == 0).all()
+
+
 # ---------------------------------------------------------------- language model
 
 def brute_lm(rows):
