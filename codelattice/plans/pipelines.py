@@ -63,8 +63,8 @@ def graph_of_records(records: DataFrame, languages: DataFrame, files: DataFrame)
 def build_from_files(files: DataFrame) -> CodeGraph:
     """(file_path, text, language) to the code graph.
 
-    Python goes through the syntax tree, notebooks through their cells, other
-    languages through line patterns. Tables named in SQL cells become imports.
+    Python goes through the syntax tree, notebooks through their Python and R cells, R and
+    other languages through line patterns. Tables named in SQL cells become imports.
     """
     # At most one row per supported language; absent readers stay out of the plan.
     present = {r["language"] for r in files.select("language").distinct().collect()}
@@ -74,6 +74,8 @@ def build_from_files(files: DataFrame) -> CodeGraph:
         cells = cells.unionByName(NB.notebook_cells(files.where(F.col("language") == "notebook")))
     plain = files.where((F.col("language") == "python") & ~export).select("file_path", "text")
     records = extract_python(plain.unionByName(NB.joined_code(cells)))
+    in_r = NB.joined_code(cells, "r").withColumn("language", F.lit("r"))
+    records = records.unionByName(extract_by_lines(in_r))
     scripts = present & set(GROUP)
     if scripts:
         others = files.where(F.col("language").isin(*scripts) & (F.col("language") != "vue")).select(

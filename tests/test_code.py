@@ -113,6 +113,20 @@ def test_notebook_variants(spark):
     assert {t for _, t in edges(g, "IMPORTS_FROM")} == {"a.b", "c", "d.e"}
 
 
+def test_r_cells_are_built(spark):
+    cell = lambda source: {"cell_type": "code", "source": source}
+    in_r = "tidy <- function(x) {\n  scale_up(x)\n}\n"
+    mixed = json.dumps({"metadata": {"language_info": {"name": "python"}}, "cells": [cell("def f():\n    return g()\n"), cell("%r\n" + in_r)]})
+    only = json.dumps({"metadata": {"kernelspec": {"language": "R"}}, "cells": [cell(in_r)]})
+    magic = "# Databricks notebook source\n" + "".join(f"# MAGIC {line}\n" for line in ("%r\n" + in_r).strip().split("\n"))
+    g = PL.build_from_files(frame(spark, [("m.ipynb", mixed, "notebook"), ("o.ipynb", only, "notebook"), ("e.py", magic, "python")]))
+    calls = edges(g, "CALLS")
+    assert ("m.ipynb::f", "g") in calls
+    assert {(f"{p}::tidy", "scale_up") for p in ("m.ipynb", "o.ipynb", "e.py")} <= calls
+    files = [r["file_path"] for r in g.nodes.where("kind = 'File'").collect()]
+    assert sorted(files) == ["e.py", "m.ipynb", "o.ipynb"]
+
+
 def test_export_with_magic(spark):
     text = ("# Databricks notebook source\nx = 1\n# COMMAND ----------\n# MAGIC %sql\n# MAGIC SELECT * FROM t1\n"
             "# COMMAND ----------\n# MAGIC %md\n# MAGIC hi\n# COMMAND ----------\ndef f():\n    return h()\n")
