@@ -1,6 +1,6 @@
-"""Near-duplicate vectors by a pivot-permutation index.
+"""Near-duplicate vectors by an index of nearest reference points.
 
-A vector is described by its nearest reference points in order. Inverted lists hold the vectors of
+A vector is described by the set of its nearest reference points; their order is not used. Inverted lists hold the vectors of
 every set of ``SHARED`` points: two vectors that share at least so many of their ``NEAREST``
 points meet in a list, others do not. Candidates of a list are verified by their cosine in double
 precision, each pair in one list only (that of their smallest shared points). The reference points
