@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import huffman_ids, interpolated_lm, packing, pairwise_quality, pivot_index, rule_cascade, sentencepiece_codec, simhash_vptree, suffix_merge, toxicity
+from codelattice.llm import huffman_ids, interpolated_lm, packing, pairwise_quality, pivot_index, rule_cascade, sentencepiece_codec, simhash_vptree, suffix_merge, toxicity, url_rules
 from codelattice.llm.common import read_table
 
 
@@ -60,6 +60,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", packing.crc_of("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Rules of ``op11_url_rules``: verdict, host, path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.rules_of(spark, URL_RULES))
+
+
+OP11_SQL = """
+with rests as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), parts as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from rests
+), rules(verdict, rule_host, rule_path) as (
+  values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), places as (
+  select *, row_number() over () as place from parts
+), fits as (
+  select place, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule, arg_max(verdict, length(rule_host || rule_path)) as verdict
+  from places, rules
+  where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by place
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from places left join fits using (place)
+"""
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -71,6 +100,7 @@ QUERIES = {
     "op8_rule_cascade": op8_rule_cascade,
     "op9_huffman_ids": op9_huffman_ids,
     "op10_packing": op10_packing,
+    "op11_url_rules": op11_url_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_url_rules": OP11_SQL}
