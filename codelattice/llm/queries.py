@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import huffman_ids, interpolated_lm, packing, pairwise_quality, pivot_index, rule_cascade, sentencepiece_codec, simhash_vptree, suffix_merge, toxicity, url_rules
+from codelattice.llm import filter_audit, huffman_ids, interpolated_lm, packing, pairwise_quality, pivot_index, rule_cascade, sentencepiece_codec, simhash_vptree, suffix_merge, toxicity, url_rules
 from codelattice.llm.common import read_table
 
 
@@ -89,6 +89,55 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from pla
 """
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, read_table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+with texts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as body from documents
+), worded as (
+  select *, list_filter(string_split_regex(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from texts
+), marks as (
+  select doc_id, max((quality is not distinct from 1)::int) as good, max((toxic is not distinct from 1)::int) as toxic from labels where doc_id is not null group by doc_id
+), firsts as (
+  select body, min(doc_id) as first_id from texts group by body
+), failed as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+         (len(words) < 50)::int + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::int
+         + 4 * (100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body))::int
+         + 8 * regexp_matches(body, '[#$%&*|]')::int + 16 * coalesce((doc_id > first_id)::int, 0) as mask
+  from worded join firsts using (body) left join marks using (doc_id)
+), cells as (
+  select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from failed group by all
+), bits(letter, bit) as (
+  values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as applied
+  from bits a, bits b, bits c, bits d, bits e
+  where len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), steps as (
+  select filter_order, step, applied[step] as bit, coalesce(list_sum(applied[1:step - 1]), 0) as before
+  from orders, range(1, 6) t(step)
+), found as (
+  select part, filter_order, step, bit,
+         sum(case when mask & (before | bit) = 0 then n else 0 end) as kept,
+         sum(case when mask & before = 0 and mask & bit <> 0 then n else 0 end) as removed,
+         sum(case when mask & before <> 0 and mask & bit <> 0 then n else 0 end) as redundant,
+         sum(case when mask = bit then n else 0 end) as unique_fails,
+         sum(case when mask & before = 0 and mask & bit <> 0 then good else 0 end) as good_lost,
+         sum(case when mask & before = 0 and mask & bit <> 0 then toxic else 0 end) as toxic_lost
+  from cells, (select filter_order, step, bit::int as bit, before::int as before from steps)
+  group by all
+)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+       unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+       sum(removed) over (partition by part, bit)::bigint as shapley
+from found
+"""
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -101,6 +150,7 @@ QUERIES = {
     "op9_huffman_ids": op9_huffman_ids,
     "op10_packing": op10_packing,
     "op11_url_rules": op11_url_rules,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op11_url_rules": OP11_SQL}
+ORACLES: dict[str, str] = {"op11_url_rules": OP11_SQL, "op13_filter_audit": OP13_SQL}
