@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import filter_audit, huffman_ids, interpolated_lm, packing, pairwise_quality, pivot_index, rule_cascade, sentencepiece_codec, simhash_vptree, suffix_merge, toxicity, url_rules
+from codelattice.llm import filter_audit, huffman_ids, interpolated_lm, packing, pairwise_quality, pivot_index, prefix_trie, rule_cascade, sentencepiece_codec, simhash_vptree, suffix_merge, toxicity, url_rules
 from codelattice.llm.common import read_table
 
 
@@ -89,6 +89,50 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from pla
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+OP12_SQL = r"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+  from conversations where conv_id is not null
+), convs as (
+  select conv_id, conv_id - conv_id % 20 as base,
+         xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda s: ascii(s)::bigint)),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384::bigint) else x // 2 end)),
+           4294967295::bigint) % 4 as h
+  from (select distinct conv_id from turns)
+), rebuilt as (
+  select c.conv_id, 0 as own, pos, role, text from convs c join turns t on t.conv_id = c.base and t.pos <= c.h
+  union all
+  select c.conv_id, 1, pos, role, text from convs c join turns t on t.conv_id = c.conv_id and t.pos > c.h
+), steps as (
+  select conv_id, text, md5(length(role)::varchar || ':' || role || text) as step, row_number() over (partition by conv_id order by own, pos) as depth from rebuilt
+), members as (
+  select conv_id, 0 as depth, '' as path, 0 as words from convs
+  union all
+  select conv_id, depth, string_agg(step, '') over (partition by conv_id order by depth), len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) from steps
+), lasts as (
+  select conv_id, max(depth) as turns from members group by conv_id
+), nodes as (
+  select path, any_value(m.depth) as depth, min(m.conv_id) as conv_id, count(*) as n_convs, any_value(words) as words,
+         coalesce(string_agg(m.conv_id::varchar, ',' order by m.conv_id) filter (where m.depth = turns), '') as ends
+  from members m join lasts using (conv_id) group by path
+), links as (
+  select n.path, parent.path as above, parent.conv_id as parent_conv_id from nodes n join nodes parent on n.depth > 0 and parent.path = left(n.path, length(n.path) - 32)
+), kids as (
+  select above as path, count(*) as n_children from links group by above
+), below as (
+  select n.path, count(*) filter (where k.path is null) as n_leaves, sum((m.n_convs - 1) * m.words) as saved
+  from nodes n join nodes m on starts_with(m.path, n.path) left join kids k on k.path = m.path group by n.path
+)
+select conv_id, depth::bigint as depth, parent_conv_id, n_convs, coalesce(n_children, 0)::bigint as n_children, n_leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(ends) as ends_sha256
+from nodes left join links using (path) left join kids using (path) join below using (path)
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return filter_audit.audit(docs, read_table(spark, sf_dir, "labels"))
@@ -150,7 +194,8 @@ QUERIES = {
     "op9_huffman_ids": op9_huffman_ids,
     "op10_packing": op10_packing,
     "op11_url_rules": op11_url_rules,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op11_url_rules": OP11_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES: dict[str, str] = {"op11_url_rules": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}

@@ -25,12 +25,12 @@ rows, an empty rule table the default. Extra columns are ignored by ``judge`` an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PREFIX_DIGITS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RULE_SCHEMA = "host string, path string, verdict string"
+RULE_SCHEMA = "host: string, path: string, verdict: string"
 
 
 def _lower(text: Column) -> Column:
@@ -126,9 +126,10 @@ def reject(pages: DataFrame, rules: DataFrame, url: str = "url", default: str =
     return found.select(*(F.col("carried")[c].alias(c) for c in pages.columns))
 
 
-def rules_of(spark, rows: list[tuple[str, str, str]]) -> DataFrame:
+def rules_of(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     """A rule table from (verdict, host, path) triples."""
-    return spark.createDataFrame([(host, path, verdict) for verdict, host, path in rows], RULE_SCHEMA)
+    entries = [F.struct(F.lit(host).alias("host"), F.lit(path).alias("path"), F.lit(verdict).alias("verdict")) for verdict, host, path in rows]
+    return spark.range(1).select(F.inline(F.array(*entries).cast(f"array<struct<{RULE_SCHEMA}>>")))
 
 
 def brute_force(urls: list[str | None], rules: list[tuple[str, str, str]], default: str = "allow") -> list[tuple]:
