@@ -85,6 +85,22 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.mapInArrow(run, f"{key} long, fp long")
 
 
+def _text_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, digest, fp) of rows with a key; the digest tells texts apart, null from empty as well."""
+    schema = pa.schema([(key, pa.int64()), ("digest", pa.string()), ("fp", pa.int64())])
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text), digest_of(text).alias("digest"))
+
+    def run(batches):
+        for batch in text_slices(batches, text, 4 << 20):
+            yield batch_of(schema, **{key: batch.column(key)}, digest=batch.column("digest"), fp=fingerprint_batch(batch.column(text)).view(np.int64))
+
+    return rows.mapInArrow(run, f"{key} long, digest string, fp long")
+
+
+def digest_of(text: str):
+    return F.coalesce(F.md5(F.col(text).cast("string").cast("binary")), F.lit(""))
+
+
 # ---------------------------------------------------------------- vantage-point trees
 
 def distance(x: np.ndarray, point: int, mask: int) -> np.ndarray:
@@ -195,13 +211,10 @@ def link_shard(x: np.ndarray, home: np.ndarray, block: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- the operator
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """(key, fp, component_id) of every document; component_id is the smallest key reachable by links."""
-    prints = staged(fingerprints(docs, key, text), "fingerprints")
-    single = staged(prints.groupBy("fp").agg(F.min(key).alias("rep")), "distinct_fingerprints")
-    named = single.where(F.col("rep").isNotNull())
+def _links(named: DataFrame, sample: int, shard: int) -> DataFrame:
+    """Links (a, b) between the ``rep`` values of distinct fingerprints (fp, rep) within the bit bound."""
     total = named.count()
-    spark = docs.sparkSession
+    spark = named.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) / BLOCKS, total / shard)
     some = np.array([r["fp"] for r in named.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
     # A shard needs rows enough to be worth a task.
@@ -225,22 +238,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
         return pd.DataFrame({"a": rep[apart], "b": rep[labels[apart]]})
 
     dealt = named.mapInArrow(deal, "tree int, leaf int, fp long, rep long, home boolean")
-    links = dealt.groupBy("tree", "leaf").applyInPandas(link, "a long, b long")
-    groups = connected_components(links)
+    return dealt.groupBy("tree", "leaf").applyInPandas(link, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+    """(key, fp, component_id) of every document; component_id is the smallest key reachable by links."""
+    prints = staged(fingerprints(docs, key, text), "fingerprints")
+    single = staged(prints.groupBy("fp").agg(F.min(key).alias("rep")), "distinct_fingerprints")
+    groups = connected_components(_links(single.where(F.col("rep").isNotNull()), sample, shard))
     named = single.join(groups, single["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` for each group, that of its smallest key, all columns unchanged.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicate texts, all columns unchanged.
 
-    Rows of one key are one document; rows with a null key are kept.
+    Groups are those of the texts, so rows that share a key and differ in text stay or go on their own. A
+    group keeps the row with the smallest key (and digest); rows equal in both are one document. Rows with
+    a null key are kept.
     """
-    found = near_duplicates(docs, key, text)
-    first = found.where(F.col(key) == F.col("component_id")).select(F.col("component_id").alias("kept_key")).distinct()
-    named = docs.where(F.col(key).isNotNull())
-    kept = named.join(first, F.col(key) == F.col("kept_key"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    prints = staged(_text_prints(docs, key, text), "text_fingerprints")
+    single = staged(prints.groupBy("fp").agg(F.min(F.struct(key, "digest")).alias("first")), "distinct_fingerprints")
+    groups = connected_components(_links(single.select("fp", F.col("fp").alias("rep")), sample, shard))
+    chosen = single.join(groups, single["fp"] == groups["node"], "left").groupBy(F.coalesce("component", "fp").alias("member")).agg(F.min("first").alias("first"))
+    wanted = chosen.select(F.col(f"first.{key}").alias("key"), F.col("first.digest").alias("digest"))
+    rows = docs.where(F.col(key).isNotNull()).select(F.struct("*").alias("row"), F.col(key).cast("long").alias("key"), digest_of(text).alias("digest"))
+    kept = rows.join(wanted, ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.where(F.col(key).isNull()))
 
 
 def hex_of(column: str):

@@ -70,8 +70,29 @@ def test_fingerprints_and_groups(spark):
         smallest[root[i]] = min(smallest.get(root[i], k), k)
     want = sorted((k, format(prints[i], "016x"), smallest[root[i]]) for i, (k, _) in enumerate(rows))
     assert sorted(map(tuple, got)) == want
-    kept = simhash_vptree.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(smallest.values()))
+    kept = simhash_vptree.keep_one(docs.withColumn("kept_key", docs["doc_id"]).withColumn("key", docs["text"]).withColumn("first", docs["text"]))
+    assert kept.columns == [*docs.columns, "kept_key", "key", "first"]
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] is not None) == kept_rows(rows)
+
+
+def kept_rows(rows):
+    """Smallest (key, digest) of each group of texts; rows that share a key and differ in text are apart."""
+    rows = [r for r in rows if r[0] is not None]
+    prints = [simhash(t) for _, t in rows]
+    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 4])
+    digest = lambda t: "" if t is None else hashlib.md5(t.encode()).hexdigest()
+    least = {}
+    for i, (k, t) in enumerate(rows):
+        least[root[i]] = min(least.get(root[i], (k, digest(t), t)), (k, digest(t), t), key=lambda x: x[:2])
+    return sorted((k, t) for k, _, t in least.values())
+
+
+def test_rows_of_one_key_stay_apart(spark):
+    a, b = prose(2, seed=21, size=200)
+    docs = table(spark, [(1, a), (1, b), (1, b), (2, b), (None, a), (3, None), (3, "")])
+    got = sorted((str(r["doc_id"]), r["text"]) for r in simhash_vptree.keep_one(docs).collect())
+    assert got == sorted([("1", a), ("1", b), ("None", a), ("3", None)], key=lambda x: (x[0], x[1] or ""))
+    assert simhash_vptree.keep_one(table(spark, [])).count() == 0
 
 
 def test_null_key_and_empty(spark):
@@ -212,6 +233,38 @@ def test_blocks_change_nothing(spark):
 
 # ---------------------------------------------------------------- pipeline
 
+def cut_passages(texts, least):
+    """Texts without the runs of bytes of which each window of the shortest passage occurs again, if a run has the words or 400 bytes."""
+    size, raws, counts = 2 * least - 1, [t.encode() for t in texts], {}
+    for raw in raws:
+        for at in range(len(raw) - size + 1):
+            counts[raw[at : at + size]] = counts.get(raw[at : at + size], 0) + 1
+    letter = lambda c: c >= 128 or chr(c).isalnum()
+    out = []
+    for raw in raws:
+        again = [counts[raw[at : at + size]] > 1 for at in range(len(raw) - size + 1)]
+        gone, at = bytearray(len(raw)), 0
+        while at < len(again):
+            if not again[at]:
+                at += 1
+                continue
+            stop = at
+            while stop < len(again) and again[stop]:
+                stop += 1
+            a, b, at = at, stop - 1 + size, stop
+            broken = sum(0 < x < len(raw) and letter(raw[x - 1]) and letter(raw[x]) for x in (a, b))
+            if b - a >= 400 or len(raw[a:b].split()) - broken >= least:
+                gone[a:b] = b"x" * (b - a)
+        kept, place = [], 0
+        for char in raw.decode():
+            width = len(char.encode())
+            if not all(gone[place : place + width]):
+                kept.append(char)
+            place += width
+        out.append("".join(kept))
+    return out
+
+
 def test_pipeline_stages(spark, tmp_path, sf_dir):
     """Every stage acts on all rows its predecessor kept, and its decisions take effect."""
     import corpus_pipeline as p
@@ -228,11 +281,10 @@ def test_pipeline_stages(spark, tmp_path, sf_dir):
     prints = [(r["doc_id"], simhash(r["text"])) for r in kept[2][0].collect()]
     links = [(i, j) for i in range(len(prints)) for j in range(i) if bin(prints[i][1] ^ prints[j][1]).count("1") <= 4]
     assert kept[2][1].count() == len(set(roots(len(prints), links)))
-    before = {r["doc_id"]: r["text"].encode() for r in kept[3][0].collect()}
-    spans = dict(zip(before, suffix_merge.brute_force(list(before.values()), 400), strict=True))
-    for r in kept[3][1].collect():
-        covered = sum(b - a for a, b in spans[r["doc_id"]])
-        assert 0 <= len(r["text"].encode()) - (len(before[r["doc_id"]]) - covered) <= 6 * len(spans[r["doc_id"]])
+    before = {r["doc_id"]: r["text"] for r in kept[3][0].collect()}
+    want = dict(zip(before, cut_passages(list(before.values()), p.PASSAGE_WORDS), strict=True))
+    after = {r["doc_id"]: r["text"] for r in kept[3][1].collect()}
+    assert after == want and after != before
     assert kept[4][1].select("doc_id").distinct().count() == kept[3][1].count()
     assert sorted(map(tuple, p.run(spark, sf_dir).select("doc_id", "doc_tokens").distinct().collect())) == sorted(map(tuple, docs.select("doc_id", "doc_tokens").distinct().collect()))
 
