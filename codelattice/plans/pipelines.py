@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice import schema as S
@@ -17,7 +17,7 @@ from codelattice.operators.lookup import _cut
 from codelattice.operators.relations import uncalled_functions
 from codelattice.operators.traversal import dependent_files
 from codelattice.session import stage
-from codelattice.sinks.store import replace_files
+from codelattice.sinks.store import read_graph, replace_files, replace_files_at, stored_hashes
 from codelattice.sources import notebooks as NB
 from codelattice.sources.code import contains_edges, extract_python, import_names, nodes_of, raw_edges
 from codelattice.sources.files import files_to_parse
@@ -60,9 +60,11 @@ def graph_of_records(records: DataFrame, languages: DataFrame, files: DataFrame)
     return CodeGraph(unique, everything)
 
 
-def build_from_files(files: DataFrame) -> CodeGraph:
+def build_from_files(files: DataFrame, known: DataFrame | None = None) -> CodeGraph:
     """(file_path, text, language) to the code graph.
 
+    ``known`` (file_path) names files that imports may lead to besides those read, as in an update.
+
     Python goes through the syntax tree, notebooks through their Python and R cells, R and
     other languages through line patterns. Tables named in SQL cells become imports.
     """
@@ -93,24 +95,40 @@ def build_from_files(files: DataFrame) -> CodeGraph:
     languages = files.select(
         "file_path", F.when(F.col("language") == "notebook", "python").otherwise(F.col("language")).alias("language")
     )
-    g = graph_of_records(records, languages, files.select("file_path"))
+    paths = files.select("file_path") if known is None else files.select("file_path").unionByName(known.select("file_path")).distinct()
+    g = graph_of_records(records, languages, paths)
     return CodeGraph(g.nodes, g.edges.unionByName(NB.table_lineage(cells)))
 
 
-def update_from_files(g: CodeGraph, stored_hashes: DataFrame, files: DataFrame, changed: DataFrame) -> CodeGraph:
+def _to_update(g: CodeGraph, hashes: DataFrame, files: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files to read again, files that went): changed ones and their dependents whose hash differs."""
+    around = dependent_files(g, changed).select("file_path")
+    wanted = changed.select("file_path").unionByName(around).distinct()
+    present = files.join(wanted, "file_path", "left_semi")
+    todo = files_to_parse(present, hashes).select("file_path")
+    return todo, wanted.join(files.select("file_path"), "file_path", "left_anti")
+
+
+def update_from_files(g: CodeGraph, hashes: DataFrame, files: DataFrame, changed: DataFrame) -> CodeGraph:
     """Re-read changed files and their dependents whose hash differs; deleted files go.
 
     ``files`` is the current tree: file_path, text, language, file_hash.
     """
-    around = dependent_files(g, changed).select("file_path")
-    wanted = changed.select("file_path").unionByName(around).distinct()
-    present = files.join(wanted, "file_path", "left_semi")
-    todo = files_to_parse(present, stored_hashes).select("file_path")
-    deleted = wanted.join(files.select("file_path"), "file_path", "left_anti")
-    fresh = build_from_files(files.join(todo, "file_path", "left_semi"))
+    todo, deleted = _to_update(g, hashes, files, changed)
+    fresh = build_from_files(files.join(todo, "file_path", "left_semi"), files)
     return replace_files(g, todo.unionByName(deleted), fresh.nodes, fresh.edges)
 
 
+def update_stored(spark: SparkSession, path: str, files: DataFrame, changed: DataFrame, batch: tuple[str, int] | None = None) -> int:
+    """``update_from_files`` on a stored graph: nodes, edges and hashes of the files change in one commit."""
+    g, hashes = read_graph(spark, path), stored_hashes(spark, path)
+    todo, deleted = _to_update(g, hashes, files, changed)
+    todo = stage(todo, "files_to_read")
+    read = files.join(todo, "file_path", "left_semi")
+    fresh = build_from_files(read, files)
+    return replace_files_at(spark, path, todo.unionByName(deleted), fresh.nodes, fresh.edges, read.select("file_path", "file_hash"), batch)
+
+
 def review_changes(
     g: CodeGraph, changed_files: DataFrame, ranges: DataFrame | None, flows: DataFrame, members: DataFrame,
     communities: DataFrame, keywords: tuple[str, ...] = S.SECURITY_KEYWORDS,

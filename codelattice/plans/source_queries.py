@@ -6,6 +6,8 @@ from the driver's tables by Spark and read back by the readers under check.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,16 @@ from codelattice.operators import sessions as SS
 from codelattice.plans import pipelines as PL
 from codelattice.plans.finding_queries import VERDICTS, HISTORY, judged
 from codelattice.plans.oracle_base import FINDINGS, GRAPH, flow, graph, over
+from codelattice.session import stage, stage_root
 from codelattice.sinks import reports as RP
 from codelattice.sinks import store as ST
+from codelattice.sinks.versions import VersionedTables
 from codelattice.sources import files as FI
 from codelattice.sources import notebooks as NB
 from codelattice.sources import scanner as SC
 from codelattice.sources.commerce import Workspace
 from codelattice.sources.diff import parse_unified_diff
+from codelattice.streaming import watch as WT
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -317,6 +322,102 @@ def replace_by_file(w: Workspace) -> DataFrame:
     return ST.replace_files(g, w.changed_files, kept, g.edges.limit(0)).nodes.select("qualified_name")
 
 
+# Changed files keep their files and classes, a line further down, and their calls; the store keeps both versions.
+_REPLACED = graph("""
+WITH n1 AS (SELECT qualified_name, file_path, line_start FROM nodes),
+n2 AS (SELECT * FROM n1 WHERE file_path NOT IN (SELECT file_path FROM changed_files)
+  UNION ALL SELECT qualified_name, file_path, CAST(line_start + 1 AS INTEGER) FROM nodes WHERE file_path IN (SELECT file_path FROM changed_files) AND kind IN ('File', 'Class')),
+e1 AS (SELECT kind || ' ' || source || ' ' || target AS name, file_path, line FROM edges),
+e2 AS (SELECT * FROM e1 WHERE file_path NOT IN (SELECT file_path FROM changed_files)
+  UNION ALL SELECT kind || ' ' || source || ' ' || target, file_path, CAST(line + 1 AS INTEGER) FROM edges WHERE file_path IN (SELECT file_path FROM changed_files) AND kind = 'CALLS'),
+a AS (SELECT 1 AS version, 'nodes' AS part, * FROM n1 UNION ALL SELECT 2, 'nodes', * FROM n2 UNION ALL SELECT 1, 'edges', * FROM e1 UNION ALL SELECT 2, 'edges', * FROM e2)
+SELECT version, part, file_path, count(*) AS rows, md5(string_agg(qualified_name || ' ' || line_start, ',' ORDER BY qualified_name || ' ' || line_start)) AS content FROM a GROUP BY 1, 2, 3""")
+
+
+@register("stored_replace", _REPLACED)
+def stored_replace(w: Workspace) -> DataFrame:
+    """The commerce graph stored, its changed files replaced, and both versions read again."""
+    g, path = w.graph, f"{stage_root(w.spark)}/{uuid.uuid4().hex}/graph"
+    ST.write_graph(g, path)
+    own = lambda df: df.join(w.changed_files, "file_path", "left_semi")
+    nodes = own(g.nodes).where(F.col("kind").isin("File", "Class")).withColumn("line_start", (F.col("line_start") + 1).cast("int")).select(*g.nodes.columns)
+    edges = own(g.edges).where("kind = 'CALLS'").withColumn("line", (F.col("line") + 1).cast("int"))
+    ST.replace_files_at(w.spark, path, w.changed_files, nodes, edges)
+    rows = None
+    for version in (1, 2):
+        at = ST.read_graph(w.spark, path, version)
+        named = (at.nodes.select(F.lit("nodes").alias("part"), "file_path", _c(F.col("qualified_name"), " ", F.col("line_start")).alias("row")),
+                 at.edges.select(F.lit("edges").alias("part"), "file_path", _c(F.col("kind"), " ", F.col("source"), " ", F.col("target"), " ", F.col("line")).alias("row")))
+        for part in named:
+            part = part.withColumn("version", F.lit(version))
+            rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("version", "part", "file_path").agg(
+        F.count("*").alias("rows"), F.md5(F.array_join(F.array_sort(F.collect_list("row")), ",")).alias("content"))
+
+
+def _hashed(files: DataFrame) -> DataFrame:
+    return files.withColumn("file_hash", F.sha2("text", 256))
+
+
+def _edited(files: DataFrame, went: bool = True) -> DataFrame:
+    """The tree after a change: every third module gains a function, one in thirty is deleted."""
+    k = F.regexp_extract("file_path", "([0-9]+)", 1).cast("bigint")
+    more = _c("\ndef extra_", k, "():\n    helper_", k, "(1)\n")
+    out = files.withColumn("text", F.when(k % 3 == 0, F.concat("text", more)).otherwise(F.col("text")))
+    return out.where(k % 30 != 7) if went else out
+
+
+_EDITED = PY + """,
+left_p AS (SELECT * FROM p WHERE k % 30 <> 7), more AS (SELECT * FROM p WHERE k % 3 = 0),
+new_nodes AS (
+  SELECT kind, qualified_name, line_start, CAST(CASE WHEN kind = 'File' AND more.f IS NOT NULL THEN 20 ELSE line_end END AS INTEGER) AS line_end
+  FROM py_nodes JOIN left_p ON left_p.f = split_part(qualified_name, '::', 1) LEFT JOIN more ON more.f = left_p.f
+  UNION ALL SELECT 'Function', f || '::extra_' || k, 18, 19 FROM more),
+new_edges AS (
+  SELECT kind, source, target, line FROM py_edges JOIN left_p ON left_p.f = split_part(source, '::', 1)
+  UNION ALL SELECT 'CONTAINS', f, f || '::extra_' || k, 18 FROM more
+  UNION ALL SELECT 'CALLS', f || '::extra_' || k, f || '::helper_' || k, 19 FROM more),
+new_all AS (
+  SELECT kind, qualified_name AS name, '' AS target, line_start AS line, line_end FROM new_nodes
+  UNION ALL SELECT kind, source, target, line, NULL FROM new_edges)
+"""
+
+
+def _all_rows(g) -> DataFrame:
+    nodes = g.nodes.select("kind", F.col("qualified_name").alias("name"), F.lit("").alias("target"), F.col("line_start").alias("line"), "line_end")
+    return nodes.unionByName(g.edges.select("kind", F.col("source").alias("name"), "target", "line", F.lit(None).cast("int").alias("line_end")))
+
+
+@register("incremental_update", over(_EDITED, sql="SELECT * FROM new_all"))
+def incremental_update(w: Workspace) -> DataFrame:
+    """A stored tree of modules after an edit: only what changed or depends on it is read again."""
+    path = f"{stage_root(w.spark)}/{uuid.uuid4().hex}/graph"
+    before = _hashed(stage(python_files(w), "tree"))
+    after = _hashed(_edited(before.drop("file_hash")))
+    ST.write_graph(PL.build_from_files(before), path, hashes=before)
+    changed = before.join(after, ["file_path", "file_hash"], "left_anti").select("file_path")
+    PL.update_stored(w.spark, path, after, changed)
+    return _all_rows(ST.read_graph(w.spark, path))
+
+
+@register("watch_replay", over(_EDITED, sql="SELECT CAST(2 AS BIGINT) AS version, * FROM new_all"))
+def watch_replay(w: Workspace) -> DataFrame:
+    """File events as a stream into a stored graph; its batch, sent once more with other content, changes nothing."""
+    root = f"{stage_root(w.spark)}/{uuid.uuid4().hex}"
+    before = stage(python_files(w), "tree")
+    ST.write_graph(PL.build_from_files(before), f"{root}/graph")
+    k = F.regexp_extract("file_path", "([0-9]+)", 1).cast("bigint")
+    last = _edited(before, went=False).where((k % 3 == 0) | (k % 30 == 7)).select(
+        "file_path", F.when(k % 30 == 7, "deleted").otherwise("modified").alias("event"), F.lit("2024-01-01T00:00:09Z").alias("ts"),
+        F.when(k % 30 != 7, F.col("text")).alias("text"))
+    early = last.withColumn("ts", F.lit("2024-01-01T00:00:01Z")).withColumn("text", F.lit("def early():\n    pass\n")).withColumn("event", F.lit("modified"))
+    early.unionByName(last).coalesce(1).write.json(f"{root}/events")
+    WT.watch(WT.event_stream(w.spark, f"{root}/events"), f"{root}/graph", f"{root}/stream", once=True).awaitTermination()
+    WT.apply_events(w.spark, f"{root}/graph", early.withColumn("ts", F.to_timestamp("ts")), ("watch", 0))
+    now = VersionedTables(w.spark, f"{root}/graph").manifest()["version"]
+    return _all_rows(ST.read_graph(w.spark, f"{root}/graph")).withColumn("version", F.lit(now).cast("bigint"))
+
+
 @register("schema_upgrade", graph("SELECT qualified_name, CAST(NULL AS VARCHAR) AS signature, CAST(NULL AS VARCHAR) AS community_id FROM nodes"))
 def schema_upgrade(w: Workspace) -> DataFrame:
     columns = {"signature": "string", "community_id": "string", "kind": "string"}

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codelattice import schema as S
 from codelattice.model import CodeGraph
-from codelattice.session import cut
+from codelattice.session import stage
+from codelattice.sinks.versions import VersionedTables
 
 KEPT_ON_UPSERT = ("signature", "community_id")
 
@@ -48,70 +46,52 @@ def replace_files(g: CodeGraph, files: DataFrame, nodes: DataFrame, edges: DataF
     )
 
 
-def with_bucket(df: DataFrame, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64("file_path"), F.lit(buckets)).cast("int"))
+def write_graph(g: CodeGraph, path: str, buckets: int | None = None, hashes: DataFrame | None = None) -> int:
+    """A new version of the stored graph: nodes, edges and, where given, the hash of every file."""
+    tables = {"nodes": g.nodes, "edges": g.edges.select(*S.EDGE_KEY)}
+    if hashes is not None:
+        tables["files"] = hashes.select("file_path", "file_hash")
+    return VersionedTables(g.spark, path).replace_all(tables, buckets=buckets)
 
 
-def write_graph(g: CodeGraph, path: str, buckets: int = 64) -> None:
-    """Parquet below ``path``, partitioned by file bucket so files can be replaced alone."""
-    for name, df in (("nodes", g.nodes), ("edges", g.edges)):
-        with_bucket(df, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
-    save_metadata(g.spark, path, {
-        "buckets": str(buckets), "nodes": with_bucket(g.nodes, buckets).schema.json(),
-        "edges": with_bucket(g.edges, buckets).schema.json(),
-    })
+def read_graph(spark: SparkSession, path: str, version: int | None = None) -> CodeGraph:
+    stored = VersionedTables(spark, path)
+    about = stored.manifest(version)
+    if not about["tables"]:
+        raise FileNotFoundError(f"no graph at {path}")
+    return CodeGraph(*[stored.read(name, manifest=about).drop("bucket") for name in ("nodes", "edges")])
 
 
-def read_graph(spark: SparkSession, path: str) -> CodeGraph:
-    known = load_metadata(spark, path)
-    return CodeGraph(*[_stored(spark, path, name, known).drop("bucket") for name in ("nodes", "edges")])
+def stored_hashes(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(file_path, file_hash) as of a version."""
+    return VersionedTables(spark, path).read("files", version).drop("bucket")
 
 
-def _stored(spark: SparkSession, path: str, name: str, known: dict[str, str]) -> DataFrame:
-    """A stored table under its recorded schema, so an emptied graph still opens."""
-    schema = T.StructType.fromJson(json.loads(known[name]))
-    return spark.read.schema(schema).parquet(f"{path}/{name}")
+def _one_row(name: str, rows: DataFrame) -> DataFrame:
+    """A name is one node (its last definition), an edge is one row, a file has one hash."""
+    if name != "nodes":
+        return rows.distinct()
+    keep = [c for c in rows.columns if c != "qualified_name"]
+    return rows.groupBy("qualified_name").agg(F.max_by(F.struct(*keep), F.col("line_start")).alias("_r")).select("qualified_name", "_r.*").select(*rows.columns)
 
 
-def replace_files_at(spark: SparkSession, path: str, files: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
-    """Rewrite only the buckets that hold one of the files.
+def replace_files_at(
+    spark: SparkSession, path: str, files: DataFrame, nodes: DataFrame, edges: DataFrame,
+    hashes: DataFrame | None = None, batch: tuple[str, int] | None = None,
+) -> int:
+    """All rows of the given files replaced in one commit; returns the version that holds them.
 
-    The merged buckets are cut first, as they are read from the place they are
-    written to; the overwrite then touches just those partitions.
+    Readers see the old or the new graph, never one table of each. A batch (stream name, id) that was
+    committed before changes nothing.
     """
-    known = load_metadata(spark, path)
-    buckets = int(known["buckets"])
-    # The inputs may themselves be read from this graph, so they are cut first.
-    gone = cut(with_bucket(files.select("file_path").distinct(), buckets))
-    touched = gone.select("bucket").distinct()
-    inputs = (("nodes", cut(nodes)), ("edges", cut(edges)))
-    for name, fresh in inputs:
-        stored = _stored(spark, path, name, known).join(touched, "bucket", "left_semi")
-        merged = stored.join(gone.select("file_path"), "file_path", "left_anti").unionByName(
-            with_bucket(fresh, buckets), allowMissingColumns=True
-        )
-        if name == "nodes":
-            keep = [c for c in merged.columns if c != "qualified_name"]
-            merged = merged.groupBy("qualified_name").agg(
-                F.max_by(F.struct(*keep), F.col("line_start")).alias("_r")
-            ).select("qualified_name", "_r.*")
-        else:
-            merged = merged.distinct()
-        # A bucket whose last file went away still needs its empty replacement.
-        ready = cut(merged)
-        left = {r["bucket"] for r in ready.select("bucket").distinct().collect()}
-        ready.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "bucket"
-        ).parquet(f"{path}/{name}")
-        for row in touched.collect():
-            if row["bucket"] not in left:
-                _drop_partition(spark, f"{path}/{name}/bucket={row['bucket']}")
-
-
-def _drop_partition(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    stored = VersionedTables(spark, path)
+    if stored.seen(batch):
+        return stored.manifest()["version"]
+    # Staged: each input is read twice, and may itself be read from this graph.
+    fresh = {"nodes": stage(nodes, "fresh_nodes"), "edges": stage(edges.select(*S.EDGE_KEY), "fresh_edges")}
+    if hashes is not None:
+        fresh["files"] = stage(hashes.select("file_path", "file_hash"), "fresh_hashes")
+    return stored.replace_files(stage(files.select("file_path").distinct(), "replaced_files"), fresh, _one_row, batch=batch)
 
 
 def save_metadata(spark: SparkSession, path: str, values: dict[str, str]) -> None:
