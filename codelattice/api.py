@@ -22,6 +22,7 @@ from codelattice.operators import traversal as T
 from codelattice.plans import pipelines as PL
 from codelattice.session import stage
 from codelattice.sinks.reports import export_graph
+from codelattice.sinks.search_index import SearchIndex, build_graph_index, graph_index
 from codelattice.sinks.store import read_graph, write_graph
 from codelattice.sources.files import read_tree
 
@@ -29,18 +30,19 @@ from codelattice.sources.files import read_tree
 class GraphTools:
     """Named questions over one graph, with its flow and community tables."""
 
-    def __init__(self, graph: CodeGraph, root: str = ""):
-        self.graph, self.root = graph, root
+    def __init__(self, graph: CodeGraph, root: str = "", index: SearchIndex | None = None):
+        self.graph, self.root, self.index = graph, root, index
 
     @classmethod
     def build(cls, spark: SparkSession, root: str, path: str) -> GraphTools:
-        """Read a source tree, store its graph below ``path`` and open it."""
+        """Read a source tree, store its graph and search index below ``path`` and open them."""
         write_graph(PL.build_from_files(read_tree(spark, root).select("file_path", "text", "language")), path)
+        build_graph_index(spark, path, read_graph(spark, path).nodes)
         return cls.open(spark, path, root)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, root: str = "") -> GraphTools:
-        return cls(read_graph(spark, path), root)
+        return cls(read_graph(spark, path), root, graph_index(spark, path))
 
     @cached_property
     def flow_members(self) -> DataFrame:
@@ -87,14 +89,15 @@ class GraphTools:
 
     def search_nodes(self, pattern: str, limit: int | None = 20) -> DataFrame:
         """Term search on the indexed texts, else a substring match."""
-        hits = SE.term_search(SE.node_documents(self.graph), pattern).select(F.col("doc_id").alias("qualified_name"))
+        hits = SE.term_search(SE.node_documents(self.graph), pattern) if self.index is None else self.index.term_search(pattern)
+        hits = hits.select(F.col("doc_id").alias("qualified_name"))
         found = L.nodes_among(self.graph, hits)
         if found.isEmpty():
             return L.search_nodes(self.graph, pattern, limit)
         return L._cut(found, [F.asc("qualified_name")], limit)
 
     def semantic_search_nodes(self, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
-        return SE.hybrid_search(self.graph, query, kind, limit)
+        return SE.hybrid_search(self.graph, query, kind, limit, index=self.index)
 
     def find_large_functions(self, min_lines: int = 50, limit: int | None = 50) -> DataFrame:
         return L.nodes_by_size(self.graph, min_lines, limit=limit)

@@ -116,13 +116,16 @@ def term_search(docs: DataFrame, query: str) -> DataFrame:
 
 def keyword_scores(g: CodeGraph, query: str) -> DataFrame:
     """AND match scored 3 exact, 2 prefix, 1 contains (scored before any cut)."""
-    q = query.lower()
-    score = F.when(F.lower("name") == q, 3.0).when(F.lower("name").startswith(q), 2.0).otherwise(1.0)
     return g.nodes.where(keyword_match(query)).select(
-        F.col("qualified_name").alias("doc_id"), score.alias("score")
+        F.col("qualified_name").alias("doc_id"), keyword_score(query).alias("score")
     )
 
 
+def keyword_score(query: str) -> Column:
+    q = query.lower()
+    return F.when(F.lower("name") == q, 3.0).when(F.lower("name").startswith(q), 2.0).otherwise(1.0)
+
+
 def kind_boosts(query: str) -> dict[str, float]:
     """Boost factors implied by the shape of a query."""
     text = (query or "").strip()
@@ -160,30 +163,39 @@ def fuse(lists: list[DataFrame], k: int = S.RRF_K, limit: int | None = None) ->
     return merged.groupBy("doc_id").agg(F.sum("part").alias("score"))
 
 
+def boost_factor(query: str, context_files: list[str] | None = None) -> Column:
+    """What a node's score is multiplied with: kinds and names the query's shape asks for, files at hand."""
+    boosts = kind_boosts(query)
+    factor = F.lit(1.0)
+    for word in ("Class", "Type", "Function"):
+        if word in boosts:
+            factor = factor * F.when(F.col("kind") == word, boosts[word]).otherwise(1.0)
+    if "_qualified" in boosts:
+        factor = factor * F.when(F.lower("qualified_name").contains(query.lower()), boosts["_qualified"]).otherwise(1.0)
+    if context_files:
+        factor = factor * F.when(F.col("file_path").isin(*context_files), 1.5).otherwise(1.0)
+    return factor
+
+
 def hybrid_search(
     g: CodeGraph, query: str, kind: str | None = None, limit: int = S.SEARCH_LIMIT,
     context_files: list[str] | None = None, vectors: DataFrame | None = None,
-    query_vector: Sequence[float] | None = None,
+    query_vector: Sequence[float] | None = None, index=None,
 ) -> DataFrame:
-    """Phrase and vector lists fused, then boosted; the kind filter comes after ranking."""
+    """Phrase and vector lists fused, then boosted; the kind filter comes after ranking.
+
+    With a stored ``index`` (``sinks.search_index``) of the nodes only its postings are read for the phrase.
+    """
     if not query.strip():
         return g.nodes.select("qualified_name", "kind", "file_path", F.lit(0.0).alias("score")).limit(0)
     fetch = limit * 3
-    lists = [phrase_search(node_documents(g), query, fetch)]
+    lists = [phrase_search(node_documents(g), query, fetch) if index is None else index.phrase_search(query, fetch, across=True)]
     if vectors is not None and query_vector is not None:
         lists.append(cosine_top(vectors, query_vector, fetch))
     merged = fuse([d for d in lists if not d.isEmpty()] or [lists[0]], limit=fetch)
     if merged.isEmpty():
         merged = keyword_scores(g, query).orderBy(F.desc("score"), "doc_id").limit(fetch)
-    boosts = kind_boosts(query)
-    factor = F.lit(1.0)
-    for word in ("Class", "Type", "Function"):
-        if word in boosts:
-            factor = factor * F.when(F.col("kind") == word, boosts[word]).otherwise(1.0)
-    if "_qualified" in boosts:
-        factor = factor * F.when(F.lower("qualified_name").contains(query.lower()), boosts["_qualified"]).otherwise(1.0)
-    if context_files:
-        factor = factor * F.when(F.col("file_path").isin(*context_files), 1.5).otherwise(1.0)
+    factor = boost_factor(query, context_files)
     found = merged.withColumnRenamed("doc_id", "qualified_name").join(
         g.nodes.select("qualified_name", "kind", "file_path"), "qualified_name"
     )
@@ -259,11 +271,25 @@ def refresh_embeddings(stored: DataFrame, texts: DataFrame, provider: str = "let
     return kept.unionByName(fresh)
 
 
-def cross_repo_search(graphs: dict[str, CodeGraph], query: str, kind: str | None = None,
-                      limit: int = S.SEARCH_LIMIT) -> DataFrame:
-    """Hybrid search in each repository, merged by score."""
-    merged = None
-    for repo in sorted(graphs):
-        part = hybrid_search(graphs[repo], query, kind, limit).withColumn("repo", F.lit(repo))
-        merged = part if merged is None else merged.unionByName(part)
-    return merged.orderBy(F.desc("score"), "repo", "qualified_name").limit(limit)
+def cross_repo_search(index, nodes: DataFrame, query: str, kind: str | None = None, limit: int = S.SEARCH_LIMIT) -> DataFrame:
+    """Hybrid search in every repository of an index at once, merged by score.
+
+    ``nodes`` has a ``repo`` column. Each repository ranks its own phrase hits, or its keyword matches where it has
+    none; the windows keep a few rows per repository, which Spark cuts in every task before it shuffles.
+    """
+    fetch = limit * 3
+    best = Window.partitionBy("repo").orderBy(F.desc("score"), "qualified_name")
+    place = F.row_number().over(best)
+    about = nodes.select("repo", "qualified_name", "kind", "file_path", "name")
+    hits = index.phrase_search(query, None).select("repo", F.col("doc_id").alias("qualified_name"), "score")
+    ranked = hits.withColumn("place", place).where(F.col("place") <= fetch).select("repo", "qualified_name", (F.lit(1.0) / (F.lit(S.RRF_K) + F.col("place"))).alias("score"))
+    words = about.where(keyword_match(query)).join(hits.select("repo").distinct(), "repo", "left_anti")
+    words = words.select("repo", "qualified_name", keyword_score(query).alias("score"))
+    words = words.withColumn("place", place).where(F.col("place") <= fetch).drop("place")
+    found = ranked.unionByName(words).join(about, ["repo", "qualified_name"])
+    if kind:
+        found = found.where(F.col("kind") == kind)
+    boosted = found.withColumn("score", F.col("score") * boost_factor(query))
+    top = boosted.withColumn("place", place).where(F.col("place") <= limit)
+    return top.select("qualified_name", "kind", "file_path", rounded(F.col("score"), 6).alias("score"), "repo").orderBy(
+        F.desc("score"), "repo", "qualified_name").limit(limit)

@@ -363,8 +363,7 @@ flat AS MATERIALIZED (SELECT doc_id, len(words) AS doc_len, unnest(words) AS ter
 
 @register("postings_terms", over(TOKENS, sql="SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS tf FROM flat GROUP BY 1"))
 def postings_terms(w: Workspace) -> DataFrame:
-    p = SE.postings(w.table("documents").select("doc_id", "text"))
-    return p.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+    return w.document_index.term_counts().groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("tf").alias("tf"))
 
 
 BM25 = """
@@ -375,17 +374,18 @@ scored AS MATERIALIZED (SELECT doc_id, tf, doc_len, ln(1.0::DOUBLE + (n - (SELEC
 
 @register("bm25_search", over(TOKENS, BM25.format("in", "the"), sql="SELECT doc_id, tf, doc_len, round(score, 6) AS score FROM scored"))
 def bm25_search(w: Workspace) -> DataFrame:
-    return SE.phrase_search(w.table("documents").select("doc_id", "text"), "in the", None).select("doc_id", "tf", "doc_len", F.round("score", 6).alias("score"))
+    return w.document_index.phrase_search("in the", None, across=True).select("doc_id", "tf", "doc_len", F.round("score", 6).alias("score"))
 
 
 @register("bm25_top", over(TOKENS, BM25.format("de", "la"), sql="SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 20"))
 def bm25_top(w: Workspace) -> DataFrame:
-    return SE.phrase_search(w.table("documents").select("doc_id", "text"), "de la", 20).select("doc_id", F.round("score", 6).alias("score"))
+    found = w.document_index.phrase_search("de la", None, across=True)
+    return found.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @register("term_search", over(TOKENS, sql="SELECT doc_id, len(words) AS doc_len FROM tok WHERE list_contains(words, 'und') AND list_contains(words, 'der')"))
 def term_search(w: Workspace) -> DataFrame:
-    return SE.term_search(w.table("documents").select("doc_id", "text"), "und der")
+    return w.document_index.term_search("und der").select("doc_id", "doc_len")
 
 
 @register("keyword_search", graph("""
@@ -401,7 +401,7 @@ b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rn FRO
 SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rn)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1"""))
 def rrf_fusion(w: Workspace) -> DataFrame:
     docs = w.table("documents")
-    by_text = SE.phrase_search(docs.select("doc_id", "text"), "in the", None)
+    by_text = w.document_index.phrase_search("in the", None, across=True)
     by_size = docs.select("doc_id", F.col("n_chars").alias("score"))
     return SE.fuse([by_text.select("doc_id", "score"), by_size], limit=60).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -454,7 +454,7 @@ WITH f AS (SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score
 b AS (SELECT f.doc_id, n.kind, n.file_path, f.score * CASE WHEN n.kind = 'Function' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS s FROM f JOIN nodes n ON n.qualified_name = f.doc_id)
 SELECT doc_id AS qualified_name, kind, file_path, round(s + 1e-9::DOUBLE, 6) AS score FROM b WHERE kind = 'Function' ORDER BY s DESC, doc_id LIMIT 20"""))
 def hybrid_search(w: Workspace) -> DataFrame:
-    return SE.hybrid_search(w.graph, "old_bolt", kind="Function")
+    return SE.hybrid_search(w.graph, "old_bolt", kind="Function", index=w.node_index)
 
 
 @register("run_table", over(FINDINGS, HISTORY, RUNS, sql="""
@@ -468,9 +468,28 @@ def run_table(w: Workspace) -> DataFrame:
 
 @register("stemmed_phrase_search")
 def stemmed_phrase_search(w: Workspace) -> DataFrame:
-    """The phrase index with stemmed terms (no SQL form)."""
-    docs = w.table("documents").select("doc_id", "text")
-    return SE.phrase_search(docs, "in the", None, stem=True)
+    """The phrase search of an index of stems (no SQL form)."""
+    return w.stemmed_index.phrase_search("in the", None, across=True).select("doc_id", "tf", "doc_len", "score")
+
+
+# A tenth of the documents is written anew with other words, another tenth is emptied; all others keep their postings.
+REFRESHED = r"""
+docs2 AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'fresh words in the fresh text ' || doc_id WHEN doc_id % 10 = 4 THEN '' ELSE text END AS text FROM documents),
+tok AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM docs2),
+st AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, avg(len(words)) AS al FROM tok),
+flat AS MATERIALIZED (SELECT doc_id, len(words) AS doc_len, unnest(words) AS term, unnest(range(len(words))) AS pos FROM tok)
+"""
+
+
+@register("index_refresh", over(REFRESHED, BM25.format("in", "the"), sql="SELECT doc_id, tf, doc_len, round(score, 6) AS score FROM scored"))
+def index_refresh(w: Workspace) -> DataFrame:
+    """Documents replaced in a stored index, then searched."""
+    index = w._index(w.document_texts)
+    tenth = F.col("doc_id") % 10
+    changed = w.document_texts.where(tenth.isin(3, 4)).withColumn(
+        "text", F.when(tenth == 3, F.concat(F.lit("fresh words in the fresh text "), F.col("doc_id").cast("string"))).otherwise(""))
+    index = index.refresh(changed.select("file_path"), changed)
+    return index.phrase_search("in the", None, across=True).select("doc_id", "tf", "doc_len", F.round("score", 6).alias("score"))
 
 
 @register("cross_repo_search", over(GRAPH, r"""
@@ -490,10 +509,4 @@ t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY repo ORDER BY s DE
 SELECT repo, doc_id AS qualified_name, score FROM t ORDER BY score DESC, repo, doc_id LIMIT 20"""))
 def cross_repo_search(w: Workspace) -> DataFrame:
     """One repository per top folder of the commerce graph."""
-    from codelattice.model import CodeGraph
-
-    g = w.graph
-    folder = F.split("file_path", "/")[1]
-    names = [r[0] for r in g.nodes.select(folder).distinct().collect()]
-    graphs = {n: CodeGraph(g.nodes.where(folder == n), g.edges) for n in names}
-    return SE.cross_repo_search(graphs, "red_ring").select("repo", "qualified_name", "score")
+    return SE.cross_repo_search(w.node_index, w.repo_nodes, "red_ring").select("repo", "qualified_name", "score")

@@ -17,6 +17,7 @@ from codelattice.operators.lookup import _cut
 from codelattice.operators.relations import uncalled_functions
 from codelattice.operators.traversal import dependent_files
 from codelattice.session import stage
+from codelattice.sinks.search_index import refresh_graph_index
 from codelattice.sinks.store import read_graph, replace_files, replace_files_at, stored_hashes
 from codelattice.sources import notebooks as NB
 from codelattice.sources.code import contains_edges, extract_python, import_names, nodes_of, raw_edges
@@ -126,7 +127,9 @@ def update_stored(spark: SparkSession, path: str, files: DataFrame, changed: Dat
     todo = stage(todo, "files_to_read")
     read = files.join(todo, "file_path", "left_semi")
     fresh = build_from_files(read, files)
-    return replace_files_at(spark, path, todo.unionByName(deleted), fresh.nodes, fresh.edges, read.select("file_path", "file_hash"), batch)
+    nodes, gone = stage(fresh.nodes, "read_nodes"), stage(todo.unionByName(deleted), "replaced")
+    refresh_graph_index(spark, path, gone, nodes, batch)
+    return replace_files_at(spark, path, gone, nodes, fresh.edges, read.select("file_path", "file_hash"), batch)
 
 
 def review_changes(

@@ -361,7 +361,7 @@ def _hashed(files: DataFrame) -> DataFrame:
 
 def _edited(files: DataFrame, went: bool = True) -> DataFrame:
     """The tree after a change: every third module gains a function, one in thirty is deleted."""
-    k = F.regexp_extract("file_path", "([0-9]+)", 1).cast("bigint")
+    k = F.regexp_extract("file_path", "([0-9]+)", 1).try_cast("bigint")
     more = _c("\ndef extra_", k, "():\n    helper_", k, "(1)\n")
     out = files.withColumn("text", F.when(k % 3 == 0, F.concat("text", more)).otherwise(F.col("text")))
     return out.where(k % 30 != 7) if went else out
@@ -406,7 +406,7 @@ def watch_replay(w: Workspace) -> DataFrame:
     root = f"{stage_root(w.spark)}/{uuid.uuid4().hex}"
     before = stage(python_files(w), "tree")
     ST.write_graph(PL.build_from_files(before), f"{root}/graph")
-    k = F.regexp_extract("file_path", "([0-9]+)", 1).cast("bigint")
+    k = F.regexp_extract("file_path", "([0-9]+)", 1).try_cast("bigint")
     last = _edited(before, went=False).where((k % 3 == 0) | (k % 30 == 7)).select(
         "file_path", F.when(k % 30 == 7, "deleted").otherwise("modified").alias("event"), F.lit("2024-01-01T00:00:09Z").alias("ts"),
         F.when(k % 30 != 7, F.col("text")).alias("text"))

@@ -36,7 +36,12 @@ def bucket_of(path: Column, buckets: int) -> Column:
 
 
 class VersionedTables:
-    """Tables below ``path``, each with a ``file_path`` column that decides its bucket."""
+    """Tables below ``path``, each with a ``file_path`` column that decides its bucket.
+
+    ``LEVELS`` names a column of a table that makes folders inside its buckets, and the order of rows in a file.
+    """
+
+    LEVELS: dict[str, tuple[str, str]] = {}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -116,7 +121,11 @@ class VersionedTables:
     def _write(self, name: str, rows: DataFrame, buckets: int) -> tuple[str, int]:
         tag = uuid.uuid4().hex[:16]
         placed = rows.drop("bucket").withColumn("bucket", bucket_of(F.col("file_path"), buckets))
-        placed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{name}/ver={tag}")
+        keys = ["bucket", *self.LEVELS.get(name, ())[:1]]
+        placed = placed.hint("rebalance", *keys)
+        if name in self.LEVELS:
+            placed = placed.sortWithinPartitions(*keys, self.LEVELS[name][1])
+        placed.write.partitionBy(*keys).parquet(f"{self.path}/data/{name}/ver={tag}")
         return tag, self.bytes_in(f"data/{name}/ver={tag}")
 
     def replace_all(self, tables: dict[str, DataFrame], bucket_bytes: int = BUCKET_BYTES, buckets: int | None = None, batch: tuple[str, int] | None = None) -> int:

@@ -6,6 +6,7 @@ item is a reference from the part that stands for its order to its own part.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,9 @@ from codelattice.model import CodeGraph
 from codelattice.operators import communities
 from codelattice.operators import findings as findings_op
 from codelattice.operators import flows as flows_op
-from codelattice.session import stage
+from codelattice.operators.search import node_documents
+from codelattice.session import stage, stage_root
+from codelattice.sinks.search_index import SearchIndex
 
 # Part names hold no security words, so scores over them look for these.
 CHECK_WORDS = ("ring", "bolt")
@@ -238,6 +241,35 @@ class Workspace:
     def label_members(self) -> DataFrame:
         return stage(communities.propagated_members(self.graph, split_above=None), "label_members")
 
+    # Search indexes, stored once; every search reads the cells of its terms.
+
+    @cached_property
+    def document_index(self) -> SearchIndex:
+        return self._index(self.document_texts)
+
+    @cached_property
+    def stemmed_index(self) -> SearchIndex:
+        return self._index(self.document_texts, stem=True)
+
+    @cached_property
+    def node_index(self) -> SearchIndex:
+        """The four texts of every node; a top folder is a repository."""
+        texts = node_documents(self.graph).withColumnRenamed("doc_id", "qualified_name")
+        return self._index(self.repo_nodes.join(texts, "qualified_name").select("repo", "file_path", F.col("qualified_name").alias("doc_id"), "text"))
+
+    @property
+    def document_texts(self) -> DataFrame:
+        """Documents as (repo, file_path, doc_id, text); a source is a repository and each document a file."""
+        path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+        return self.table("documents").select(F.col("source").alias("repo"), path.alias("file_path"), "doc_id", "text")
+
+    @property
+    def repo_nodes(self) -> DataFrame:
+        return self.graph.nodes.withColumn("repo", F.split("file_path", "/")[1])
+
+    def _index(self, docs: DataFrame, stem: bool = False) -> SearchIndex:
+        return SearchIndex.build(self.spark, f"{stage_root(self.spark)}/{uuid.uuid4().hex}/index", docs, stem)
+
     @cached_property
     def history(self) -> DataFrame:
         return findings_op.fold_history(self.normalised, run="run_day")

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from codelattice.functions.paths import language_of
 from codelattice.plans.pipelines import build_from_files
 from codelattice.session import stage
+from codelattice.sinks.search_index import refresh_graph_index
 from codelattice.sinks.store import read_graph, replace_files_at
 from codelattice.sinks.versions import VersionedTables
 
@@ -43,7 +44,10 @@ def apply_events(spark: SparkSession, graph_path: str, events: DataFrame, batch:
     gone = (F.col("event") == "deleted") | F.col("text").isNull()
     files = read_graph(spark, graph_path).nodes_of("File").select("file_path").join(last.where(gone), "file_path", "left_anti")
     fresh = build_from_files(last.where(~gone).select("file_path", "text", "language"), files)
-    return replace_files_at(spark, graph_path, last.select("file_path"), fresh.nodes, fresh.edges, batch=batch)
+    nodes = stage(fresh.nodes, "event_nodes")
+    # The index first: a batch that fails in between is replayed, and the index knows what it has seen.
+    refresh_graph_index(spark, graph_path, last.select("file_path"), nodes, batch)
+    return replace_files_at(spark, graph_path, last.select("file_path"), nodes, fresh.edges, batch=batch)
 
 
 def watch(events: DataFrame, graph_path: str, checkpoint: str, once: bool = False, name: str = "watch") -> StreamingQuery:
