@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelattice import schema as S
 from codelattice.functions.numbers import rounded
 from codelattice.functions.text import token_estimate
+from codelattice.model import CodeGraph
 from codelattice.operators import communities as C
 from codelattice.operators import evaluation as EV
 from codelattice.operators import flows as FL
@@ -18,7 +19,7 @@ from codelattice.operators import summary as SM
 from codelattice.operators import traversal as T
 from codelattice.operators.ordering import rank_rows
 from codelattice.plans.oracle_base import FLOWS, GRAPH, SECURE, flow, graph, over
-from codelattice.sources.commerce import CHECK_WORDS, Workspace
+from codelattice.sources.commerce import CHECK_WORDS, STRUCTURE, Workspace
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -330,14 +331,90 @@ def label_communities(w: Workspace) -> DataFrame:
     return w.label_members
 
 
-@register("label_modularity", _label_sql("""
-WITH t AS (SELECT sum(w) AS total FROM pairs), j AS (SELECT a.community_id AS ca, b.community_id AS cb, w FROM pairs JOIN lm a ON a.qualified_name = a JOIN lm b ON b.qualified_name = b)
+_MODULARITY = """
+WITH t AS (SELECT sum(w) AS total FROM pairs), j AS (SELECT a.community_id AS ca, b.community_id AS cb, w FROM pairs JOIN lm a ON a.qualified_name = pairs.a JOIN lm b ON b.qualified_name = pairs.b)
 SELECT round(sum(i / total - power(d / (total * 2), 2)) + 1e-9::DOUBLE, 6) AS modularity FROM (SELECT c, sum(i) AS i, sum(d) AS d FROM (
-  SELECT ca AS c, CASE WHEN ca = cb THEN w ELSE 0 END AS i, w AS d FROM j UNION ALL SELECT cb, 0, w FROM j) GROUP BY c), t""".replace("JOIN lm a ON a.qualified_name = a ", "JOIN lm a ON a.qualified_name = pairs.a ").replace("JOIN lm b ON b.qualified_name = b)", "JOIN lm b ON b.qualified_name = pairs.b)")))
+  SELECT ca AS c, CASE WHEN ca = cb THEN w ELSE 0 END AS i, w AS d FROM j UNION ALL SELECT cb, 0, w FROM j) GROUP BY c), t"""
+
+
+@register("label_modularity", _label_sql(_MODULARITY))
 def label_modularity(w: Workspace) -> DataFrame:
     return C.modularity(C.weighted_pairs(w.graph), w.label_members).select(rounded(F.col("modularity"), 6).alias("modularity"))
 
 
+def _settle_sql(name: str, nodes: str, links: str, start: str, quiet: str, single: bool = False) -> str:
+    """Rounds of moves as a recursion over the whole labelling; it ends when neither half raises modularity."""
+    alone = "AND t.n = 1" if single else ""
+    return f"""
+{name}(r, quiet, q, node, label) AS (
+  SELECT 0, {quiet}, (SELECT coalesce(sum(l.w), 0) FROM {links} l JOIN {start} x ON x.node = l.node JOIN {start} y ON y.node = l.via WHERE x.label = y.label)::HUGEINT * (SELECT m FROM whole)
+    - (SELECT sum(t * t) FROM (SELECT sum(k)::HUGEINT AS t FROM {start} JOIN {nodes} USING (node) GROUP BY label)), node, label FROM {start}
+  UNION ALL
+  SELECT * FROM (
+    WITH cur AS MATERIALIZED (SELECT c.*, n.k, n.half FROM {name} c JOIN {nodes} n USING (node) WHERE quiet < 2),
+    tot AS MATERIALIZED (SELECT label, sum(k)::HUGEINT AS t, count(*) AS n FROM cur GROUP BY label),
+    near AS MATERIALIZED (SELECT l.node, c.label, sum(l.w)::HUGEINT AS s FROM {links} l JOIN cur c ON c.node = l.via GROUP BY 1, 2),
+    stay AS MATERIALIZED (SELECT c.node, c.k, c.label, coalesce(e.s, 0) * whole.m - c.k * (t.t - c.k) AS g FROM cur c JOIN tot t USING (label) LEFT JOIN near e ON e.node = c.node AND e.label = c.label, whole WHERE c.half = c.r % 2 {alone}),
+    best AS MATERIALIZED (SELECT node, label, home, gain FROM (SELECT e.node, e.label, st.label AS home, e.s * whole.m - st.k * t.t - st.g AS gain, row_number() OVER (PARTITION BY e.node ORDER BY e.s * whole.m - st.k * t.t DESC, e.label) AS rn
+      FROM near e JOIN stay st ON st.node = e.node JOIN tot t ON t.label = e.label, whole WHERE e.label <> st.label AND e.s * whole.m - st.k * t.t > st.g) WHERE rn = 1),
+    named AS MATERIALIZED (SELECT node FROM (SELECT node, c, row_number() OVER (PARTITION BY c ORDER BY gain DESC, node) AS rn FROM (
+      SELECT node, gain, label AS c FROM best UNION ALL SELECT node, gain, home FROM best)) WHERE rn = 1),
+    made AS MATERIALIZED (SELECT node FROM named GROUP BY node HAVING count(*) = 2),
+    fresh AS MATERIALIZED (SELECT c.node, c.k, c.label AS old, coalesce(b.label, c.label) AS label, CASE WHEN c.node IN (SELECT node FROM made) THEN b.label ELSE c.label END AS few FROM cur c LEFT JOIN best b USING (node)),
+    q2 AS MATERIALIZED (SELECT (SELECT coalesce(sum(l.w), 0) FROM {links} l JOIN fresh x ON x.node = l.node JOIN fresh y ON y.node = l.via WHERE x.label = y.label)::HUGEINT * m
+      - (SELECT sum(t * t) FROM (SELECT sum(k)::HUGEINT AS t FROM fresh GROUP BY label)) AS q,
+      (SELECT coalesce(sum(l.w), 0) FROM {links} l JOIN fresh x ON x.node = l.node JOIN fresh y ON y.node = l.via WHERE x.few = y.few)::HUGEINT * m
+      - (SELECT sum(t * t) FROM (SELECT sum(k)::HUGEINT AS t FROM fresh GROUP BY few)) AS p FROM whole)
+    SELECT c.r + 1, CASE WHEN greatest(q2.q, q2.p) > c.q THEN 0 ELSE c.quiet + 1 END, CASE WHEN q2.q > c.q THEN q2.q ELSE greatest(q2.p, c.q) END,
+      c.node, CASE WHEN q2.q > c.q THEN f.label WHEN q2.p > c.q THEN f.few ELSE f.old END
+    FROM cur c JOIN fresh f ON f.node = c.node, q2))"""
+
+
+def _leiden_sql(sql: str, levels: int = 7) -> str:
+    """Levels of moves, refinement and contraction; a level that is no smaller than the one before stays as it is."""
+    kinds = ", ".join(f"'{k}'" for k in STRUCTURE)
+    weights = " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.EDGE_WEIGHTS.items())
+    last = lambda t: f"(SELECT node, label FROM {t} WHERE r = (SELECT max(r) FROM {t}))"
+    parts = [f"""
+pairs AS MATERIALIZED (SELECT a, b, CAST(CASE k {weights} ELSE 0.5 END AS DOUBLE) AS w FROM (
+  SELECT least(source, target) AS a, greatest(source, target) AS b, min(kind) AS k FROM edges
+  WHERE kind IN ({kinds}) AND source <> target AND source IN (SELECT qualified_name FROM nodes) AND target IN (SELECT qualified_name FROM nodes) GROUP BY 1, 2)),
+l0 AS MATERIALIZED (SELECT a AS node, b AS via, CAST(round(w * 10) AS BIGINT) AS w FROM pairs UNION ALL SELECT b, a, CAST(round(w * 10) AS BIGINT) FROM pairs),
+n0 AS MATERIALIZED (SELECT node, sum(w)::HUGEINT AS k, ascii(right(md5(node), 1)) % 2 AS half FROM l0 GROUP BY node),
+whole AS MATERIALIZED (SELECT sum(k)::HUGEINT AS m FROM n0),
+s0 AS MATERIALIZED (SELECT node, node AS label FROM n0),
+x0 AS MATERIALIZED (SELECT node AS member, node FROM n0)"""]
+    for i in range(levels):
+        quiet = "0" if i == 0 else f"CASE WHEN (SELECT count(*) FROM n{i}) = (SELECT count(*) FROM n{i - 1}) THEN 2 ELSE 0 END"
+        parts += [
+            _settle_sql(f"r{i}", f"n{i}", f"l{i}", f"s{i}", quiet),
+            f"""
+a{i} AS MATERIALIZED {last(f"r{i}")},
+z{i} AS MATERIALIZED (SELECT node, node AS label FROM n{i}),
+i{i} AS MATERIALIZED (SELECT l.* FROM l{i} l JOIN a{i} x ON x.node = l.node JOIN a{i} y ON y.node = l.via WHERE x.label = y.label)""",
+            _settle_sql(f"f{i}", f"n{i}", f"i{i}", f"z{i}", quiet, single=True),
+            f"""
+g{i} AS MATERIALIZED {last(f'f{i}')},
+n{i + 1} AS MATERIALIZED (SELECT g.label AS node, sum(k)::HUGEINT AS k, ascii(right(md5(g.label), 1)) % 2 AS half FROM n{i} JOIN g{i} g USING (node) GROUP BY g.label),
+l{i + 1} AS MATERIALIZED (SELECT x.label AS node, y.label AS via, sum(w)::BIGINT AS w FROM l{i} l JOIN g{i} x ON x.node = l.node JOIN g{i} y ON y.node = l.via WHERE x.label <> y.label GROUP BY 1, 2),
+s{i + 1} AS MATERIALIZED (SELECT DISTINCT g.label AS node, min(g.label) OVER (PARTITION BY a.label) AS label FROM g{i} g JOIN a{i} a USING (node)),
+x{i + 1} AS MATERIALIZED (SELECT member, g.label AS node FROM x{i} JOIN g{i} g USING (node))"""]
+    parts.append(f"""
+found AS (SELECT min(member) OVER (PARTITION BY label) AS community_id, member AS qualified_name, count(*) OVER (PARTITION BY label) AS n FROM x{levels} JOIN s{levels} USING (node)),
+lm AS MATERIALIZED (SELECT community_id, qualified_name FROM found WHERE n >= 2)""")
+    return over(GRAPH, *parts, sql=sql)
+
+
+@register("leiden_communities", _leiden_sql("SELECT community_id, qualified_name FROM lm"))
+def leiden_communities(w: Workspace) -> DataFrame:
+    return w.leiden_members
+
+
+@register("leiden_modularity", _leiden_sql(_MODULARITY))
+def leiden_modularity(w: Workspace) -> DataFrame:
+    return C.modularity(C.weighted_pairs(CodeGraph(w.graph.nodes, w.graph.edges_of(*STRUCTURE))), w.leiden_members).select(rounded(F.col("modularity"), 6).alias("modularity"))
+
+
 @register("label_communities_split")
 def label_communities_split(w: Workspace) -> DataFrame:
     return C.propagated_members(w.graph, split_above=20)

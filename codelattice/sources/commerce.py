@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codelattice.functions.paths import qualified_name
 from codelattice.model import CodeGraph
-from codelattice.operators import communities
+from codelattice.operators import communities, leiden
 from codelattice.operators import findings as findings_op
 from codelattice.operators import flows as flows_op
 from codelattice.operators.search import node_documents
@@ -28,6 +28,8 @@ CHECK_WORDS = ("ring", "bolt")
 # smaller returned lines and all others spread over the remaining kinds, so calls stay sparse.
 RESOLVED_CALL, EXTERNAL_CALL, BARE_CALL = 48, 47, 46
 FILE_IMPORT, INHERIT, SYMBOL_IMPORT, DEPEND = 45, 44, 43, 42
+# Relations that make up the structure of a program; communities are sought over these.
+STRUCTURE = ("CALLS", "CONTAINS", "INHERITS", "TESTED_BY")
 OTHER_KINDS = ("DEPENDS_ON", "REFERENCES", "IMPLEMENTS", "IMPORTS_FROM")
 
 
@@ -241,6 +243,10 @@ class Workspace:
     def label_members(self) -> DataFrame:
         return stage(communities.propagated_members(self.graph, split_above=None), "label_members")
 
+    @cached_property
+    def leiden_members(self) -> DataFrame:
+        return stage(leiden.leiden_members(self.graph, kinds=STRUCTURE), "leiden_members")
+
     # Search indexes, stored once; every search reads the cells of its terms.
 
     @cached_property
