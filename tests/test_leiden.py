@@ -33,24 +33,24 @@ def value(links, labels):
 
 
 def test_ring_of_cliques(spark):
-    links = [link for i in range(6) for link in clique(f"c{i}_", 5)]
-    links += [(f"c{i}_0", f"c{(i + 1) % 6}_1", 0.3) for i in range(6)]
+    links = [link for i in range(4) for link in clique(f"c{i}_", 4)]
+    links += [(f"c{i}_0", f"c{(i + 1) % 4}_1", 0.3) for i in range(4)]
     found = groups(leiden.communities(pairs(spark, links)))
-    assert found == [[f"c{i}_{j}" for j in range(5)] for i in range(6)]
+    assert found == [[f"c{i}_{j}" for j in range(4)] for i in range(4)]
 
 
 def test_long_chain_is_not_cut_short(spark):
     """A chain, where the moves of a half disturb each other; no move of one node, nor of two whole communities, is left that gains."""
-    links = [(f"n{i:02d}", f"n{i + 1:02d}", 1.0) for i in range(36)]
+    links = [(f"n{i:02d}", f"n{i + 1:02d}", 1.0) for i in range(13)]
     labels = {r["node"]: r["label"] for r in leiden.communities(pairs(spark, links)).collect()}
     best = value(links, labels)
-    assert best > 0.6
+    assert best > 0.45
     near = {(labels[a], labels[b]) for a, b, _ in links if labels[a] != labels[b]}
     assert all(value(links, {k: a if v == b else v for k, v in labels.items()}) <= best + 1e-12 for a, b in near)
 
 
 def test_hub_and_nothing(spark):
-    star = [("hub", f"leaf{i:02d}", 1.0) for i in range(30)]
+    star = [("hub", f"leaf{i:02d}", 1.0) for i in range(12)]
     assert groups(leiden.communities(pairs(spark, star))) == [sorted({"hub", *[b for _, b, _ in star]})]
     assert leiden.communities(pairs(spark, [])).count() == 0
 
