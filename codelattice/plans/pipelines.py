@@ -53,7 +53,7 @@ def graph_of_records(records: DataFrame, languages: DataFrame, files: DataFrame)
     bound = RS.resolve_same_file(nodes.where(F.col("language") != "vue"), imported)
     tested = RS.tested_by_edges(nodes, bound, is_test_file)
     # The later definition of a qualified name is the one kept.
-    rest = [c for c in nodes.columns if c not in ("qualified_name", "top_level")]
+    rest = [c for c in nodes.columns if c not in ("qualified_name", "top_level", "container")]
     unique = nodes.groupBy("qualified_name").agg(
         F.max_by(F.struct(*rest), F.col("line_start")).alias("_r")
     ).select("qualified_name", "_r.*")
@@ -77,8 +77,7 @@ def build_from_files(files: DataFrame, known: DataFrame | None = None) -> CodeGr
         cells = cells.unionByName(NB.notebook_cells(files.where(F.col("language") == "notebook")))
     plain = files.where((F.col("language") == "python") & ~export).select("file_path", "text")
     records = extract_python(plain.unionByName(NB.joined_code(cells)))
-    in_r = NB.joined_code(cells, "r").withColumn("language", F.lit("r"))
-    records = records.unionByName(extract_by_lines(in_r))
+    by_lines = NB.joined_code(cells, "r").withColumn("language", F.lit("r"))
     scripts = present & set(GROUP)
     if scripts:
         others = files.where(F.col("language").isin(*scripts) & (F.col("language") != "vue")).select(
@@ -86,7 +85,8 @@ def build_from_files(files: DataFrame, known: DataFrame | None = None) -> CodeGr
         )
         if "vue" in scripts:
             others = others.unionByName(NB.component_code(files.where(F.col("language") == "vue")))
-        records = records.unionByName(extract_by_lines(others))
+        by_lines = by_lines.unionByName(others)
+    records = records.unionByName(extract_by_lines(by_lines))
     # Every file has its node, also those that no reader takes.
     unread = files.where(~F.col("language").isin("python", *scripts)).select(
         F.lit("node").alias("rec"), F.lit("File").alias("kind"), F.col("file_path").alias("name"), "file_path",

@@ -126,6 +126,111 @@ def script_graph(w: Workspace) -> DataFrame:
     return PL.build_from_files(files).edges.select("kind", "source", "target", "line")
 
 
+@register("script_tests", r"""
+WITH p AS (SELECT p_partkey AS k, 'web/s' || p_partkey || '.test.js' AS f, 'web/s' || p_partkey || '.js' AS lib, trim(regexp_replace(p_name, '\s+', ' ', 'g')) AS t FROM part),
+n AS (SELECT *, f || '::describe:panel ' || t || '@L2' AS d, f || '::beforeEach@L3' AS b, f || '::it:draws ${' || k || '} /* not@L4' AS i, f || '::it:rows@L7' AS e, f || '::test:short@L7' AS s FROM p)
+SELECT 'CONTAINS' AS kind, f AS source, d AS target, 2 AS line FROM n
+UNION ALL SELECT 'CONTAINS', d, b, 3 FROM n
+UNION ALL SELECT 'CONTAINS', d, i, 4 FROM n
+UNION ALL SELECT 'CONTAINS', d, e, 7 FROM n
+UNION ALL SELECT 'CONTAINS', e, s, 7 FROM n
+UNION ALL SELECT 'CALLS', b, 'reset', 3 FROM n
+UNION ALL SELECT 'CALLS', i, u, 5 FROM n, (SELECT unnest(['expect', 'toBe']) AS u)
+UNION ALL SELECT 'CALLS', i, lib || '::paint' || k, 5 FROM n
+UNION ALL SELECT 'CALLS', s, 'check', 7 FROM n
+UNION ALL SELECT 'TESTED_BY', 'reset', b, 3 FROM n
+UNION ALL SELECT 'TESTED_BY', u, i, 5 FROM n, (SELECT unnest(['expect', 'toBe']) AS u)
+UNION ALL SELECT 'TESTED_BY', lib || '::paint' || k, i, 5 FROM n
+UNION ALL SELECT 'TESTED_BY', 'check', s, 7 FROM n""")
+def script_tests(w: Workspace) -> DataFrame:
+    """Calls of test runners as nodes below one another, with what they call and test."""
+    k = F.col("p_partkey")
+    test = _c(
+        "import { paint", k, " } from './s", k, "';\ndescribe('panel ", F.col("p_name"), "', () => {\n  beforeEach(() => { reset(); });\n  it.only(`draws ${", k,
+        "} /* not`, function () {\n    expect(paint", k, "(1)).toBe('it(');\n  });\n  it.each([[1], [2]])(\"rows\", (n) => { test('short', () => check(n)); });\n});\n",
+    )
+    part = w.table("part")
+    files = part.select(_c("web/s", k, ".test.js").alias("file_path"), test.alias("text")).unionByName(
+        part.select(_c("web/s", k, ".js").alias("file_path"), _c("export function paint", k, "(y) {\n  return y;\n}\n").alias("text"))
+    ).withColumn("language", F.lit("javascript"))
+    return PL.build_from_files(files).edges.where(
+        F.col("file_path").endswith(".test.js") & (F.col("kind") != "IMPORTS_FROM")
+    ).select("kind", "source", "target", "line")
+
+
+@register("script_strings", """
+WITH d AS (SELECT doc_id, coalesce(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '') AS t FROM documents),
+n AS (SELECT 'web/d' || doc_id || '.js' AS f, CAST(2 * (length(t) - length(replace(t, chr(10), ''))) + 3 AS INTEGER) AS ln FROM d)
+SELECT f AS file_path, 'File' AS kind, f AS name, 1 AS line_start, ln + 4 AS line_end FROM n
+UNION ALL SELECT f, 'Function', 'show', ln, ln + 3 FROM n
+UNION ALL SELECT f, 'CALLS', u, ln + 1, NULL FROM n, (SELECT unnest(['outer', 'middle', 'inner']) AS u)
+UNION ALL SELECT f, 'CALLS', 'split', ln + 2, NULL FROM n""")
+def script_strings(w: Workspace) -> DataFrame:
+    """Whole documents as a template over lines and in a comment that holds another opening; only code around them counts."""
+    whole = F.coalesce("text", F.lit(""))
+    escaped = F.regexp_replace(whole, r"([\\`$])", r"\\$1")
+    text = _c(
+        "const page = `", escaped, "`;\n/* see /* ", F.regexp_replace(whole, r"\*/", "* /"), " */\nfunction show(x) {\n"
+        "  outer(`a ${middle(`b } ${inner(x)} {`)} {`); // gone(\n  return x.split(/[/\"'`{]/g);\n}\n",
+    )
+    files = w.table("documents").select(_c("web/d", F.col("doc_id"), ".js").alias("file_path"), text.alias("text"), F.lit("javascript").alias("language"))
+    g = PL.build_from_files(files)
+    calls = g.edges_of("CALLS").select(
+        "file_path", "kind", F.col("target").alias("name"), F.col("line").alias("line_start"), F.lit(None).cast("int").alias("line_end"))
+    return g.nodes.select("file_path", "kind", "name", "line_start", "line_end").unionByName(calls)
+
+
+@register("broken_sources", """
+WITH p AS (SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS z, 'gen/b' || p_partkey || '.py' AS f FROM part)
+SELECT f AS source, 'File' AS kind, 'lines' AS target, 1 AS line, 13 AS line_end FROM p
+UNION ALL SELECT f || '::first', 'Function', '(a, b=' || z || ')', 2, 2 FROM p
+UNION ALL SELECT f || '::Box' || k, 'Class', NULL, 4, 9 FROM p
+UNION ALL SELECT f || '::Box' || k || '.run', 'Function', '(self, n=' || z || ')', 5, 9 FROM p
+UNION ALL SELECT f || '::helper', 'Function', '(n)', 10, 12 FROM p
+UNION ALL SELECT f, 'IMPORTS_FROM', 'os', 1, NULL FROM p
+UNION ALL SELECT f || '::Box' || k, 'INHERITS', 'Root', 4, NULL FROM p
+UNION ALL SELECT f || '::first', 'CALLS', f || '::helper', 2, NULL FROM p
+UNION ALL SELECT f || '::Box' || k || '.run', 'CALLS', f || '::helper', 8, NULL FROM p
+UNION ALL SELECT f || '::helper', 'CALLS', 'str', 12, NULL FROM p
+UNION ALL SELECT f, 'CONTAINS', f || '::' || u, l, NULL FROM p, (VALUES ('first', 2), ('helper', 10)) AS v(u, l)
+UNION ALL SELECT f, 'CONTAINS', f || '::Box' || k, 4, NULL FROM p
+UNION ALL SELECT f || '::Box' || k, 'CONTAINS', f || '::Box' || k || '.run', 5, NULL FROM p""")
+def broken_sources(w: Workspace) -> DataFrame:
+    """Python that does not parse, read by its indentation and marked."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = _c(
+        "import os\ndef first(a, b=", size, "): return helper(a)\nx = = 1\nclass Box", k, "(Root):\n    def run(self, n=", size, "):\n        '''call fake(\n"
+        "class Gone: '''\n        return helper([\n  n])  # dead(n\ndef helper(n):\n    # no(\n    return \"fake(\" + str(n)\n",
+    )
+    files = w.table("part").select(_c("gen/b", k, ".py").alias("file_path"), text.alias("text"), F.lit("python").alias("language"))
+    g = PL.build_from_files(files)
+    return g.nodes.select(
+        F.col("qualified_name").alias("source"), "kind", F.coalesce("params", F.col("extra")["reader"]).alias("target"),
+        F.col("line_start").alias("line"), "line_end",
+    ).unionByName(g.edges.select("source", "kind", "target", "line", F.lit(None).cast("int").alias("line_end")))
+
+
+@register("lua_nodes", """
+WITH p AS (SELECT s_suppkey AS k, 'game/u' || s_suppkey || '.lua' AS f, 'Box' || s_suppkey AS b FROM supplier)
+SELECT f AS source, 'IMPORTS_FROM' AS kind, 'base.m' || k AS target, 1 AS line FROM p
+UNION ALL SELECT f || '::' || b, 'CONTAINS', f || '::' || b || '.area', 5 FROM p
+UNION ALL SELECT f || '::' || b, 'CONTAINS', f || '::' || b || '.run', 10 FROM p
+UNION ALL SELECT f, 'CONTAINS', f || '::tidy', 13 FROM p
+UNION ALL SELECT f || '::' || b || '.area', 'CALLS', 'grow', 6 FROM p
+UNION ALL SELECT f || '::' || b || '.run', 'CALLS', f || '::' || b || '.area', 11 FROM p
+UNION ALL SELECT f || '::tidy', 'CALLS', f || '::' || b || '.run', 13 FROM p""")
+def lua_nodes(w: Workspace) -> DataFrame:
+    """Functions of Lua tables, with long comments and long strings around them."""
+    k = F.col("s_suppkey")
+    text = _c(
+        "local M = require(\"base.m", k, "\")\n--[==[ one ]]\nfunction gone() lost() end ]==]\nlocal Box", k, " = {}\nfunction Box", k,
+        ".area(x)\n  if x then grow(x, [[ end (\n  end fake( ]]) end\n  return x -- shrink(x)\nend\nfunction Box", k,
+        ":run()\n  return self:area('end')\nend\nlocal tidy = function(n) return Box", k, ":run(n) end\n",
+    )
+    files = w.table("supplier").select(_c("game/u", k, ".lua").alias("file_path"), text.alias("text"), F.lit("lua").alias("language"))
+    return PL.build_from_files(files).edges.select("source", "kind", "target", "line")
+
+
 def notebooks(w: Workspace) -> DataFrame:
     """One notebook per conversation; roles become SQL, Python and text cells."""
     t = F.col("turn")

@@ -1,8 +1,11 @@
 """Definitions, imports and calls by line patterns, for languages without a syntax tree.
 
-All steps are built-in expressions over exploded lines. Comments are taken out and
-strings emptied first. Block depth (braces, or block words in Lua and Ruby) is a
-running sum per file, so a block ends where its depth is reached again.
+Lines come from the pass of ``lexer``, which blanks comments and strings; they are
+stored once, all steps over them are built-in expressions. Block depth (braces, or
+block words in Lua and Ruby) is a running sum per file, so a block ends where its
+depth is reached again. Calls of test runners in script test files become Test
+nodes named ``it:description@L7`` below the function or test around them; a line's
+calls belong to the last function or test that starts on or before it.
 """
 
 from __future__ import annotations
@@ -10,6 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelattice import schema as S
+from codelattice.session import stage
+from codelattice.sources.lexer import MODIFIERS, code_lines
+
 _WORD = r"([A-Za-z_$][\w$]*)"
 _MODS = r"(?:(?:export|default|public|private|protected|internal|static|final|abstract|async|override|virtual|open|sealed|pub(?:\([^)]*\))?|unsafe|suspend|inline|const)\s+)*"
 
@@ -18,7 +25,8 @@ PATTERNS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "script": (
         rf"^\s*{_MODS}(?:class|interface)\s+{_WORD}",
         (rf"^\s*{_MODS}function\s*\*?\s*{_WORD}\s*\(", rf"^\s*{_MODS}(?:const|let|var)\s+{_WORD}\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>",
-         rf"^\s+{_MODS}{_WORD}\s*\([^;]*\)\s*(?::[^{{]+)?\{{\s*$"),
+         rf"^\s*{_MODS}(?:const|let|var)\s+{_WORD}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*:[^=]+=>)",
+         rf"^\s+{_MODS}{_WORD}\s*\((?![^;]*\bfunction\b)[^;]*\)\s*(?::[^{{]+)?\{{\s*$"),
         r"""^\s*(?:import\b.*?\bfrom\s+|import\s+|.*\brequire\()\s*["']([^"']+)["']""",
     ),
     "c_like": (
@@ -58,16 +66,6 @@ PATTERNS: dict[str, tuple[str, tuple[str, ...], str]] = {
     ),
 }
 
-# What is taken out of a line (comments) besides strings, which the first group keeps.
-_QUOTED = r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`"""
-# A single quote also marks lifetimes and characters: only what is a character counts.
-_CHARACTERS = r""""(?:\\.|[^"\\])*"|'(?:\\.[^']*|[^'\\])'|`[^`]*`"""
-_SLASHES = r"//.*$|/\*.*?\*/"
-COMMENTS = {
-    "script": (_QUOTED, _SLASHES), "c_like": (_CHARACTERS, _SLASHES), "go": (_CHARACTERS, _SLASHES), "rust": (_CHARACTERS, _SLASHES),
-    "r": (_QUOTED, r"#.*$"), "perl": (_QUOTED, r"(?<!\$)#.*$"), "ruby": (_QUOTED, r"#(?!\{).*$"), "lua": (_QUOTED, r"--.*$"),
-}
-
 GROUP = {
     "javascript": "script", "typescript": "script", "tsx": "script", "vue": "script",
     "java": "c_like", "csharp": "c_like", "kotlin": "c_like", "swift": "c_like", "php": "c_like",
@@ -105,53 +103,24 @@ def _closes(group: Column, code: Column) -> Column:
     return F.when(group.isin("lua", "ruby"), words).otherwise(F.length(code) - F.length(F.replace(code, F.lit("}"), F.lit(""))))
 
 
-def _without_comments(lines: DataFrame) -> DataFrame:
-    """``text``: a line without comments; ``code``: the same with empty strings in place of strings."""
-    group = F.col("group")
-    plain = F.col("raw")
-    for name, (quoted, comment) in COMMENTS.items():
-        plain = F.when(group == name, F.regexp_replace("raw", rf"({quoted})|{comment}", "$1")).otherwise(plain)
-    plain = F.regexp_replace(plain, r"^\s*#(?!include).*$", "")
-    blank = plain
-    for name, (quoted, _) in COMMENTS.items():
-        blank = F.when(group == name, F.regexp_replace(plain, quoted, '""')).otherwise(blank)
-    slashed = group.isin("script", "c_like", "go", "rust")
-    # A block comment over several lines: open from its start to its end.
-    step = F.when(slashed & F.col("code").contains("/*"), 1).when(slashed & F.col("code").contains("*/"), -1).otherwise(0)
-    before = Window.partitionBy("file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    staged_lines = lines.select("file_path", "group", "line", plain.alias("text"), blank.alias("code"))
-    marked = staged_lines.withColumn("_open", F.coalesce(F.sum(step).over(before), F.lit(0)) > 0)
-
-    def outside(column: str) -> Column:
-        after = F.regexp_replace(column, r"^.*?\*/", "")
-        rest = F.when(F.col("_open"), F.when(F.col(column).contains("*/"), after).otherwise("")).otherwise(F.col(column))
-        return F.when(slashed, F.regexp_replace(rest, r"/\*.*$", "")).otherwise(rest)
-
-    return marked.select("file_path", "group", "line", outside("text").alias("text"), outside("code").alias("code"))
-
-
 def extract_by_lines(files: DataFrame) -> DataFrame:
     """Records in the shape of the Python reader for (file_path, text, language)."""
     flat: list[Column] = []
     for lang, group in GROUP.items():
         flat += [F.lit(lang), F.lit(group)]
     group = F.try_element_at(F.create_map(*flat), F.col("language"))
-    lines = (
-        files.withColumn("group", group).where(F.col("group").isNotNull())
-        .select("file_path", "group", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "raw"))
-        .select("file_path", "group", (F.col("pos") + 1).alias("line"), "raw")
-    )
-    lines = _without_comments(lines)
+    lines = stage(code_lines(files.withColumn("group", group).where(F.col("group").isNotNull())), "lines")
     ups, downs = _opens(F.col("group"), F.col("code")), _closes(F.col("group"), F.col("code"))
     running = Window.partitionBy("file_path").orderBy("line")
     first = lambda pattern, column="code": F.regexp_extract(column, pattern, 1)
 
     def function_name(spec) -> Column:
         hits = [F.nullif(first(p), F.lit("")) for p in spec[1]]
-        return F.coalesce(*hits, F.lit(""))
+        found = F.coalesce(*hits, F.lit(""))
+        return F.when(F.col("calls").isNotNull() & found.isin(*S.TEST_RUNNER_NAMES), "").otherwise(found)
 
     marked = lines.select(
-        "file_path", "line", "text", "code",
+        "file_path", "group", "line", "text", "code", "calls",
         F.sum(ups - downs).over(running).alias("depth"),
         (ups - downs).alias("_net"), ups.alias("_ups"),
         _by_group(F.col("group"), lambda s: first(s[0])).alias("cls"),
@@ -161,6 +130,8 @@ def extract_by_lines(files: DataFrame) -> DataFrame:
     defs = marked.where((F.col("cls") != "") | ((F.col("fn") != "") & ~F.col("fn").isin(*_NOT_NAMES))).select(
         "file_path", "line", "before", F.when(F.col("cls") != "", "Class").otherwise("Function").alias("kind"),
         F.when(F.col("cls") != "", F.col("cls")).otherwise(F.col("fn")).alias("name"),
+        # Lua: ``function Box.area`` and ``function Box:area`` belong to the table Box.
+        F.when(F.col("group") == "lua", F.nullif(first(r"^\s*function\s+(?:\w+[.])*(\w+)[.:]\w+\s*\("), F.lit(""))).alias("table"),
         ((F.col("_ups") > 0) & (F.col("_net") == 0)).alias("one_line"),
     )
     # The block of a definition closes at the first later line back at its depth.
@@ -176,11 +147,24 @@ def extract_by_lines(files: DataFrame) -> DataFrame:
     spans = defs.join(ends, ["file_path", "line"]).withColumn(
         "last", F.when(F.col("one_line"), F.col("line")).otherwise(F.coalesce("stop", F.col("line")))
     )
+    tests = lines.where(F.col("calls").isNotNull()).select("file_path", "line", F.explode("calls").alias("c")).select(
+        "file_path", "line", "c.name", "c.last", "c.column", "c.around",
+    )
     # Innermost enclosing class and function of each line, by the latest start.
-    covered = spans.select("file_path", "kind", "name", F.col("line").alias("start"), F.explode(F.sequence("line", "last")).alias("line"))
+    at = F.struct("start", "column")
+    covered = spans.select("file_path", "kind", "name", F.lit(-1).alias("column"), "line", "last").unionByName(
+        tests.select("file_path", F.lit("Test").alias("kind"), "name", "column", "line", "last")
+    ).unionByName(
+        spans.where(F.col("table").isNotNull()).select(
+            "file_path", F.lit("Table").alias("kind"), F.col("table").alias("name"), F.lit(-1).alias("column"), "line", "last")
+    ).select("file_path", "kind", "name", "column", F.col("line").alias("start"), F.explode(F.sequence("line", "last")).alias("line"))
+    earlier = F.col("start") < F.col("line")
     inside = covered.groupBy("file_path", "line").agg(
-        F.max_by("name", F.when((F.col("kind") == "Class") & (F.col("start") < F.col("line")), F.col("start"))).alias("in_class"),
-        F.max_by("name", F.when(F.col("kind") == "Function", F.col("start"))).alias("in_func"),
+        F.coalesce(
+            F.max_by("name", F.when(F.col("kind") == "Table", at)), F.max_by("name", F.when((F.col("kind") == "Class") & earlier, at))
+        ).alias("in_class"),
+        F.max_by("name", F.when(F.col("kind").isin("Function", "Test"), at)).alias("in_func"),
+        F.max_by("name", F.when(F.col("kind").isin("Function", "Test") & earlier, at)).alias("above"),
     )
     empty = lambda t="string": F.lit(None).cast(t)
     shaped = lambda df, **c: df.select(
@@ -197,18 +181,24 @@ def extract_by_lines(files: DataFrame) -> DataFrame:
         symbols, rec=F.lit("node"), kind=F.col("kind"), name=F.col("name"), end=F.col("last").cast("int"),
         parent=F.col("in_class"), top=F.col("in_class").isNull() & (F.col("before") == 0),
     )
+    owned = lambda name: F.concat("file_path", F.lit("::"), F.when(F.col("in_class").isNotNull(), F.concat("in_class", F.lit("."), name)).otherwise(name))
+    around = F.coalesce("around", "above")
+    test_rows = shaped(
+        tests.join(inside, ["file_path", "line"]), rec=F.lit("node"), kind=F.lit("Test"), name=F.col("name"), end=F.col("last").cast("int"),
+        parent=F.col("in_class"), top=F.lit(False), source=F.when(around.isNull(), F.col("file_path")).otherwise(owned(around)),
+    )
     import_rows = shaped(
         marked.where(F.col("imp") != ""), rec=F.lit("edge"), kind=F.lit("IMPORTS_FROM"),
         source=F.col("file_path"), target=F.trim("imp"),
     )
     body = marked.join(inside, ["file_path", "line"]).where(F.col("in_func").isNotNull())
     called = body.select(
-        "file_path", "line", "in_class", "in_func", "fn",
+        "file_path", "line", "in_class", "in_func", "fn", F.col("calls").isNotNull().alias("runs"),
         F.explode(F.regexp_extract_all("code", F.lit(rf"{_WORD}\s*\("), 1)).alias("callee"),
-    ).where(~F.col("callee").isin(*_NOT_CALLS) & (F.col("callee") != F.col("fn")))
-    owner = F.when(F.col("in_class").isNotNull(), F.concat("in_class", F.lit("."), "in_func")).otherwise(F.col("in_func"))
+    ).where(~F.col("callee").isin(*_NOT_CALLS) & (F.col("callee") != F.col("fn"))
+            & ~(F.col("runs") & F.col("callee").isin(*S.TEST_RUNNER_NAMES, *MODIFIERS)))
     call_rows = shaped(
-        called, rec=F.lit("edge"), kind=F.lit("CALLS"), source=F.concat("file_path", F.lit("::"), owner), target=F.col("callee"),
+        called, rec=F.lit("edge"), kind=F.lit("CALLS"), source=owned(F.col("in_func")), target=F.col("callee"),
     )
     # ``import D, { a, b as c } from "m"`` binds D, a and c to m.
     binding = r"""^\s*import\s+(?:type\s+)?(.+?)\s+from\s+["']"""
@@ -221,4 +211,4 @@ def extract_by_lines(files: DataFrame) -> DataFrame:
         .where(F.col("name") != "")
     )
     name_rows = shaped(bound, rec=F.lit("name"), kind=F.lit("IMPORT"), name=F.col("name"), target=F.trim("imp"))
-    return file_rows.unionByName(def_rows).unionByName(import_rows).unionByName(call_rows).unionByName(name_rows)
+    return file_rows.unionByName(def_rows).unionByName(test_rows).unionByName(import_rows).unionByName(call_rows).unionByName(name_rows)

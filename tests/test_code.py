@@ -224,7 +224,7 @@ def test_strings_and_comments_hold_no_calls(spark):
 
 def test_block_words(spark):
     nodes, calls = lines_of(spark, "m.lua", "local M = {}\nfunction M.area(x)\n  if x then\n    grow(x) -- shrink(x)\n  end\nend\nlocal function other()\n  stop()\nend\n", "lua")
-    assert {"m.lua", "m.lua::area", "m.lua::other"} <= nodes and {("m.lua::area", "grow"), ("m.lua::other", "stop")} <= calls
+    assert {"m.lua", "m.lua::M.area", "m.lua::other"} <= nodes and {("m.lua::M.area", "grow"), ("m.lua::other", "stop")} <= calls
     nodes, calls = lines_of(spark, "m.rb", "class Shape\n  def area(x)\n    grow(x) if x\n  end\n  def other\n    [1].each do |y|\n      stop(y)\n    end\n  end\nend\n", "ruby")
     assert {"m.rb", "m.rb::Shape", "m.rb::Shape.area", "m.rb::Shape.other"} <= nodes and {("m.rb::Shape.area", "grow"), ("m.rb::Shape.other", "stop")} <= calls
     nodes, calls = lines_of(spark, "m.pl", "package Shape;\nsub area {\n  grow(1); # shrink(1)\n}\n", "perl")
@@ -234,3 +234,22 @@ def test_block_words(spark):
 def test_every_file_has_a_node(spark):
     nodes, _ = lines_of(spark, "x.sh", "echo hi\n", "bash")
     assert nodes == {"x.sh"}
+
+
+def test_broken_python_keeps_what_reads(spark):
+    text = "def a(): b()\ndef b(:\n    c()\nclass K(Base, metaclass=M):\n    async def go(self):\n        def inner():\n            x()\n        y()\nz()\n"
+    g = PL.build_from_files(frame(spark, [("b.py", text, "python"), ("ok.py", "def f():\n    pass\n", "python")]))
+    n = nodes(g)
+    assert n["b.py"]["extra"] == {"reader": "lines"} and n["ok.py"]["extra"] is None
+    assert (n["b.py::K"]["line_end"], n["b.py::K.go"]["line_end"], n["b.py::K.inner"]["line_end"]) == (8, 8, 7)
+    assert edges(g, "CALLS") == {("b.py::a", "b.py::b"), ("b.py::b", "c"), ("b.py::K.inner", "x"), ("b.py::K.go", "y")}
+    assert edges(g, "INHERITS") == {("b.py::K", "Base")}
+
+
+def test_runner_calls_in_test_files_only(spark):
+    text = "describe('a  b', () => {\n  function it(x) {\n    help(x);\n  }\n  obj.test(1);\n  afterAll(function () { stop(); });\n});\n"
+    for path in ("x.test.ts", "x.ts"):
+        n = nodes(PL.build_from_files(frame(spark, [(path, text, "typescript")])))
+        got = {q for q, r in n.items() if r["kind"] == "Test" and "@L" in q}
+        assert got == ({f"{path}::describe:a b@L1", f"{path}::afterAll@L6"} if path == "x.test.ts" else set())
+        assert f"{path}::it" in n
