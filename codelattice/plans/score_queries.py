@@ -494,10 +494,11 @@ def flow_recall(w: Workspace) -> DataFrame:
 WITH bw AS MATERIALIZED (SELECT source, target FROM edges UNION SELECT target, source FROM edges),
 r(q, d) AS (SELECT qualified_name, 0 FROM nodes WHERE file_path IN (SELECT file_path FROM changed_files) UNION SELECT bw.target, r.d + 1 FROM r JOIN bw ON bw.source = r.q WHERE r.d < 6),
 near AS MATERIALIZED (SELECT q, min(d) AS depth FROM r GROUP BY q),
-named AS MATERIALIZED (SELECT n.qualified_name, near.depth FROM near JOIN nodes n ON n.qualified_name = near.q)
-SELECT * FROM named WHERE depth = 0 UNION ALL (SELECT * FROM named WHERE depth > 0 ORDER BY depth, qualified_name LIMIT 1000)"""))
+named AS MATERIALIZED (SELECT n.qualified_name, near.depth FROM near JOIN nodes n ON n.qualified_name = near.q),
+shown AS (SELECT * FROM named WHERE depth = 0 UNION ALL (SELECT * FROM named WHERE depth > 0 ORDER BY depth, qualified_name LIMIT 1000))
+SELECT shown.*, total AS total_impacted, total > 1000 AS truncated FROM shown, (SELECT count(*) FILTER (depth > 0) AS total FROM named)"""))
 def impact_radius_stop_on_size(w: Workspace) -> DataFrame:
-    return T.impact_radius(w.graph, w.changed_files, 6, 1000).select("qualified_name", "depth")
+    return T.impact_radius(w.graph, w.changed_files, 6, 1000).select("qualified_name", "depth", "total_impacted", "truncated")
 
 
 @register("communities_refresh", graph("SELECT community_id, qualified_name FROM file_members"))

@@ -302,11 +302,14 @@ def source_lines(w: Workspace) -> DataFrame:
     return w.table("documents").select("doc_id", line_slice(F.col("text"), F.lit(2), F.lit(4)).alias("chunk"))
 
 
-@register("docs_sections", "SELECT doc_id, sha256(trim(text, chr(32))) AS body_hash, length(trim(text, chr(32))) AS chars FROM documents WHERE NOT contains(lower(text), '</section>')")
+@register("docs_sections", """
+WITH d AS (SELECT doc_id, trim(regexp_extract(text || '</section>', '(?s)^(.*?)</[sS][eE][cC][tT][iI][oO][nN]>', 1), chr(32)) AS body FROM documents)
+SELECT doc_id, sha256(body) AS body_hash, length(body) AS chars FROM d""")
 def docs_sections(w: Workspace) -> DataFrame:
+    """A section of a page around every document; it ends at its first closing tag, also one inside the text."""
     page = _c('<section name="other">no</section>\n<SECTION NAME="usage">', F.col("text"), "</section><section name=\"end\">x</section>")
     body = doc_section(page, "usage")
-    return w.table("documents").where(~F.lower("text").contains("</section>")).select(
+    return w.table("documents").select(
         "doc_id", F.sha2(body, 256).alias("body_hash"), F.length(body).cast("bigint").alias("chars"))
 
 
