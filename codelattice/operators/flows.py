@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelattice import schema as S
@@ -10,9 +10,9 @@ from codelattice.functions.numbers import capped, rounded, unit
 from codelattice.functions.text import contains_any, sanitize_name
 from codelattice.model import CodeGraph
 from codelattice.operators.lookup import _cut
-from codelattice.operators.ordering import rank_rows
 from codelattice.operators.relations import entry_points
 from codelattice.operators.traversal import trace
+from codelattice.session import stage
 
 SORTS = {"criticality": True, "depth": True, "node_count": True, "file_count": True, "name": False}
 
@@ -26,7 +26,7 @@ def trace_flows(
     g: CodeGraph, max_depth: int = S.FLOW_MAX_DEPTH, roots: DataFrame | None = None,
     decorators: bool = False,
 ) -> DataFrame:
-    """Rows (root, node, depth, trail) of every flow with at least two nodes."""
+    """Rows of ``trace`` for every flow with at least two nodes."""
     starts = roots if roots is not None else entry_points(g, decorators)
     calls = resolvable_calls(g)
     # An entry without a resolvable call is a one-node flow, which is dropped.
@@ -37,8 +37,21 @@ def trace_flows(
 
 
 def with_positions(members: DataFrame) -> DataFrame:
-    """Discovery index of each node in its flow; exact for flows of any size."""
-    return rank_rows(members, ["root"], ["depth", "trail"], "position")
+    """Discovery index of each node in its flow; exact for flows of any size.
+
+    Ranks of a root and depth follow each other inside a range of the walk (the
+    upper bits of a rank), so only the ranges' sizes are summed per root, and
+    no root's members meet in one task.
+    """
+    ranges = ["root", "depth", "range"]
+    tagged = members.withColumn("range", F.shiftright("rank", 33))
+    before = Window.partitionBy("root").orderBy("depth", "range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tagged.groupBy(*ranges).agg(F.min("rank").alias("first"), F.count("*").alias("n")).select(
+        *ranges, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
+    )
+    return tagged.join(starts, ranges).withColumn("position", F.col("rank") + F.col("shift")).select(
+        *members.columns, "position"
+    )
 
 
 def node_features(g: CodeGraph, keywords: tuple[str, ...] = S.SECURITY_KEYWORDS,
@@ -123,7 +136,7 @@ def flow_steps(members: DataFrame, g: CodeGraph, entry_point: str | None = None)
     info = g.nodes.select(
         F.col("qualified_name").alias("node"), "name", "kind", "file_path", "line_start", "line_end"
     )
-    return with_positions(chosen).drop("trail").join(info, "node")
+    return with_positions(chosen).drop("rank", "parent", "line").join(info, "node")
 
 
 def flow_counts(members: DataFrame) -> DataFrame:
@@ -163,21 +176,28 @@ def flow_snapshots(positioned: DataFrame, g: CodeGraph) -> DataFrame:
 def refresh_flows(
     g: CodeGraph, members: DataFrame, changed_files: DataFrame, max_depth: int = S.FLOW_MAX_DEPTH
 ) -> DataFrame:
-    """Members after a change: untouched flows kept, touched or changed roots traced again.
+    """Members after a change, the same as those of a full walk.
 
-    Flows are keyed by qualified name, so re-stored nodes still match.
+    A flow is kept if its root is still an entry and it passes no node of a
+    changed file, no node that is gone and no caller of a node in a changed
+    file (whose call may only now be resolved). All other entries, among them
+    those that the change made entries, are walked again. Flows are keyed by
+    qualified name, so re-stored nodes still match.
     """
     changed = changed_files.select("file_path").distinct()
-    in_changed = g.nodes.join(changed, "file_path", "left_semi").select("qualified_name")
-    gone = members.select(F.col("node").alias("qualified_name")).distinct().join(
-        g.nodes.select("qualified_name"), "qualified_name", "left_anti"
+    in_changed = g.nodes.join(changed, "file_path", "left_semi").select(F.col("qualified_name").alias("node"))
+    gone = members.select("node").distinct().join(
+        g.nodes.select(F.col("qualified_name").alias("node")), "node", "left_anti"
     )
-    touched_nodes = in_changed.unionByName(gone).withColumnRenamed("qualified_name", "node")
+    callers = g.edges_of("CALLS").join(
+        in_changed.withColumnRenamed("node", "target"), "target", "left_semi"
+    ).select(F.col("source").alias("node"))
+    touched_nodes = in_changed.unionByName(gone).unionByName(callers).distinct()
+    entries = stage(entry_points(g).select("qualified_name").distinct(), "entries")
     touched = members.join(touched_nodes, "node", "left_semi").select("root").distinct()
-    kept = members.join(touched, "root", "left_anti")
-    again = entry_points(g).join(
-        touched.select(F.col("root").alias("qualified_name"))
-        .unionByName(in_changed).distinct(), "qualified_name", "left_semi"
+    kept = members.join(touched, "root", "left_anti").join(
+        entries.withColumnRenamed("qualified_name", "root"), "root", "left_semi"
     )
-    fresh = trace_flows(g, max_depth, roots=again)
-    return kept.unionByName(fresh)
+    settled = members.select("root").distinct().join(touched, "root", "left_anti")
+    again = entries.join(settled.withColumnRenamed("root", "qualified_name"), "qualified_name", "left_anti")
+    return kept.unionByName(trace_flows(g, max_depth, roots=again))

@@ -3,7 +3,8 @@
 One job per level: the frontier meets the edges (bucketed on their source, so
 they are shuffled once for all levels), results are reduced per key before and
 after the shuffle, visited names are removed by an anti-join and the level is
-written to the shared folder.
+written to the shared folder. Walks that need an order or a path keep one
+pointer per row to the row before it; paths are rebuilt only where asked.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 from codelattice import schema as S
 from codelattice.model import CodeGraph
 from codelattice.operators.lookup import top_per_key
-from codelattice.session import Levels, cut, drop_table, stage_bucketed
+from codelattice.session import Levels, cut, drop_table, stage, stage_bucketed
+
+# A source with more links than this is spread over several buckets.
+HUB_LINKS = 100_000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -29,22 +33,68 @@ def both_ways(edges: DataFrame) -> DataFrame:
     )
 
 
-def reach(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+class StagedLinks:
+    """Links staged once in buckets by source, for many joins on it.
+
+    The links of a source are one bucket and thus one task of every join. The
+    out-degrees are measured first; sources above ``hub_links`` are dealt over
+    salts by target, and only rows that stand on such a source are repeated,
+    once per salt. There are at most links / ``hub_links`` hubs.
+    """
+
+    def __init__(self, links: DataFrame, name: str, hub_links: int = HUB_LINKS):
+        hubs = stage(
+            links.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") > hub_links)
+            .select("source", F.ceil(F.col("n") / hub_links).cast("int").alias("salts")),
+            "hubs",
+        )
+        self.hubs = None if hubs.isEmpty() else hubs
+        self.keys = ["source"]
+        if self.hubs is not None:
+            self.keys = ["source", "salt"]
+            salt = F.pmod(F.xxhash64("target"), F.coalesce("salts", F.lit(1))).cast("int")
+            links = links.join(self.hubs, "source", "left").withColumn("salt", salt).drop("salts")
+        self.rows, self.table = stage_bucketed(links, name, *self.keys)
+
+    def follow(self, frontier: DataFrame, node: str) -> DataFrame:
+        """Frontier rows, their ``node`` as ``source``, beside every link that leaves it."""
+        keyed = frontier.withColumnRenamed(node, "source")
+        if self.hubs is not None:
+            salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+            keyed = keyed.join(self.hubs, "source", "left").withColumn("salt", F.explode(salts)).drop("salts")
+        return keyed.join(self.rows, self.keys)
+
+    def drop(self) -> None:
+        drop_table(self.rows.sparkSession, self.table)
+
+
+def ranked(level: DataFrame, *order: str) -> DataFrame:
+    """A level with ``rank``, a number that grows in the given order.
+
+    Rows are cut into ranges of the order, so no root is bound to one task.
+    Ranks have gaps between ranges; inside one they follow each other.
+    """
+    return level.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "rank", F.monotonically_increasing_id()
+    )
+
+
+def reach(seeds: DataFrame, edges: DataFrame, max_depth: int, hub_links: int = HUB_LINKS) -> DataFrame:
     """Names within ``max_depth`` hops of the seeds with their least depth.
 
     ``seeds`` has ``qualified_name``; ``edges`` has ``source`` and ``target``.
     """
     spark = seeds.sparkSession
-    links, table = edges.select("source", "target"), None
-    if max_depth > 2:
-        links, table = stage_bucketed(links.distinct(), "links", "source")
+    links = edges.select("source", "target")
+    staged = StagedLinks(links.distinct(), "links", hub_links) if max_depth > 2 else None
     levels = Levels(spark, "reach")
     frontier = levels.add(seeds.select("qualified_name").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
+        here = frontier.select("qualified_name")
+        met = staged.follow(here, "qualified_name") if staged else here.withColumnRenamed(
+            "qualified_name", "source").join(links, "source")
         step = (
-            frontier.select(F.col("qualified_name").alias("source"))
-            .join(links, "source")
-            .select(F.col("target").alias("qualified_name"))
+            met.select(F.col("target").alias("qualified_name"))
             .distinct()
             .join(levels.all().select("qualified_name"), "qualified_name", "left_anti")
             .withColumn("depth", F.lit(depth))
@@ -52,8 +102,8 @@ def reach(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
         frontier = levels.add(step)
         if levels.last_rows == 0:
             break
-    if table:
-        drop_table(spark, table)
+    if staged:
+        staged.drop()
     return levels.all()
 
 
@@ -108,40 +158,79 @@ def impact_files(impact: DataFrame) -> DataFrame:
     return impact.where(F.col("role") == "impacted").select("file_path").distinct()
 
 
-def trace(roots: DataFrame, calls: DataFrame, max_depth: int = S.FLOW_MAX_DEPTH) -> DataFrame:
-    """Multi-source forward walk: rows (root, node, depth, trail).
-
-    All roots advance together. ``trail`` is the chain of (line, target) steps
-    of the first discovery; within a depth its order is the discovery order.
-    ``roots`` has ``root``; ``calls`` has ``source``, ``target``, ``line``.
+def trace(
+    roots: DataFrame, calls: DataFrame, max_depth: int = S.FLOW_MAX_DEPTH,
+    toward: DataFrame | None = None, hub_links: int = HUB_LINKS,
+) -> DataFrame:
+    """Multi-source forward walk: rows (root, node, depth, rank, parent, line).
+
+    All roots advance together. Within a root and depth ``rank`` grows in the
+    order of discovery: by the parent's rank, then line, then name. ``parent``
+    is the rank of the row one level up through which the node was first found,
+    ``line`` that of the call. ``roots`` has ``root``; ``calls`` has ``source``,
+    ``target``, ``line``. ``toward`` (node, left) keeps the walk on nodes that
+    have a goal at most ``left`` hops away, as far as hops are left.
     """
     spark = calls.sparkSession
-    steps, table = stage_bucketed(
-        calls.groupBy("source", "target").agg(F.min("line").alias("line")), "steps", "source"
-    )
+    steps = calls.groupBy("source", "target").agg(F.min("line").alias("line"))
+    if toward is not None:
+        steps = steps.join(toward.select(F.col("node").alias("target"), "left"), "target")
+    links = StagedLinks(steps, "steps", hub_links)
     levels = Levels(spark, "trace")
     frontier = levels.add(
         roots.select("root").distinct().select(
-            "root", F.col("root").alias("node"), F.lit(0).alias("depth"),
-            F.expr("cast(array() as array<struct<line:int,target:string>>)").alias("trail"),
+            "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("rank"),
+            F.lit(None).cast("bigint").alias("parent"), F.lit(None).cast("int").alias("line"),
         )
     )
     for depth in range(1, max_depth + 1):
+        met = links.follow(frontier.select("root", "node", F.col("rank").alias("parent")), "node")
+        if toward is not None:
+            met = met.where(F.col("left") <= max_depth - depth)
         found = (
-            frontier.join(steps, frontier["node"] == steps["source"])
-            .select("root", F.col("target").alias("node"),
-                    F.concat("trail", F.array(F.struct("line", "target"))).alias("trail"))
-            .groupBy("root", "node").agg(F.min("trail").alias("trail"))
+            met.groupBy("root", F.col("target").alias("node"))
+            .agg(F.min(F.struct("parent", "line")).alias("first"))
             .join(levels.all().select("root", "node"), ["root", "node"], "left_anti")
-            .select("root", "node", F.lit(depth).alias("depth"), "trail")
+            .select("root", "node", F.lit(depth).alias("depth"), "first.parent", "first.line")
+        )
+        frontier = levels.add(
+            ranked(found, "root", "parent", "line", "node").select("root", "node", "depth", "rank", "parent", "line")
         )
-        frontier = levels.add(found)
         if levels.last_rows == 0:
             break
-    drop_table(spark, table)
+    links.drop()
     return levels.all()
 
 
+def paths(members: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Rows (root, node, depth, path): the names from root to node, both included.
+
+    Pointers to the row before are doubled, so a chain of n names takes log2(n)
+    joins. ``wanted`` (root, node) asks for some members only.
+    """
+    rows = members
+    if wanted is not None:
+        rows = members.join(wanted.select("root").distinct(), "root", "left_semi")
+    top = rows.agg(F.max("depth").alias("d")).first()["d"] or 0
+    chains = rows.select(
+        "root", "node", "depth", "rank",
+        (F.col("depth") - 1).alias("up_depth"), F.col("parent").alias("up"), F.array("node").alias("path"),
+    )
+    for _ in range(top.bit_length()):
+        above = chains.select(
+            "root", F.col("depth").alias("up_depth"), F.col("rank").alias("up"),
+            F.col("up_depth").alias("next_depth"), F.col("up").alias("next_up"), F.col("path").alias("head"),
+        )
+        joined = chains.join(above, ["root", "up_depth", "up"], "left")
+        chains = stage(joined.select(
+            "root", "node", "depth", "rank",
+            F.col("next_depth").alias("up_depth"), F.col("next_up").alias("up"),
+            F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path"),
+        ), "chains")
+    out = chains.select("root", "node", "depth", "path")
+    return out if wanted is None else out.join(wanted.select("root", "node").distinct(), ["root", "node"], "left_semi")
+
+
 def file_links(g: CodeGraph) -> DataFrame:
     """File-level dependencies, used file → using file."""
     links = g.edges_of("CALLS", "IMPORTS_FROM", "INHERITS", "IMPLEMENTS")
@@ -171,29 +260,29 @@ def call_path(g: CodeGraph, start: str, goal: str, max_depth: int = 8) -> DataFr
     The start text is matched as a substring of callers; later steps follow
     exact names. No row means no path.
     """
-    spark = g.spark
-    calls, table = stage_bucketed(g.edges_of("CALLS").select("source", "target").distinct(), "calls", "source")
-    levels = Levels(spark, "path")
-    first = calls.where((F.col("source") == start) | F.lower("source").contains(start.lower()))
-    frontier = levels.add(
-        first.select("target").distinct().where(F.col("target") != start)
-        .select(F.col("target").alias("node"), F.array(F.lit(start), F.col("target")).alias("path"))
-    )
+    links = StagedLinks(g.edges_of("CALLS").select("source", "target").distinct(), "calls")
+    levels = Levels(g.spark, "path")
+    first = links.rows.where((F.col("source") == start) | F.lower("source").contains(start.lower()))
+    found = first.select(F.col("target").alias("node")).distinct().withColumn("parent", F.lit(0).cast("bigint"))
+    kept = []
     for hop in range(1, max_depth + 1):
-        hits = frontier.where(F.col("node").contains(goal))
+        level = found.where(F.col("node") != start)
+        kept.append(levels.add(ranked(level, "parent", "node").select("node", "rank", "parent")))
+        hits = kept[-1].where(F.col("node").contains(goal))
         if levels.last_rows == 0 or hop == max_depth or not hits.isEmpty():
             break
-        step = (
-            frontier.join(calls, frontier["node"] == calls["source"])
-            .select(F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
-            .where(F.col("node") != start)
-            .groupBy("node").agg(F.min("path").alias("path"))
+        found = (
+            links.follow(kept[-1].select("node", F.col("rank").alias("parent")), "node")
+            .groupBy(F.col("target").alias("node")).agg(F.min("parent").alias("parent"))
             .join(levels.all().select("node"), "node", "left_anti")
         )
-        frontier = levels.add(step)
-    drop_table(spark, table)
-    best = frontier.where(F.col("node").contains(goal)).orderBy("path").limit(1)
-    return best.select("path", (F.size("path") - 1).alias("hops"))
+    links.drop()
+    chain = hits.orderBy("rank").limit(1).select("parent", F.array("node").alias("path"))
+    for level in reversed(kept[:-1]):  # one row, followed back through its pointers
+        above = level.select(F.col("rank").alias("parent"), F.col("parent").alias("up"), "node")
+        chain = chain.join(above, "parent").select(
+            F.col("up").alias("parent"), F.concat(F.array("node"), "path").alias("path"))
+    return chain.select(F.concat(F.array(F.lit(start)), "path").alias("path"), F.size("path").alias("hops"))
 
 
 def neighborhood(g: CodeGraph, root: str, depth: int = 1, fan: int | None = None) -> DataFrame:

@@ -94,15 +94,14 @@ def flow_snapshots(w: Workspace) -> DataFrame:
 
 @register("flow_refresh", flow("SELECT root, node, depth FROM members"))
 def flow_refresh(w: Workspace) -> DataFrame:
-    return FL.refresh_flows(w.graph, w.flow_members.drop("position"), w.changed_files).select("root", "node", "depth")
+    return FL.refresh_flows(w.graph, FL.trace_flows(w.graph_before_change), w.changed_files).select("root", "node", "depth")
 
 
 @register("call_paths", flow("""
 SELECT root, node, depth AS hops, array_to_string(list_prepend(root, list_transform(trail, lambda t: substr(t, 10))), ' > ') AS path FROM members WHERE depth > 0"""))
 def call_paths(w: Workspace) -> DataFrame:
-    return w.flow_members.where("depth > 0").select(
-        "root", "node", F.col("depth").alias("hops"),
-        F.array_join(F.concat(F.array("root"), F.transform("trail", lambda s: s["target"])), " > ").alias("path"))
+    return T.paths(w.flow_members).where("depth > 0").select(
+        "root", "node", F.col("depth").alias("hops"), F.array_join("path", " > ").alias("path"))
 
 
 @register("trace_path", flow("""

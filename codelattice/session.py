@@ -66,8 +66,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
-    """A staged table bucketed and sorted on a key, for many joins on that key.
+def stage_bucketed(df: DataFrame, name: str, *keys: str) -> tuple[DataFrame, str]:
+    """A staged table bucketed and sorted on its keys, for many joins on them.
 
     Joins read it without another shuffle or sort. Returns the table and its
     catalogue name, to be dropped with ``drop_table`` once the loop is over
@@ -78,7 +78,7 @@ def stage_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
     table = f"codelattice_{name}_{uuid.uuid4().hex}"
     path = f"{stage_root(spark)}/{table}"
     (
-        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
         .option("path", path).format("parquet").saveAsTable(table)
     )
     return spark.table(table), table

@@ -225,6 +225,19 @@ class Workspace:
             .distinct()
         )
 
+    @cached_property
+    def graph_before_change(self) -> CodeGraph:
+        """The graph as it was: in changed files some symbols and calls did not exist yet, some calls were there that are gone."""
+        changed = self.changed_files.withColumn("changed", F.lit(True))
+        nodes = self.graph.nodes.join(changed, "file_path", "left").where(
+            F.col("changed").isNull() | (F.col("kind") == "File") | (F.col("line_start") % 4 != 1))
+        edges = self.graph.edges.join(changed, "file_path", "left")
+        call = F.col("kind") == "CALLS"
+        old = edges.where(F.col("changed").isNull() | ~call | (F.col("line") % 2 == 0)).withColumn(
+            "kind", F.when(F.col("changed") & (F.col("kind") == "REFERENCES") & (F.col("line") % 5 == 0), "CALLS")
+            .otherwise(F.col("kind")))
+        return CodeGraph(nodes.select(self.graph.nodes.columns), old.select(self.graph.edges.columns))
+
     # Derived tables, stored once like the graph itself.
 
     @cached_property

@@ -51,7 +51,7 @@ def test_reach(spark, seed, depth):
 
 
 @pytest.mark.parametrize("seed", [4, 5])
-def test_flow_order(spark, seed):
+def test_flow_order_and_paths(spark, seed):
     """Positions equal the visit order of a queue that takes edges by (line, target)."""
     g, names, edges = random_graph(spark, seed)
     calls = {}
@@ -59,7 +59,7 @@ def test_flow_order(spark, seed):
         if kind == "CALLS" and t in names:
             calls.setdefault(s, []).append((line, t))
     called = {t for k, _, t, _, _ in edges if k == "CALLS"}
-    want = {}
+    want, chains = {}, {}
     for root in names:
         if root in called:
             continue
@@ -72,13 +72,86 @@ def test_flow_order(spark, seed):
                 if t not in seen:
                     seen.append(t)
                     queue.append((t, d + 1))
+                    chains[root, t] = [*chains.get((root, q), [root]), t]
         if len(seen) > 1:
             want[root] = seen
-    rows = FL.with_positions(FL.trace_flows(g)).collect()
+    members = FL.trace_flows(g)
+    rows = FL.with_positions(members).collect()
     got = {}
     for r in sorted(rows, key=lambda r: (r["root"], r["position"])):
-        got.setdefault(r["root"], []).append(r["node"])
+        assert r["position"] == len(got.setdefault(r["root"], []))
+        got[r["root"]].append(r["node"])
     assert got == want
+    found = {(r["root"], r["node"]): r["path"] for r in T.paths(members).collect() if r["depth"]}
+    assert found == chains
+    some = dict(sorted(chains.items())[::3])
+    asked = spark.createDataFrame(list(some), "root string, node string")
+    assert {(r["root"], r["node"]): r["path"] for r in T.paths(members, asked).collect()} == some
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_refreshed_flows_equal_a_full_walk(spark, seed):
+    """A change adds and removes symbols and calls; untouched flows are not walked again."""
+    before, names, edges = random_graph(spark, seed, n=60, m=80)
+    rng = random.Random(seed + 100)
+    kept_names = [q for q in names if not (q.startswith("f1.py") and rng.random() < 0.4)]
+    new_names = [f"f1.py::new{i}" for i in range(4)]
+    nodes = [("Function", q.split("::")[1], q, q.split("::")[0], 1, 3, "python", None, None, None, False, None, None)
+             for q in kept_names + new_names]
+    # Callers name symbols that do not exist yet, the changed file calls others than before.
+    early = [("CALLS", rng.choice([q for q in names if "f1.py" not in q]), q, "f0.py", 7) for q in new_names]
+    rest = [e for e in edges if not e[1].startswith("f1.py")]
+    fresh = sorted({("CALLS", rng.choice(new_names + [q for q in kept_names if "f1.py" in q]), rng.choice(names), "f1.py", rng.randint(1, 50))
+                    for _ in range(12)})
+    old = CodeGraph(before.nodes, spark.createDataFrame(edges + early, S.EDGE_SCHEMA))
+    new = CodeGraph(spark.createDataFrame(nodes, S.NODE_SCHEMA), spark.createDataFrame(rest + early + fresh, S.EDGE_SCHEMA))
+    members = FL.trace_flows(old)
+    changed = spark.createDataFrame([("f1.py",)], "file_path string")
+    key = lambda df: sorted((r["root"], r["node"], r["depth"], r["position"]) for r in FL.with_positions(df).collect())
+    full = key(FL.trace_flows(new))
+    assert key(FL.refresh_flows(new, members, changed)) == full
+    assert full != key(members)
+
+
+def test_hub_links_lie_in_several_buckets(spark):
+    """Half of all calls leave one node: its links are dealt out, the walk is the same."""
+    calls = [("hub", f"n{i}", i) for i in range(300)] + [(f"n{i}", f"n{(i * 7 + 1) % 300}", 5) for i in range(300)]
+    rows = spark.createDataFrame(calls, "source string, target string, line int")
+    links = T.StagedLinks(rows, "test", hub_links=50)
+    assert links.rows.count() == 600
+    buckets = links.rows.where("source = 'hub'").select(F.input_file_name()).distinct().count()
+    assert buckets > 1
+    one = spark.createDataFrame([("hub",), ("n3",), ("none",)], "node string")
+    assert links.follow(one, "node").count() == 301
+    assert "Exchange hashpartitioning(source" not in links.rows.groupBy("source", "salt").count()._jdf.queryExecution().toString()
+    links.drop()
+    roots = spark.createDataFrame([("hub",), ("n1",)], "root string")
+    plain, dealt = T.trace(roots, rows, 5), T.trace(roots, rows, 5, hub_links=50)
+    key = lambda df: sorted((r["root"], r["position"], r["node"], r["depth"]) for r in FL.with_positions(df).collect())
+    assert key(plain) == key(dealt) and len(key(dealt)) > 301
+    seeds = spark.createDataFrame([("n5",)], "qualified_name string")
+    both = lambda df: sorted(map(tuple, df.collect()))
+    assert both(T.reach(seeds, rows, 4)) == both(T.reach(seeds, rows, 4, hub_links=50))
+
+
+def test_call_path_is_the_first_of_the_shortest(spark):
+    g, names, edges = random_graph(spark, 9, n=50, m=160)
+    calls = sorted({(s, t) for k, s, t, _, _ in edges if k == "CALLS"})
+    for start, goal in [(names[0], names[7]), (names[3], names[21]), (names[5], "outside2")]:
+        chains, seen, want = [[start]], {start}, None
+        for _ in range(8):
+            found = {}
+            for c in chains:
+                for s, t in calls:
+                    if (start.lower() in s.lower() if len(c) == 1 else s == c[-1]) and t not in seen:
+                        found[t] = min(found.get(t, [*c, t]), [*c, t])
+            chains, seen = list(found.values()), seen | set(found)
+            hits = [c for c in chains if goal in c[-1]]
+            if hits:
+                want = min(hits)
+                break
+        got = T.call_path(g, start, goal).collect()
+        assert [(r["path"], r["hops"]) for r in got] == ([(want, len(want) - 1)] if want else [])
 
 
 def test_empty_and_missing(spark):
