@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from codelattice.functions.findings import severity_order
 from codelattice.functions.paths import rule_language_of
 from codelattice.model import CodeGraph
-from codelattice.operators.traversal import trace
+from codelattice.operators.class_reach import class_reach, hops_left
+from codelattice.operators.traversal import paths, trace
+from codelattice.session import stage
 
 
 def last_wins(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
@@ -84,15 +86,20 @@ def detect_signals(
     """Rule classes whose SINK patterns occur in names reachable from each entry.
 
     One row per (entry, class, matched sink name), with the language the entry
-    was matched under; nothing is gathered per entry.
+    was matched under. Classes are passed against the calls first; the walk
+    starts only at entries that reach one and stays on ways to sinks.
     """
     calls = g.edges_of("CALLS").select("source", "target", "line")
-    roots = entries.select(F.col("qualified_name").alias("root"), rule_language_of(F.col("file_path")).alias("lang"))
-    reached = trace(roots, calls, max_depth).where(F.col("depth") > 0).select("root", "node")
-    names = reached.select("node").distinct()
+    names = calls.select(F.col("target").alias("node")).distinct()
     sinks = signatures_by(signatures, "SINK").select("qualified_pattern", "language", "vuln_class_id")
     # Substrings of the last parts are substrings of the full name as well.
-    matched = contains_join(names, "node", sinks, "qualified_pattern")
+    matched = stage(contains_join(names, "node", sinks, "qualified_pattern"), "matched_sinks")
+    targets = matched.select("node", F.col("vuln_class_id").alias("key"))
+    near = class_reach(calls, targets, max_depth=max_depth)
+    roots = entries.select(
+        F.col("qualified_name").alias("root"), rule_language_of(F.col("file_path")).alias("lang")
+    ).join(near.select(F.col("node").alias("root")), "root", "left_semi")
+    reached = trace(roots, calls, max_depth, hops_left(near, targets)).where(F.col("depth") > 0).select("root", "node")
     found = (
         reached.join(matched, "node").join(roots, "root")
         .where(F.col("lang").isNull() | (F.col("language") == "any") | (F.col("language") == F.col("lang")))
@@ -144,31 +151,58 @@ def signal_prompt(signals: DataFrame, signatures: DataFrame, shown_patterns: int
     )
 
 
+def _matching(g: CodeGraph, patterns: DataFrame, key: str) -> DataFrame:
+    """Called names with the keys of the patterns they hold."""
+    names = g.edges_of("CALLS").select(F.col("target").alias("node")).distinct()
+    return stage(
+        contains_join(names, "node", patterns, "pattern").select("node", F.col(key).alias("key")).distinct(), "matching"
+    )
+
+
+def sink_states(g: CodeGraph, entries: DataFrame, signatures: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Per entry and reachable rule class: ``open`` or ``guarded``, and the hops to the nearest sink.
+
+    Guarded means that every way to a sink of the class calls a sanitizer of
+    the same class. Patterns are taken whatever their language.
+    """
+    named = signatures.select("sig_type", F.col("qualified_pattern").alias("pattern"), "vuln_class_id")
+    states = class_reach(
+        g.edges_of("CALLS"), _matching(g, signatures_by(named, "SINK"), "vuln_class_id"),
+        _matching(g, signatures_by(named, "SANITIZER"), "vuln_class_id"), max_depth,
+    )
+    return entries.select(F.col("qualified_name").alias("node")).distinct().join(states, "node").select(
+        F.col("node").alias("entry"), F.col("key").alias("vuln_class_id"), F.col("depth").alias("hops"),
+        F.col("open_depth").alias("open_hops"),
+        F.when(F.col("open_depth").isNull(), "guarded").otherwise("open").alias("state"),
+    )
+
+
 def taint_paths(g: CodeGraph, entries: DataFrame, sinks: DataFrame, sanitizers: DataFrame,
                 max_depth: int = 15) -> DataFrame:
-    """Entry → sink chains that pass no sanitizer (names given as patterns)."""
+    """Entry → sink chains that call no sanitizer (names given as patterns).
+
+    Sinks are sought against the calls; only entries that reach one are walked,
+    only over nodes with a sink in reach, and paths are built for the hits.
+    """
     calls = g.edges_of("CALLS").select("source", "target", "line")
-    names = calls.select(F.col("target").alias("node")).distinct()
-    clean = contains_join(names, "node", sanitizers, "pattern").select(F.col("node").alias("target")).distinct()
-    open_calls = calls.join(clean, "target", "left_anti")
-    roots = entries.select(F.col("qualified_name").alias("root"))
-    reached = trace(roots, open_calls, max_depth).where(F.col("depth") > 0)
-    hot = contains_join(names, "node", sinks, "pattern").select("node").distinct()
-    return reached.join(hot, "node", "left_semi").select(
-        F.col("root").alias("entry"), F.col("node").alias("sink"), "depth",
-        F.concat(F.array("root"), F.transform("trail", lambda s: s["target"])).alias("path"),
-    )
+    clean = _matching(g, sanitizers, "pattern").select(F.col("node").alias("target")).distinct()
+    open_calls = stage(calls.join(clean, "target", "left_anti"), "open_calls")
+    hot = _matching(g, sinks.withColumn("kind", F.lit("sink")), "kind")
+    near = class_reach(open_calls, hot, max_depth=max_depth)
+    roots = entries.select(F.col("qualified_name").alias("root")).join(
+        near.select(F.col("node").alias("root")), "root", "left_semi")
+    reached = trace(roots, open_calls, max_depth, hops_left(near, hot))
+    hits = reached.where(F.col("depth") > 0).join(hot, "node", "left_semi").select("root", "node")
+    return paths(reached, hits).select(F.col("root").alias("entry"), F.col("node").alias("sink"), "depth", "path")
 
 
 def missing_checks(g: CodeGraph, entries: DataFrame, checks: DataFrame, max_depth: int = 15) -> DataFrame:
-    """Entries whose call chain never reaches a name with the check's pattern."""
-    calls = g.edges_of("CALLS").select("source", "target", "line")
-    roots = entries.select(F.col("qualified_name").alias("root"))
-    reached = trace(roots, calls, max_depth).select("root", "node")
-    hits = (
-        reached.join(contains_join(reached.select("node").distinct(), "node", checks, "pattern"), "node")
-        .select("root", "check_name").distinct()
-    )
-    kinds = [r["check_name"] for r in checks.select("check_name").distinct().collect()]
-    wanted = roots.select("root", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("check_name"))
-    return wanted.join(hits, ["root", "check_name"], "left_anti").select(F.col("root").alias("entry"), "check_name")
+    """Entries that neither hold nor reach a name with the check's pattern."""
+    roots = entries.select(F.col("qualified_name").alias("root")).distinct()
+    near = class_reach(g.edges_of("CALLS"), _matching(g, checks, "check_name"), max_depth=max_depth)
+    held = contains_join(roots, "root", checks, "pattern").select("root", "check_name")
+    hits = near.select(F.col("node").alias("root"), F.col("key").alias("check_name")).unionByName(held).distinct()
+    kinds = checks.agg(F.array_sort(F.collect_set("check_name"))).scalar()  # a curated catalogue
+    return roots.select("root", F.explode(kinds).alias("check_name")).join(
+        hits, ["root", "check_name"], "left_anti"
+    ).select(F.col("root").alias("entry"), "check_name")

@@ -333,14 +333,31 @@ def signal_prompts(w: Workspace) -> DataFrame:
 
 
 @register("taint_paths", rules("""
-WITH cleanless AS MATERIALIZED (SELECT DISTINCT source, target FROM edges WHERE kind = 'CALLS' AND NOT contains(lower(target), 'gear')),
-tp(root, node, d) AS (SELECT qualified_name, qualified_name, 0 FROM uncalled UNION SELECT r.root, e.target, r.d + 1 FROM tp r JOIN cleanless e ON e.source = r.node WHERE r.d < 15)
-SELECT root AS entry, node AS sink, min(d) AS depth FROM tp WHERE node <> root AND contains(lower(node), 'bolt') GROUP BY 1, 2"""))
+WITH cleanless AS MATERIALIZED (SELECT source, target, min(line) AS line FROM edges WHERE kind = 'CALLS' AND NOT contains(lower(target), 'gear') GROUP BY 1, 2),
+tp(root, node, d, trail, path) AS (SELECT qualified_name, qualified_name, 0, CAST([] AS VARCHAR[]), [qualified_name] FROM uncalled
+ UNION ALL SELECT r.root, e.target, r.d + 1, list_append(r.trail, lpad(CAST(e.line AS VARCHAR), 9, '0') || e.target), list_append(r.path, e.target)
+ FROM tp r JOIN cleanless e ON e.source = r.node WHERE r.d < 15 AND NOT list_contains(r.path, e.target)),
+hit AS (SELECT root, node, min(d) AS depth FROM tp WHERE d > 0 AND contains(lower(node), 'bolt') GROUP BY 1, 2)
+SELECT h.root AS entry, h.node AS sink, h.depth, sha256(array_to_string(min_by(t.path, t.trail), ' > ')) AS path_hash
+FROM hit h JOIN tp t ON t.root = h.root AND t.node = h.node AND t.d = h.depth GROUP BY 1, 2, 3"""))
 def taint_paths(w: Workspace) -> DataFrame:
     nouns = w.rule_classes.select(F.col("id").alias("pattern"))
     return RU.taint_paths(
         w.graph, R.uncalled_functions(w.graph, None), nouns.where("pattern = 'bolt'"), nouns.where("pattern = 'gear'")
-    ).select("entry", "sink", "depth")
+    ).select("entry", "sink", "depth", F.sha2(F.array_join("path", " > "), 256).alias("path_hash"))
+
+
+@register("sink_states", rules("""
+WITH c AS MATERIALIZED (SELECT DISTINCT source, target FROM edges WHERE kind = 'CALLS'),
+names AS MATERIALIZED (SELECT DISTINCT target AS node FROM c),
+hot AS MATERIALIZED (SELECT DISTINCT node, vuln_class_id AS k FROM names JOIN sigs ON sig_type = 'SINK' AND contains(lower(node), lower(qualified_pattern))),
+shut AS MATERIALIZED (SELECT DISTINCT node, vuln_class_id AS k FROM names JOIN sigs ON sig_type = 'SANITIZER' AND contains(lower(node), lower(qualified_pattern))),
+r(node, k, passed, d) AS (SELECT c.source, hot.k, EXISTS (SELECT 1 FROM shut WHERE shut.node = hot.node AND shut.k = hot.k), 1 FROM hot JOIN c ON c.target = hot.node
+ UNION SELECT c.source, r.k, r.passed OR shut.node IS NOT NULL, r.d + 1 FROM r JOIN c ON c.target = r.node LEFT JOIN shut ON shut.node = r.node AND shut.k = r.k WHERE r.d < 60)
+SELECT node AS entry, k AS vuln_class_id, min(d) AS hops, min(d) FILTER (NOT passed) AS open_hops,
+ CASE WHEN bool_and(passed) THEN 'guarded' ELSE 'open' END AS state FROM r WHERE node IN (SELECT qualified_name FROM nodes WHERE kind IN ('Function', 'Test')) GROUP BY 1, 2"""))
+def sink_states(w: Workspace) -> DataFrame:
+    return RU.sink_states(w.graph, w.graph.nodes_of("Function", "Test"), w.signatures)
 
 
 @register("missing_checks", rules("""
