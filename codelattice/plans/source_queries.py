@@ -17,6 +17,7 @@ from codelattice.operators import communities as C
 from codelattice.operators import ordering as O
 from codelattice.operators import refactor as RF
 from codelattice.operators import sessions as SS
+from codelattice.operators import value_flow as VF
 from codelattice.plans import pipelines as PL
 from codelattice.plans.finding_queries import VERDICTS, HISTORY, judged
 from codelattice.plans.oracle_base import FINDINGS, GRAPH, flow, graph, over
@@ -29,6 +30,7 @@ from codelattice.sources import notebooks as NB
 from codelattice.sources import scanner as SC
 from codelattice.sources.commerce import Workspace
 from codelattice.sources.diff import parse_unified_diff
+from codelattice.sources.value_flow import extract_flows
 from codelattice.streaming import watch as WT
 
 QUERIES: dict = {}
@@ -107,6 +109,49 @@ def python_edges(w: Workspace) -> DataFrame:
     return PL.build_from_files(python_files(w)).edges.select("kind", "source", "target", "line")
 
 
+# One text per part: a value from a request reaches a query text in one of six forms.
+FLOW = """
+fl AS (SELECT p_partkey AS k, p_partkey % 6 AS form, 'api/v' || p_partkey || '.py' AS f, replace(p_name, ' ', '_') AS noun FROM part),
+put AS (SELECT *, CASE WHEN form = 5 THEN f || '::run_' || k ELSE f || '::view_' || noun END AS func, CASE form WHEN 2 THEN 4 WHEN 5 THEN 6 ELSE 3 END AS line FROM fl)
+"""
+
+
+def flow_texts(w: Workspace) -> DataFrame:
+    k, noun = F.col("p_partkey").cast("string"), F.replace("p_name", F.lit(" "), F.lit("_"))
+    form = F.col("p_partkey") % 6
+    body = (
+        F.when(form == 0, F.lit('    db.execute(f"select {value}")\n'))
+        .when(form == 1, F.lit('    db.execute("select %s" % value)\n'))
+        .when(form == 2, F.lit('    query = "select " + value\n    db.execute(query)\n'))
+        .when(form == 3, F.lit('    db.execute("select ?", (value,))\n'))
+        .when(form == 4, F.lit('    db.execute("select " + escape(value))\n'))
+        .otherwise(F.concat(F.lit("    run_"), k, F.lit("(value)\n\ndef run_"), k, F.lit('(text):\n    db.execute("select " + text)\n')))
+    )
+    return w.table("part").select(
+        F.concat(F.lit("api/v"), k, F.lit(".py")).alias("file_path"),
+        F.concat(F.lit("def view_"), noun, F.lit("(request):\n    value = request.args.get('"), noun, F.lit("')\n"), body).alias("text"))
+
+
+@register("call_arguments", over(FLOW, sql="""
+SELECT f || '::view_' || noun AS func, 2 AS line, 'request.args.get' AS callee, 0 AS position, 'string_literal' AS shape, false AS concatenated, false AS parameterised FROM fl
+UNION ALL SELECT func, line, 'db.execute', 0, CASE form WHEN 0 THEN 'f_string' WHEN 1 THEN 'percent_format' WHEN 2 THEN 'identifier' WHEN 3 THEN 'string_literal' ELSE 'binary_op' END,
+ form NOT IN (2, 3), false FROM put
+UNION ALL SELECT func, line, 'db.execute', 1, 'tuple', false, true FROM put WHERE form = 3
+UNION ALL SELECT func, line, 'escape', 0, 'identifier', false, false FROM put WHERE form = 4
+UNION ALL SELECT f || '::view_' || noun, 3, 'run_' || k, 0, 'identifier', false, false FROM put WHERE form = 5"""))
+def call_arguments(w: Workspace) -> DataFrame:
+    return VF.call_arguments(extract_flows(flow_texts(w))).drop("keyword")
+
+
+@register("argument_taint", over(FLOW, sql="""
+SELECT func, line, 'db.execute' AS callee, 0 AS position, CASE form WHEN 0 THEN 'f_string' WHEN 1 THEN 'percent_format' WHEN 2 THEN 'identifier' ELSE 'binary_op' END AS shape,
+ true AS concatenated, CASE form WHEN 2 THEN 2 WHEN 5 THEN 3 ELSE 1 END AS hops FROM put WHERE form NOT IN (3, 4)"""))
+def argument_taint(w: Workspace) -> DataFrame:
+    flows = extract_flows(flow_texts(w))
+    word = lambda text: flows.sparkSession.range(1).select(F.lit(text).alias("pattern"))
+    return VF.argument_taint(flows, word("request.args"), word(".execute"), word("escape")).drop("keyword")
+
+
 @register("script_graph", """
 WITH p AS (SELECT p_partkey AS k, 'web/s' || p_partkey || '.js' AS f, 'web/s' || (p_partkey - 1) || '.js' AS pf FROM part)
 SELECT 'IMPORTS_FROM' AS kind, f AS source, pf AS target, 1 AS line FROM p WHERE k > 0
