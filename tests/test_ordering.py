@@ -108,3 +108,20 @@ def test_contains_join_lengths(spark):
     got = {(r["t"], r["p"]) for r in contains_join(texts, "t", pats, "p").collect()}
     want = {(t, p) for t in ("Alpha::Beta", "xx", "a", "betamax", "") for p in ("a", "BETA", "xx", "lph", "betamaxx") if p.lower() in t.lower()}
     assert got == want
+
+
+def test_upsert_keeps_first_sighting_of_a_run(spark):
+    stored = spark.createDataFrame([("old", "LOW", "s0", 1, 1, "open")], "fingerprint string, severity string, snippet string, first_run int, last_run int, status string")
+    incoming = spark.createDataFrame(
+        [("new", "HIGH", "s1", 1), ("new", "INFO", "s2", 2), ("old", "HIGH", "s3", 3), ("old", "INFO", "s4", 4)],
+        "fingerprint string, severity string, snippet string, seq int")
+    got = {r["fingerprint"]: (r["severity"], r["snippet"], r["first_run"], r["is_new"]) for r in FD.upsert(stored, incoming, 2).collect()}
+    assert got == {"new": ("HIGH", "s2", 2, True), "old": ("LOW", "s4", 1, False)}
+
+
+def test_upsert_keeps_last_verdict_of_a_run(spark):
+    row = "fingerprint string, verdict string, snippet string"
+    stored = spark.createDataFrame([("a", None, "s", 1, 1, "open")], row + ", first_run int, last_run int, status string")
+    incoming = spark.createDataFrame([("a", "true", "s1", 1), ("a", None, "s2", 2)], row + ", seq int")
+    got = FD.upsert(stored, incoming, 2).first()
+    assert (got["verdict"], got["snippet"]) == ("true", "s2")
