@@ -314,7 +314,7 @@ def dead_code(w: Workspace) -> DataFrame:
 SELECT DISTINCT n.qualified_name, n.kind FROM nodes n JOIN changed_ranges r ON r.file_path = n.file_path
 WHERE n.line_start IS NOT NULL AND n.line_end IS NOT NULL AND n.line_start <= r.stop AND n.line_end >= r.start"""))
 def diff_overlap(w: Workspace) -> DataFrame:
-    return K.overlapping_nodes(w.graph, w.changed_ranges).select("qualified_name", "kind")
+    return w.overlapping.select("qualified_name", "kind")
 
 
 @register("diff_overlap_suffix", graph("""
@@ -330,7 +330,7 @@ WITH c AS (SELECT DISTINCT n.* FROM nodes n JOIN changed_ranges r ON r.file_path
 SELECT name, qualified_name, file_path AS file, line_start, line_end FROM c WHERE kind IN ('Function', 'Test', 'Class') AND NOT is_test
 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'TESTED_BY' AND e.target = c.qualified_name)"""))
 def test_gaps(w: Workspace) -> DataFrame:
-    return R.test_gaps(w.graph, K.overlapping_nodes(w.graph, w.changed_ranges))
+    return R.test_gaps(w.graph, w.overlapping)
 
 
 @register("symbol_resolution", graph("""

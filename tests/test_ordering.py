@@ -110,6 +110,25 @@ def test_contains_join_lengths(spark):
     assert got == want
 
 
+def test_overlap_plans_no_broadcast_of_spread_rows(spark):
+    """Blocks of long symbols and ends of paths are many times the table they come from: they are shuffled."""
+    from codelattice import schema as S
+    from codelattice.model import CodeGraph
+
+    node = lambda path, n, a, b: ("Function", n, f"{path}::{n}", path, a, b, "", None, None, None, False, None, None)
+    nodes = [node("src/App/main.py", "a", 1, 5), node("src/App/main.py", "b", 70, 200), node("lib/main.py", "c", 1, 5), node("x/domain.py", "d", 1, 5)]
+    g = CodeGraph(spark.createDataFrame(nodes, S.NODE_SCHEMA), spark.createDataFrame([], S.EDGE_SCHEMA))
+    names = lambda found: {r["name"] for r in found.collect()}
+    of = lambda *rows: spark.createDataFrame(rows, "file_path string, start int, end int")
+    found = K.overlapping_nodes(g, of(("src/App/main.py", 4, 70)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 2
+    assert names(found) == {"a", "b"}
+    assert names(K.overlapping_nodes(g, of(("app/MAIN.py", 3, 3)))) == {"a"}
+    assert names(K.overlapping_nodes(g, of(("main.py", 3, 3), ("x/domain.py", 9, 9)))) == {"a", "c", "d"}
+    assert names(K.overlapping_nodes(g, of(("", 3, 3), (None, 3, 3)))) == set()
+
+
 def test_upsert_keeps_first_sighting_of_a_run(spark):
     stored = spark.createDataFrame([("old", "LOW", "s0", 1, 1, "open")], "fingerprint string, severity string, snippet string, first_run int, last_run int, status string")
     incoming = spark.createDataFrame(
