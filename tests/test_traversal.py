@@ -193,3 +193,29 @@ def test_label_propagation_separates_cliques(spark):
     labels = {r["node"]: r["label"] for r in C.propagate_labels(spark.createDataFrame(pairs, "a string, b string, w double")).collect()}
     assert {labels[f"a{i}"] for i in range(5)} == {"a0"}
     assert {labels[f"b{i}"] for i in range(5)} == {"b0"}
+
+
+def test_reach_by_recursion_has_no_row_limit(spark):
+    """A hub met over many ways: more rows of a recursion than its limit, few names."""
+    g, names, _ = random_graph(spark, 7)
+    edges = [("CALLS", names[i], names[j], "f0.py", 1) for i in range(20) for j in range(20, 40)]
+    g = CodeGraph(g.nodes, spark.createDataFrame(edges, S.EDGE_SCHEMA))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        got = {r[0]: r[1] for r in T.impact_radius_recursive(g, spark.createDataFrame([("f0.py",)], "file_path string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    pairs = {(s, t) for _, s, t, _, _ in edges} | {(t, s) for _, s, t, _, _ in edges}
+    assert got == bfs([q for q in names if q.startswith("f0.py")], sorted(pairs), 2)
+
+
+def test_reach_returns_wanted_names_with_their_columns(spark):
+    g, names, edges = random_graph(spark, 8)
+    seeds = spark.createDataFrame([(names[0],)], "qualified_name string")
+    want = spark.createDataFrame([(q, i) for i, q in enumerate(names)], "qualified_name string, i int")
+    for depth in (2, 4):
+        got = {(r["qualified_name"], r["i"], r["depth"]) for r in T.reach(seeds, T.both_ways(g.edges), depth, names=want).collect()}
+        whole = {r["qualified_name"]: r["depth"] for r in T.reach(seeds, T.both_ways(g.edges), depth).collect()}
+        assert got == {(q, i, whole[q]) for i, q in enumerate(names) if q in whole}
+        frontier = T.reach(seeds, T.both_ways(g.edges), depth, names=want)
+        assert "node#" in frontier._jdf.queryExecution().optimizedPlan().toString()  # digests, not texts, meet the levels
