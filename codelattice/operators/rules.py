@@ -10,7 +10,10 @@ from codelattice.functions.paths import rule_language_of
 from codelattice.model import CodeGraph
 from codelattice.operators.class_reach import class_reach, hops_left
 from codelattice.operators.traversal import paths, trace
-from codelattice.session import stage
+from codelattice.session import shuffled, stage
+
+# So many patterns at most are sent to every executor by ``contains_join``.
+FEW_PATTERNS = 20_000
 
 
 def last_wins(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
@@ -53,12 +56,14 @@ def contains_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: str
     """Pairs with ``pattern`` a case-insensitive substring of ``text``, as an equi-join.
 
     A text yields its distinct grams, a pattern its last gram (or itself when
-    shorter); a key match is then verified on the whole strings.
+    shorter); a key match is then verified on the whole strings. The patterns
+    are measured: few are broadcast, many are shuffled, the grams of the texts
+    (many times the texts) are never broadcast.
     """
     low = F.lower(F.col(text))
     p = F.lower(F.col(pattern))
     wanted = patterns.where(F.length(p) > 0)
-    lengths = wanted.select(F.least(F.length(p), F.lit(gram)).alias("n")).distinct().collect()
+    lengths = wanted.groupBy(F.least(F.length(p), F.lit(gram)).alias("n")).agg(F.count("*").alias("rows")).collect()
     if not lengths:
         return texts.join(patterns, F.lit(False))
     sizes = F.array(*[F.lit(r["n"]) for r in lengths])  # at most ``gram`` values
@@ -73,7 +78,8 @@ def contains_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: str
     wanted = wanted.withColumn(
         "_gram", F.when(F.length(p) > gram, F.substring(p, F.length(p) - gram + 1, F.lit(gram))).otherwise(p)
     )
-    return keyed.join(wanted, "_gram").where(F.contains(low, p)).drop("_gram")
+    few = sum(r["rows"] for r in lengths) <= FEW_PATTERNS
+    return keyed.join(F.broadcast(wanted) if few else shuffled(wanted), "_gram").where(F.contains(low, p)).drop("_gram")
 
 
 def short_name(qualified: Column) -> Column:

@@ -129,6 +129,18 @@ def test_overlap_plans_no_broadcast_of_spread_rows(spark):
     assert names(K.overlapping_nodes(g, of(("", 3, 3), (None, 3, 3)))) == set()
 
 
+def test_contains_join_sends_patterns_not_grams(spark, monkeypatch):
+    from codelattice.operators import rules as RU
+
+    texts = spark.createDataFrame([("xalphax",), ("beta",)], "t string")
+    pats = spark.createDataFrame([("alpha", 1), ("eta", 2)], "p string, n int")
+    for few, hint in ((10, "broadcast"), (1, "merge")):
+        monkeypatch.setattr(RU, "FEW_PATTERNS", few)
+        found = RU.contains_join(texts, "t", pats, "p")
+        assert f"rightHint=(strategy={hint})" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r["t"], r["n"]) for r in found.collect()} == {("xalphax", 1), ("beta", 2)}
+
+
 def test_upsert_keeps_first_sighting_of_a_run(spark):
     stored = spark.createDataFrame([("old", "LOW", "s0", 1, 1, "open")], "fingerprint string, severity string, snippet string, first_run int, last_run int, status string")
     incoming = spark.createDataFrame(
