@@ -219,3 +219,14 @@ def test_reach_returns_wanted_names_with_their_columns(spark):
         assert got == {(q, i, whole[q]) for i, q in enumerate(names) if q in whole}
         frontier = T.reach(seeds, T.both_ways(g.edges), depth, names=want)
         assert "node#" in frontier._jdf.queryExecution().optimizedPlan().toString()  # digests, not texts, meet the levels
+
+
+def test_label_rounds_carry_numbers_not_names(spark, monkeypatch):
+    """The table of votes has no text; numbers follow the names, so ties still take the smallest name."""
+    kept = []
+    bucketed = C.stage_bucketed
+    monkeypatch.setattr(C, "stage_bucketed", lambda df, *more: kept.append(df.dtypes) or bucketed(df, *more))
+    pairs = spark.createDataFrame([("b", "c", 1.0), ("c", "d", 1.0), ("b", "d", 1.0), ("a10", "a9", 0.5)], "a string, b string, w double")
+    got = {r["node"]: r["label"] for r in C.propagate_labels(pairs).collect()}
+    assert got == {"b": "b", "c": "b", "d": "b", "a10": "a10", "a9": "a10"}
+    assert kept and all(kind != "string" for _, kind in kept[0])
