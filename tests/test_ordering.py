@@ -129,6 +129,31 @@ def test_overlap_plans_no_broadcast_of_spread_rows(spark):
     assert names(K.overlapping_nodes(g, of(("", 3, 3), (None, 3, 3)))) == set()
 
 
+def test_risk_inputs_are_shuffled(spark, sf_dir):
+    """Each input of the risk score may hold every name of the graph; staged files of names look far smaller than they are."""
+    from codelattice.operators import flows as FL
+    from codelattice.sources.commerce import CHECK_WORDS, workspace
+
+    w = workspace(spark, sf_dir)
+    found = K.change_risk(w.graph, w.overlapping, FL.flow_counts(w.flow_members), w.file_members, CHECK_WORDS)
+    for plan in (found, FL.score_flows(w.graph, w.flow_members), FL.flow_steps(w.flow_members.drop("position"), w.graph), FL.resolvable_calls(w.graph)):
+        assert "Broadcast" not in plan._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_levels_above_a_row_count_are_shuffled(spark, monkeypatch):
+    from codelattice import session
+
+    for few, hinted in ((10, False), (2, True)):
+        monkeypatch.setattr(session, "FEW_ROWS", few)
+        levels = session.Levels(spark, "test")
+        one = levels.add(spark.range(2))
+        assert levels.rows == 2 and "Hint" not in one._jdf.queryExecution().analyzed().toString()
+        for df in (levels.add(spark.range(3)), levels.all()):
+            plan = spark.range(9).join(df.select("id"), "id")._jdf.queryExecution().optimizedPlan().toString()
+            assert ("strategy=merge" in plan) is hinted
+        assert levels.last_rows == 3 and levels.rows == 5
+
+
 def test_contains_join_sends_patterns_not_grams(spark, monkeypatch):
     from codelattice.operators import rules as RU
 
