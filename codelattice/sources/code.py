@@ -25,7 +25,8 @@ RECORDS = (
 )
 _TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 _ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (f.split() for f in RECORDS.split(", "))])
-
+# A result batch ends with the file that fills it.
+BATCH_ROWS = 10_000
 
 _BLOCK = re.compile(r"\s*(?:async\s+)?(def|class)\s+(\w+)")
 _IMPORT = re.compile(r"\s*import\s+(.+)")
@@ -164,10 +165,14 @@ def extract_python(files: DataFrame) -> DataFrame:
     """Records of Python texts (file_path, text); the File node is always there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
-            rows: list[dict] = []
             for path, text in zip(batch.column("file_path").to_pylist(), batch.column("text").to_pylist()):
                 rows += [{**r, "file_path": path} for r in _python_records(path, text or "")]
+                if len(rows) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows = []
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return files.select("file_path", "text").mapInArrow(run, RECORDS)

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from codelattice.sources.code import BATCH_ROWS
+
 FLOWS = (
     "rec string, id string, func string, file_path string, line int, name string, position int, keyword string, "
     "shape string, concatenated boolean, parameterised boolean, through array<string>"
@@ -239,8 +241,14 @@ def extract_flows(files: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
             for path, text in zip(batch.column("file_path").to_pylist(), batch.column("text").to_pylist()):
-                yield pa.RecordBatch.from_pylist(_flow_rows(path, text or ""), schema=_ARROW)
+                rows += _flow_rows(path, text or "")
+                if len(rows) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return files.select("file_path", "text").mapInArrow(run, FLOWS)
