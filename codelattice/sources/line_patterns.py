@@ -24,10 +24,11 @@ _MODS = r"(?:(?:export|default|public|private|protected|internal|static|final|ab
 PATTERNS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "script": (
         rf"^\s*{_MODS}(?:class|interface)\s+{_WORD}",
-        (rf"^\s*{_MODS}function\s*\*?\s*{_WORD}\s*\(", rf"^\s*{_MODS}(?:const|let|var)\s+{_WORD}\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>",
+        (rf"^\s*{_MODS}function\s*+\*?\s*+{_WORD}\s*\(", rf"^\s*{_MODS}(?:const|let|var)\s+{_WORD}\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>",
          rf"^\s*{_MODS}(?:const|let|var)\s+{_WORD}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*:[^=]+=>)",
          rf"^\s+{_MODS}{_WORD}\s*\((?![^;]*\bfunction\b)[^;]*\)\s*(?::[^{{]+)?\{{\s*$"),
-        r"""^\s*(?:import\b.*?\bfrom\s+|import\s+|.*\brequire\()\s*["']([^"']+)["']""",
+        # White space is never given back: a blanked line of n characters would be tried n times.
+        r"""^\s*+(?:import\b.*?\bfrom\s++|import\s++|.*\brequire\()\s*+["']([^"']+)["']""",
     ),
     "c_like": (
         rf"^\s*{_MODS}(?:class|interface|enum|struct|record|object|trait|protocol|contract|library|mixin)\s+{_WORD}",

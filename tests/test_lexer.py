@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from codelattice.sources.lexer import brackets, mask, runner_calls
 
 CASES = [
@@ -49,3 +51,29 @@ def test_brackets_and_runner_calls():
     code = mask(source, "javascript", "script")[1]
     assert [(name, code[first:last + 1][:9]) for name, first, last, _ in runner_calls(source, code)] == [
         ("it:a", "it(' ', ("), ("describe:b c ${1}", "describe."), ("it:n", "it.each([")]
+
+
+def test_blanked_lines_take_linear_time(spark):
+    """A long comment leaves a line of blanks; import and function patterns must not try it again from each of them."""
+    import time
+
+    from codelattice.sources.line_patterns import PATTERNS
+
+    _, functions, imported = PATTERNS["script"]
+    blanks = F.repeat(F.lit(" "), 100_000)
+    rows = spark.range(1).select(
+        blanks.alias("a"), F.concat(F.lit("import x from"), blanks).alias("b"), F.concat(F.lit("function"), blanks).alias("c"),
+        F.concat(F.lit("import x from  "), F.lit('  "m"')).alias("d"), F.lit("  const m = require( 'n' )").alias("e"), F.lit("function  * go (").alias("f"))
+    start = time.time()
+    got = rows.select(*[F.regexp_extract(c, imported, 1) for c in "abde"], *[F.regexp_extract(c, functions[0], 1) for c in "cf"]).first()
+    assert tuple(got) == ("", "", "m", "n", "", "go") and time.time() - start < 15
+
+
+def test_texts_are_dealt_over_tasks(spark, sf_dir):
+    """One small file of keys makes many large texts, which one task must not read alone."""
+    from codelattice.plans import source_queries as Q
+    from codelattice.sources.commerce import workspace
+
+    w = workspace(spark, sf_dir)
+    for texts in (Q.flow_texts(w), Q.python_files(w)):
+        assert "RepartitionByExpression" in texts._jdf.queryExecution().optimizedPlan().toString()
