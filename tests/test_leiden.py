@@ -60,3 +60,15 @@ def test_half_of_a_name_is_stable(spark):
     names = [(f"n{random.random()}",) for _ in range(200)]
     halves = [r[0] for r in spark.createDataFrame(names, "node string").select(leiden.half_of("node")).collect()]
     assert set(halves) == {0, 1} and 60 < sum(halves) < 140
+
+
+def test_a_round_stores_one_table(spark, monkeypatch):
+    """A kept round is one stored table, a round whose moves disturb each other two, a round without moves none."""
+    made, moves = [], []
+    store, after = leiden.stage, leiden._Measured._after
+    monkeypatch.setattr(leiden, "stage", lambda df, name, *more: made.append(name) or store(df, name, *more))
+    monkeypatch.setattr(leiden._Measured, "_after", staticmethod(lambda *rows: moves.append(1) or after(*rows)))
+    links = [(f"n{i:02d}", f"n{i + 1:02d}", 1.0) for i in range(13)]
+    assert leiden.communities(pairs(spark, links)).count() == 14
+    starts = 2 * made.count("start") + 2
+    assert "near" not in made and made.count("labels") == len(moves) + starts
