@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from codelattice.functions.paths import file_of
 from codelattice.model import CodeGraph
+from codelattice.session import FEW_ROWS, shuffled, stage
 
 PYTHON_SUFFIXES = (".py", "/__init__.py")
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".vue")
@@ -178,44 +179,69 @@ def export_keys(g: CodeGraph) -> DataFrame:
     )
 
 
+def _counted(rows: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+    seen = Observation()
+    return stage(rows.observe(seen, *(c.alias(k) for k, c in counts.items())), name), seen.get
+
+
+def _sized(rows: DataFrame, count: int) -> DataFrame:
+    return rows if count <= FEW_ROWS else shuffled(rows)
+
+
 def resolve_for_export(g: CodeGraph) -> DataFrame:
     """Edges with both ends resolved to nodes; unresolvable edges are dropped.
 
     Ambiguous keys prefer the only candidate of the source's file, then the
     only one below its directory, then the first. Candidates are counted per
     key, (key, file) and (key, directory), so no pair list of a common name
-    is ever built.
+    is ever built. Ends that are no node are looked up once per name and kept;
+    edges meet only those, and not at all where a side has none.
     """
     index = export_keys(g)
     pick = [F.count("*").alias("n"), F.min("qualified_name").alias("c")]
-    by_key = index.groupBy("key").agg(*pick)
-    by_file = index.groupBy("key", F.col("file_path").alias("scope")).agg(*pick)
-    parts = F.split("file_path", "/")
-    dirs = F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
-    )
-    by_dir = index.select("key", "qualified_name", F.explode(dirs).alias("scope")).groupBy("key", "scope").agg(*pick)
-    known = g.nodes.select(F.col("qualified_name").alias("end")).withColumn("exact", F.lit(True))
-
-    def side(edges: DataFrame, end: str) -> DataFrame:
-        src_file = file_of(F.col("source"))
-        src_dir = F.when(src_file.contains("/"), F.regexp_replace(src_file, "/[^/]*$", "")).otherwise(F.lit(""))
-        named = (
-            edges.withColumn("end", F.col(end)).join(known, "end", "left")
-            .withColumn("_file", src_file).withColumn("_dir", src_dir)
-        )
-        a = by_key.select(F.col("key").alias("end"), F.col("n").alias("nk"), F.col("c").alias("ck"))
-        b = by_file.select(F.col("key").alias("end"), F.col("scope").alias("_file"), F.col("n").alias("nf"), F.col("c").alias("cf"))
-        c = by_dir.select(F.col("key").alias("end"), F.col("scope").alias("_dir"), F.col("n").alias("nd"), F.col("c").alias("cd"))
-        out = named.join(a, "end", "left").join(b, ["end", "_file"], "left").join(c, ["end", "_dir"], "left")
-        chosen = (
-            F.when(F.col("exact"), F.col("end")).when(F.col("nk") == 1, F.col("ck"))
-            .when(F.col("nf") == 1, F.col("cf")).when(F.col("nd") == 1, F.col("cd")).otherwise(F.col("ck"))
-        )
-        return out.withColumn(f"{end}_node", chosen).drop(
-            "end", "exact", "_file", "_dir", "nk", "ck", "nf", "cf", "nd", "cd"
+    edges = g.edges.select("kind", "source", "target", "file_path", "line")
+    ends = edges.select(F.col("source").alias("end"), F.lit(1).alias("source"), F.lit(0).alias("target")).unionByName(
+        edges.select(F.col("target").alias("end"), F.lit(0).alias("source"), F.lit(1).alias("target"))
+    ).groupBy("end").agg(F.max("source").alias("source"), F.max("target").alias("target"))
+    by_key = index.groupBy(F.col("key").alias("end")).agg(*pick)
+    loose = ends.join(shuffled(g.nodes.select(F.col("qualified_name").alias("end"))), "end", "left_anti")
+    of = lambda end, more=True: F.count_if((F.col(end) == 1) & more)
+    many = F.coalesce(F.col("n") > 1, F.lit(False))
+    loose, seen = _counted(
+        loose.join(shuffled(by_key), "end", "left"), "loose_ends",
+        source=of("source"), target=of("target"), source_many=of("source", many), target_many=of("target", many),
+    )
+    src_file = file_of(F.col("source"))
+    src_dir = F.when(src_file.contains("/"), F.regexp_replace(src_file, "/[^/]*$", "")).otherwise(F.lit(""))
+
+    def scoped(end: str) -> tuple[DataFrame, int]:
+        """(end, _file, near): the only candidate of an ambiguous end in the source's file, else below its directory."""
+        names = _sized(loose.where((F.col(end) == 1) & many).select("end"), seen[f"{end}_many"])
+        asked = edges.select(F.col(end).alias("end"), src_file.alias("_file"), src_dir.alias("_dir")).join(names, "end", "left_semi").distinct()
+        near = index.withColumnRenamed("key", "end").join(names, "end", "left_semi")
+        parts = F.split("file_path", "/")
+        dirs = F.transform(
+            F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
         )
+        by_file = near.groupBy("end", F.col("file_path").alias("_file")).agg(*pick).where("n = 1").select("end", "_file", F.col("c").alias("cf"))
+        by_dir = near.select("end", "qualified_name", F.explode(dirs).alias("_dir")).groupBy("end", "_dir").agg(*pick)
+        by_dir = by_dir.where("n = 1").select("end", "_dir", F.col("c").alias("cd"))
+        found = asked.join(shuffled(by_file), ["end", "_file"], "left").join(shuffled(by_dir), ["end", "_dir"], "left")
+        rows, count = _counted(
+            found.select("end", "_file", F.coalesce("cf", "cd").alias("near")).where(F.col("near").isNotNull()), "near_ends", held=F.count(F.lit(1)))
+        return rows, count["held"]
+
+    def side(rows: DataFrame, end: str) -> DataFrame:
+        if not seen[end]:
+            return rows.withColumn(f"{end}_node", F.col(end))
+        found = loose.where(F.col(end) == 1).select(F.col("end").alias(end), "c", F.lit(True).alias("_loose"))
+        rows = rows.join(_sized(found, seen[end]), end, "left")
+        chosen = F.col("c")
+        if seen[f"{end}_many"]:
+            near, count = scoped(end)
+            rows = rows.withColumn("_file", src_file).join(_sized(near.withColumnRenamed("end", end), count), [end, "_file"], "left")
+            chosen = F.coalesce("near", "c")
+        return rows.withColumn(f"{end}_node", F.when(F.col("_loose"), chosen).otherwise(F.col(end))).drop("c", "_loose", "_file", "near")
 
-    edges = g.edges.select("kind", "source", "target", "file_path", "line")
     both = side(side(edges, "target"), "source")
     return both.where(F.col("source_node").isNotNull() & F.col("target_node").isNotNull())
