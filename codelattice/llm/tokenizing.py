@@ -10,19 +10,22 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from codelattice.llm.common import ragged, words_of
+from codelattice.llm.common import words_of
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: ASCII punctuation without the apostrophe, which starts contractions.
 MARKS = re.escape('!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')
 PARTS = re.compile(rf"[{LETTERS}]++(?![^{LETTERS}{MARKS}])|[{MARKS}]++(?![^{LETTERS}{MARKS}])|.++", re.DOTALL)
 PLAIN = re.compile(rf"[{LETTERS}]+|[{MARKS}]+")
+#: The usual word. With marks after it, it is not held itself: its parts mostly are.
+USUAL = re.compile(rf"( ?)([{LETTERS}]+)([{MARKS}]*)")
 SPACED = re.compile(r"\s*+\S++|\s++")
 #: Texts with any of these leave the fast path: runs of white space, other white space, edges, the marker.
 ODD_SPACE = r"[ \n]{2}|[\t\r\f\v\x00\x1c-\x1f]|\x{85}|^[ \n]|[ \n]$|[\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -39,7 +42,11 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """Encodes batches of texts; keeps at most ``cache`` distinct pieces between batches."""
+    """Encodes batches of texts; keeps at most ``cache`` distinct pieces between batches.
+
+    The pieces are held in two halves: a full ``young`` half becomes the ``old`` one, and what is
+    found there moves back. So words that go on occurring stay when many new ones come.
+    """
 
     def __init__(self, path: str, cache: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,7 +56,7 @@ class PieceEncoder:
         self.spaces = described["normalizer"] is None  # white space is kept as part of pieces
         self.model = self.tokenizer.model
         self.letters = byte_alphabet()
-        self.cache, self.limit = {}, cache
+        self.young, self.old, self.half = {}, {}, max(cache // 2, 1)
 
     def _plain(self, piece: str, lead: str) -> bytes:
         """Ids of one run of letters or marks, with the byte-level sign of a space before it."""
@@ -57,46 +64,52 @@ class PieceEncoder:
             piece = piece.lower()
             if not PLAIN.fullmatch(piece):
                 return self._library(piece)
-        shown = lead + piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(shown)], np.uint32).tobytes()
+        if not piece.isascii():  # ASCII letters and marks stand for themselves
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(lead + piece)]).tobytes()
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
+    def _solved(self, text: str) -> bytes:
+        """Ids of a piece that is not held."""
+        lead, rest = "", text
+        if self.spaces and text[:1] == " ":
+            lead, rest = self.letters[32], text[1:]
+        elif self.spaces and text[:1] == "\n" and len(text) > 1 and not text[1].isspace():
+            return self.piece("\n") + self.piece(text[1:])
+        if not rest or not PLAIN.fullmatch(rest):
+            parts = PARTS.findall(rest)
+            if len(parts) > 1:
+                return self.piece(text[: len(text) - len(rest)] + parts[0]) + b"".join(map(self.piece, parts[1:]))
+            return self._library(text)
+        return self._plain(rest, lead)
+
     def piece(self, text: str) -> bytes:
         """Ids of one word with the white space before it, as bytes of uint32."""
-        done = self.cache.get(text)
+        done = self.young.get(text)
         if done is None:
-            lead, rest = "", text
-            if self.spaces and text[:1] == " ":
-                lead, rest = self.letters[32], text[1:]
-            elif self.spaces and text[:1] == "\n" and len(text) > 1 and not text[1].isspace():
-                return self.piece("\n") + self.piece(text[1:])
-            if not rest or not PLAIN.fullmatch(rest):
-                parts = PARTS.findall(rest)
-                if len(parts) > 1:
-                    done = self.piece(text[: len(text) - len(rest)] + parts[0]) + b"".join(map(self.piece, parts[1:]))
-                else:
-                    done = self._library(text)
-            else:
-                done = self._plain(rest, lead)
-            if len(self.cache) >= self.limit:
-                self.cache.clear()
-            self.cache[text] = done
+            done = self.old.get(text)
+            if done is None:
+                space, letters, marks = usual.groups() if (usual := USUAL.fullmatch(text)) else ("", "", "")
+                if marks:
+                    return self.piece(space + letters) + self.piece(marks)
+                done = self._plain(letters, space and self.letters[32]) if letters and (self.spaces or not space) else self._solved(text)
+            if len(self.young) >= self.half:
+                self.old, self.young = self.young, {}
+            self.young[text] = done
         return done
 
     def _lookup(self, flat: pa.Array, counts: np.ndarray, before: str) -> tuple[np.ndarray, np.ndarray]:
         coded = flat.dictionary_encode()
-        found = coded.dictionary.to_pylist()
+        found = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if before:
             found = ["\n" + w[1:] if w[:1] == "\x00" else before + w for w in found]
-        known, piece = self.cache.get, self.piece
-        pieces = [known(w) or piece(w) for w in found]
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        ids, index = np.frombuffer(b"".join(pieces), np.uint32), coded.indices.to_numpy(zero_copy_only=False)
-        out = ragged(ids, (np.cumsum(size) - size)[index], size[index])
-        owner = np.repeat(np.arange(len(counts)), counts)
-        return out, np.bincount(owner, weights=size[index], minlength=len(counts)).astype(np.int64)
+        out = pa.array(list(map(self.piece, found)), pa.large_binary()).take(coded.indices)
+        raw = out.buffers()[2]
+        places = np.concatenate([[0], np.cumsum(pc.binary_length(out).to_numpy(zero_copy_only=False) // 4, dtype=np.int64)])
+        ends = np.cumsum(counts)
+        return np.frombuffer(raw, np.uint32, places[-1]) if places[-1] else np.zeros(0, np.uint32), places[ends] - places[ends - counts]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, and how many each text has."""

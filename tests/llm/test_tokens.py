@@ -34,6 +34,23 @@ def test_pieces_equal_whole_texts(path):
         assert ids[end - n : end].tolist() == encode(text), text
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_common_pieces_are_solved_once(path, monkeypatch):
+    one, solved = PieceEncoder(path, cache=60), []
+    plain = one._plain
+    monkeypatch.setattr(one, "_plain", lambda piece, lead: solved.append(piece) or plain(piece, lead))
+    letters = "abcdefghij"
+    common = ["common" + c for c in letters]
+    for k in range(30):  # new words, with and without marks, pass the cache many times over
+        rare = [f"rare{letters[k // 10]}{letters[k % 10]}{c}" for c in letters]
+        text = " ".join(["x", *common, *(w + "," for w in common), *rare, *(w + "." for w in rare)])
+        ids, sizes = one.encode(pa.array([text], pa.large_string()))
+        assert ids.tolist() == library(path)(text) and sizes.tolist() == [len(ids)]
+    assert all(solved.count(w) == 1 for w in common)
+    assert len(solved) <= 10 + 300 + 4
+    assert len(one.young) + len(one.old) <= 60
+
+
 def test_packing_tiles_windows(spark):
     docs = table(spark, odd_rows())
     got = packing.pack(docs, BYTE, end_id=0, window=16).select("doc_id", "start", "length", packing.crc_of("ids").alias("crc"), "doc_tokens", "sequence_id", "offset").collect()
