@@ -39,11 +39,10 @@ _CHARACTER = re.compile(r"'(?:\\(?:u\{?[0-9A-Fa-f]+\}?|x[0-9A-Fa-f]+|[0-7]{1,3}|
 _REGEX = re.compile(r"/(?!>)(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
 _BEFORE_REGEX = re.compile(r"(?:^|[=(,:\[!&|?{;+\-*%~^\n]|\b(?:return|typeof|case|in|of|do|else|yield|await|throw|void|delete))\s*$")
 _FRAGMENT = re.compile(r"[^`\\$]*(?:(?:\\[\s\S]|\$(?!\{))[^`\\$]*)*")
-_NO_BREAK = re.compile(r"[^\n]")
 
 
 def _blank(piece: str) -> str:
-    return _NO_BREAK.sub(" ", piece)
+    return "\n".join([" " * len(line) for line in piece.split("\n")])
 
 
 def _body(quote: str, over_lines: bool) -> re.Pattern:
@@ -240,7 +239,8 @@ def runner_calls(source: str, code: str) -> list[tuple[str, int, int, int]]:
 def code_lines(files: DataFrame) -> DataFrame:
     """Lines of (file_path, group, language, text) with ``text``, ``code`` and the runner calls that start there.
 
-    Null texts are empty; a text has at least one line.
+    Null texts are empty; a text has at least one line. Lines of blanks alone hold nothing to find and are left
+    out, but for the last, whose number is the length of the file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +262,10 @@ def code_lines(files: DataFrame) -> DataFrame:
                         calls.setdefault(line, []).append(
                             {"name": f"{name}@L{line}", "last": bisect_left(breaks, last) + 1, "column": column, "around": around}
                         )
+                last_line = text.count("\n") + 1
                 for n, (shown, kept) in enumerate(zip(text.split("\n"), code.split("\n")), 1):
+                    if n < last_line and n not in calls and not shown.strip() and not kept.strip():
+                        continue
                     rows.append((path, group, language, n, shown, kept, calls.get(n)))
                     size += len(shown) + len(kept)
                     if len(rows) >= BATCH_LINES or size >= BATCH_CHARS:

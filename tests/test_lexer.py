@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from codelattice.sources.lexer import brackets, mask, runner_calls
+from codelattice.sources.lexer import brackets, code_lines, mask, runner_calls
 
 CASES = [
     ("javascript", "script", "a('x(', \"y'(\") // c(\nb", "a('  ', \"   \")       \nb"),
@@ -77,3 +77,11 @@ def test_texts_are_dealt_over_tasks(spark, sf_dir):
     w = workspace(spark, sf_dir)
     for texts in (Q.flow_texts(w), Q.python_files(w)):
         assert "RepartitionByExpression" in texts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blank_lines_are_left_out_but_for_the_last(spark):
+    """Lines hidden whole hold nothing to find; the last one still says how long the file is."""
+    source = "a()\n/*\n" + "hidden {\n" * 50 + "*/\n\nb()\n\n"
+    files = spark.createDataFrame([("x.js", "script", "javascript", source)], "file_path string, group string, language string, text string")
+    rows = {r["line"]: r["code"].strip() for r in code_lines(files).collect()}
+    assert rows == {1: "a()", 55: "b()", 57: ""}
